@@ -94,3 +94,80 @@ def with_ctes(*parts: str) -> str:
 
 
 LOG_BASE = with_ctes(LOG_FILES, LOGS, REQUESTS, MANIFEST, windows_cte())
+
+APPS = """
+app_base AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id,
+         c_mktsegment || '-' || CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) AS name,
+         o_orderkey, o_orderdate
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+att AS (
+  SELECT l_orderkey, l_shipdate, l_linestatus,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey,
+                            l_suppkey, l_extendedprice) - 1 AS idx,
+         count(*) OVER (PARTITION BY l_orderkey) AS n
+  FROM lineitem),
+app_flat AS (
+  SELECT a.id, a.name, CAST(t.idx AS INTEGER) AS attempt_idx, CAST(t.n - t.idx AS VARCHAR) AS attemptId,
+         CASE WHEN t.idx IS NOT NULL THEN a.o_orderdate END AS startTime, t.l_shipdate AS endTime,
+         t.l_linestatus = 'F' AS completed
+  FROM app_base a LEFT JOIN att t ON t.l_orderkey = a.o_orderkey),
+app_summary AS (
+  SELECT id, name,
+         coalesce(bool_or(NOT completed), false) AS any_running,
+         max(CASE WHEN attempt_idx = 0 THEN endTime END) AS head_end,
+         coalesce(bool_or(attempt_idx = 0 AND completed), false) AS head_completed,
+         max(CASE WHEN attempt_idx = 0 THEN attemptId END) AS head_attempt
+  FROM app_flat GROUP BY id, name)"""
+
+POLICY = """
+tenants_t AS (SELECT CAST(c_custkey AS VARCHAR) AS tenant_id FROM customer),
+patterns_t AS (SELECT DISTINCT c_mktsegment || '-' AS pattern FROM customer),
+exclusions_t AS (
+  SELECT c_mktsegment || '-' || CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) AS name
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+excl_nonempty AS (SELECT count(*) > 0 AS ne FROM exclusions_t)"""
+
+ACCESS_REQUESTS = """
+access_req AS (
+  SELECT 'own:' || CAST(o_orderkey AS VARCHAR) AS request_id, CAST(o_custkey AS VARCHAR) AS tenant_id,
+         CAST(o_orderkey AS VARCHAR) AS app_id FROM orders
+  UNION ALL
+  SELECT 'other:' || CAST(o_orderkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR), CAST(o_orderkey AS VARCHAR)
+  FROM orders
+  UNION ALL
+  SELECT 'missing:' || CAST(s_suppkey AS VARCHAR), CAST(s_suppkey AS VARCHAR), 'gone-' || CAST(s_suppkey AS VARCHAR)
+  FROM supplier)"""
+
+
+def visible_expr(name: str, tenant: str) -> str:
+    """Listing rule in SQL for a name and a tenant expression."""
+    return (f"(({name}) IN (SELECT name FROM exclusions_t) OR ((SELECT ne FROM excl_nonempty) AND EXISTS "
+            f"(SELECT 1 FROM patterns_t p WHERE starts_with({name}, p.pattern || coalesce({tenant}, 'null')))))")
+
+
+ACCESS_PAIRS = """
+hits AS (
+  SELECT s.id AS app_id, s.name, p.pattern, substr(s.name, length(p.pattern) + 1) AS rest
+  FROM app_summary s JOIN patterns_t p ON starts_with(s.name, p.pattern)
+  WHERE s.name NOT IN (SELECT name FROM exclusions_t) AND (SELECT ne FROM excl_nonempty)),
+pairs AS (
+  SELECT h.*, t.tenant_id, length(coalesce(t.tenant_id, 'null')) AS tlen
+  FROM hits h JOIN (SELECT DISTINCT tenant_id FROM tenants_t) t ON starts_with(h.rest, coalesce(t.tenant_id, 'null'))),
+pairs_sp AS (SELECT *, tlen < max(tlen) OVER (PARTITION BY app_id, pattern) AS shared FROM pairs),
+access_pairs AS (
+  SELECT app_id, name, tenant_id, bool_or(shared) AS shared_prefix FROM pairs_sp GROUP BY app_id, name, tenant_id)"""
+
+EXECUTORS = """
+ev AS (
+  SELECT user_id, event_type, count(*) AS n, min(ts) AS addTime, max(ts) AS lastTime, max(value) AS maxValue
+  FROM events GROUP BY user_id, event_type),
+executors_t AS (
+  SELECT CAST(user_id AS VARCHAR) AS app_id,
+         CASE event_type WHEN 'error' THEN 'driver' WHEN 'click' THEN '1' WHEN 'purchase' THEN '2'
+                         WHEN 'signup' THEN '3' WHEN 'view' THEN '4' END AS id,
+         'host-' || CAST(user_id AS VARCHAR) || ':7337' AS hostPort,
+         maxValue >= 40.0 AS isActive, CAST(n AS INTEGER) AS totalTasks, addTime,
+         CASE WHEN NOT (maxValue >= 40.0) THEN lastTime END AS removeTime
+  FROM ev)"""

@@ -233,3 +233,322 @@ SELECT request_id, app, pod, start_byte, end_byte, total_bytes, status, slice_he
        {osql.HEADER} AS header FROM winr""")
 def q_log_slices(spark, sf_dir):
     return _slices(spark, sf_dir).select(*SLICE_COLS, "header")
+
+
+# ===================================================== applications & tenants
+
+from rollscope.operators import executors as ex  # noqa: E402
+from rollscope.operators import listing as ls  # noqa: E402
+from rollscope.operators import paging as pg  # noqa: E402
+from rollscope.operators import tenant as tn  # noqa: E402
+
+APP_SQL = osql.with_ctes(osql.APPS, osql.POLICY)
+ACCESS_SQL = osql.with_ctes(osql.APPS, osql.POLICY, osql.ACCESS_REQUESTS)
+PAIRS_SQL = osql.with_ctes(osql.APPS, osql.POLICY, osql.ACCESS_PAIRS)
+
+# --- Fixed query parameters of the registered listing queries ---
+QUERY_TENANT = "1"
+QUERY_STATUSES = ["completed"]
+QUERY_MIN_DATE, QUERY_MAX_DATE = "1996-01-01", "2000-12-31"
+QUERY_MIN_END, QUERY_MAX_END = "1996-01-01", "2001-06-30"
+QUERY_NOW = "2001-01-01"
+QUERY_LIMIT = 50
+LISTING_LIMIT = 100
+TENANT_CAP = 3
+PROXY_BASE = "/proxy"
+# ------------------------------------------------------------------
+
+
+def _apps(spark, sf_dir):
+    return fx.applications(spark, sf_dir)
+
+
+def _flat(df):
+    return ls.flatten_attempts(df)
+
+
+FLAT_COLS = "id, name, attempt_idx, attemptId, startTime, endTime, completed"
+
+
+def _time_sql(alias="s"):
+    return (f"EXISTS (SELECT 1 FROM app_flat f WHERE f.id = {alias}.id AND f.attempt_idx IS NOT NULL"
+            f" AND f.startTime >= TIMESTAMP '{QUERY_MIN_DATE}' AND f.startTime <= TIMESTAMP '{QUERY_MAX_DATE}'"
+            f" AND (({alias}.any_running AND TIMESTAMP '{QUERY_MAX_END}' > TIMESTAMP '{QUERY_NOW}')"
+            f" OR (NOT {alias}.any_running AND f.endTime >= TIMESTAMP '{QUERY_MIN_END}'"
+            f" AND f.endTime <= TIMESTAMP '{QUERY_MAX_END}')))")
+
+
+@register("applications_scan", APP_SQL + f"SELECT {FLAT_COLS} FROM app_flat")
+def q_applications_scan(spark, sf_dir):
+    from rollscope.sources.apps import read_applications, write_applications
+    from rollscope.session import shared_dir
+    path = f"{shared_dir(spark)}/fixture_apps/{sf_dir.rstrip('/').split('/')[-1]}"
+    write_applications(_apps(spark, sf_dir), path)
+    return _flat(read_applications(spark, path))
+
+
+@register("latest_attempt", APP_SQL + "SELECT id, head_attempt AS latest_attempt FROM app_summary")
+def q_latest_attempt(spark, sf_dir):
+    return _apps(spark, sf_dir).select("id", fc.latest_attempt("attempts").alias("latest_attempt"))
+
+
+@register("any_running", APP_SQL + "SELECT id, any_running FROM app_summary")
+def q_any_running(spark, sf_dir):
+    flat = fx.application_attempts(spark, sf_dir)
+    return flat.groupBy("id").agg(
+        F.coalesce(F.bool_or(~F.col("completed")), F.lit(False)).alias("any_running"))
+
+
+@register("app_status_filter", APP_SQL + "SELECT id, name FROM app_summary WHERE any_running")
+def q_app_status_filter(spark, sf_dir):
+    return ls.filter_status(_apps(spark, sf_dir), ["running"]).select("id", "name")
+
+
+@register("attempt_time_range", APP_SQL + f"SELECT id, name FROM app_summary s WHERE {_time_sql()}")
+def q_attempt_time_range(spark, sf_dir):
+    return ls.filter_time_range(_apps(spark, sf_dir), QUERY_MIN_DATE, QUERY_MAX_DATE, QUERY_MIN_END,
+                                QUERY_MAX_END, QUERY_NOW).select("id", "name")
+
+
+@register("completed_view", APP_SQL + "SELECT id, name FROM app_summary WHERE head_completed")
+def q_completed_view(spark, sf_dir):
+    return ls.completed_view(_apps(spark, sf_dir), show_incomplete=False).select("id", "name")
+
+
+@register("app_lookup", APP_SQL + """, ids AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id FROM part
+  UNION ALL SELECT 'gone-' || CAST(s_suppkey AS VARCHAR) FROM supplier)
+SELECT i.id, s.name FROM ids i LEFT JOIN app_summary s ON s.id = i.id""")
+def q_app_lookup(spark, sf_dir):
+    return ls.app_lookup(_apps(spark, sf_dir), fx.lookup_ids(spark, sf_dir)).select("id", "name")
+
+
+@register("listing_order", APP_SQL + "SELECT id, name, head_end AS end_time FROM app_summary "
+                                     "ORDER BY head_end DESC NULLS LAST, id")
+def q_listing_order(spark, sf_dir):
+    return ls.order_listing(_apps(spark, sf_dir)).select(
+        "id", "name", ls.head_attempt("endTime").alias("end_time"))
+
+
+@register("listing_limit", APP_SQL + f"SELECT id, name, head_end AS end_time FROM app_summary "
+                                     f"ORDER BY head_end DESC NULLS LAST, id LIMIT {LISTING_LIMIT}")
+def q_listing_limit(spark, sf_dir):
+    return ls.limit_listing(_apps(spark, sf_dir), LISTING_LIMIT).select(
+        "id", "name", ls.head_attempt("endTime").alias("end_time"))
+
+
+@register("tenant_match", ACCESS_SQL + f"""
+, j AS (SELECT r.*, s.name FROM access_req r LEFT JOIN app_summary s ON s.id = r.app_id)
+SELECT request_id, tenant_id, app_id,
+       coalesce(name IS NOT NULL AND {osql.visible_expr('name', 'tenant_id')}, false) AS visible,
+       CASE WHEN name IS NULL THEN NULL
+            WHEN name IN (SELECT name FROM exclusions_t) THEN 'exclusion'
+            WHEN {osql.visible_expr('name', 'tenant_id')} THEN 'pattern' END AS reason
+FROM j""")
+def q_tenant_match(spark, sf_dir):
+    return tn.tenant_match(fx.access_requests(spark, sf_dir), _apps(spark, sf_dir),
+                           fx.policy(spark, sf_dir)).select(
+        "request_id", "tenant_id", "app_id", "visible", "reason")
+
+
+@register("tenant_listing", APP_SQL + f"""
+SELECT id, name FROM app_summary WHERE {osql.visible_expr('name', "'" + QUERY_TENANT + "'")}""")
+def q_tenant_listing(spark, sf_dir):
+    return tn.tenant_listing(_apps(spark, sf_dir), QUERY_TENANT, fx.policy(spark, sf_dir)).select("id", "name")
+
+
+@register("tenant_access", ACCESS_SQL + """
+, j AS (SELECT r.*, s.name, s.head_attempt FROM access_req r LEFT JOIN app_summary s ON s.id = r.app_id)
+SELECT request_id, tenant_id, app_id, CAST(NULL AS VARCHAR) AS attempt_id, head_attempt AS resolved_attempt,
+       CASE WHEN name IS NULL THEN 'not_found'
+            WHEN NOT (SELECT ne FROM excl_nonempty) THEN 'ok'
+            WHEN name IN (SELECT name FROM exclusions_t) THEN 'ok'
+            WHEN EXISTS (SELECT 1 FROM patterns_t p
+                         WHERE starts_with(j.name, p.pattern || coalesce(j.tenant_id, 'null'))) THEN 'ok'
+            ELSE 'forbidden' END AS decision
+FROM j""")
+def q_tenant_access(spark, sf_dir):
+    return tn.tenant_access(fx.access_requests(spark, sf_dir), _apps(spark, sf_dir), fx.policy(spark, sf_dir))
+
+
+@register("exclusion_split", APP_SQL + """
+SELECT id, name, CASE WHEN name IN (SELECT name FROM exclusions_t) THEN 'exempt' ELSE 'subject' END AS side
+FROM app_summary""")
+def q_exclusion_split(spark, sf_dir):
+    exempt, subject = tn.exclusion_split(_apps(spark, sf_dir), fx.policy(spark, sf_dir))
+    return (exempt.select("id", "name", F.lit("exempt").alias("side"))
+            .unionByName(subject.select("id", "name", F.lit("subject").alias("side"))))
+
+
+@register("tenant_access_matrix", PAIRS_SQL + "SELECT app_id, name, tenant_id, shared_prefix FROM access_pairs")
+def q_tenant_access_matrix(spark, sf_dir):
+    return tn.access_matrix(_apps(spark, sf_dir), fx.tenants(spark, sf_dir), fx.policy(spark, sf_dir))
+
+
+@register("access_audit", PAIRS_SQL + """
+SELECT id AS app_id, name, CAST(NULL AS VARCHAR) AS tenant_id, 'exclusion' AS reason,
+       CAST(NULL AS BOOLEAN) AS shared_prefix
+FROM app_summary WHERE name IN (SELECT name FROM exclusions_t)
+UNION ALL
+SELECT app_id, name, tenant_id, 'pattern' AS reason, shared_prefix FROM access_pairs""")
+def q_access_audit(spark, sf_dir):
+    return tn.access_audit(_apps(spark, sf_dir), fx.tenants(spark, sf_dir), fx.policy(spark, sf_dir))
+
+
+@register("has_visible_apps", PAIRS_SQL + """
+, ex_any AS (SELECT bool_or(head_completed) AS c, bool_or(NOT head_completed) AS i
+             FROM app_summary WHERE name IN (SELECT name FROM exclusions_t)),
+own AS (SELECT p.tenant_id, bool_or(s.head_completed) AS c, bool_or(NOT s.head_completed) AS i
+        FROM access_pairs p JOIN app_summary s ON s.id = p.app_id GROUP BY p.tenant_id)
+SELECT t.tenant_id,
+       coalesce((SELECT c FROM ex_any), false) OR coalesce(o.c, false) AS has_completed,
+       coalesce((SELECT i FROM ex_any), false) OR coalesce(o.i, false) AS has_incomplete
+FROM (SELECT DISTINCT tenant_id FROM tenants_t) t LEFT JOIN own o ON o.tenant_id = t.tenant_id""")
+def q_has_visible_apps(spark, sf_dir):
+    apps, tenants, pol = _apps(spark, sf_dir), fx.tenants(spark, sf_dir), fx.policy(spark, sf_dir)
+    done = ls.has_visible_apps(apps, tenants, pol, show_incomplete=False).withColumnRenamed(
+        "has_visible", "has_completed")
+    todo = ls.has_visible_apps(apps, tenants, pol, show_incomplete=True).withColumnRenamed(
+        "has_visible", "has_incomplete")
+    return done.join(todo, "tenant_id")
+
+
+@register("max_apps", PAIRS_SQL + f"""
+, ranked AS (
+  SELECT p.tenant_id, p.app_id, s.name, s.head_end,
+         row_number() OVER (PARTITION BY p.tenant_id ORDER BY s.head_end DESC NULLS LAST, p.app_id) AS rn
+  FROM access_pairs p JOIN app_summary s ON s.id = p.app_id)
+SELECT tenant_id, app_id AS id, name, head_end AS end_time FROM ranked WHERE rn <= {TENANT_CAP}""")
+def q_max_apps(spark, sf_dir):
+    apps = _apps(spark, sf_dir)
+    pairs = tn.access_matrix(apps, fx.tenants(spark, sf_dir), fx.policy(spark, sf_dir))
+    j = pairs.select("tenant_id", F.col("app_id").alias("id")).join(apps, "id")
+    return ls.cap(j, TENANT_CAP, partition_by="tenant_id").select(
+        "tenant_id", "id", "name", ls.head_attempt("endTime").alias("end_time"))
+
+
+@register("application_query", APP_SQL + f"""
+, listed AS (SELECT * FROM app_summary s WHERE {osql.visible_expr('s.name', "'" + QUERY_TENANT + "'")}),
+kept AS (SELECT * FROM listed s WHERE NOT any_running AND {_time_sql()}
+         ORDER BY head_end DESC NULLS LAST, id LIMIT {QUERY_LIMIT})
+SELECT f.id, f.name, f.attempt_idx, f.attemptId, f.startTime, f.endTime, f.completed
+FROM kept k JOIN app_flat f ON f.id = k.id""")
+def q_application_query(spark, sf_dir):
+    out = ls.application_query(_apps(spark, sf_dir), QUERY_TENANT, fx.policy(spark, sf_dir), QUERY_STATUSES,
+                               QUERY_MIN_DATE, QUERY_MAX_DATE, QUERY_MIN_END, QUERY_MAX_END,
+                               QUERY_LIMIT, QUERY_NOW)
+    return _flat(out)
+
+
+@register("tenant_summary", APP_SQL + f"""
+SELECT id, name, head_end AS end_time FROM app_summary s
+WHERE {osql.visible_expr('s.name', "'" + QUERY_TENANT + "'")} AND NOT head_completed
+ORDER BY head_end DESC NULLS LAST, id LIMIT {LISTING_LIMIT}""")
+def q_tenant_summary(spark, sf_dir):
+    out = ls.tenant_summary(_apps(spark, sf_dir), QUERY_TENANT, fx.policy(spark, sf_dir),
+                            show_incomplete=True, max_apps=LISTING_LIMIT)
+    return out.select("id", "name", ls.head_attempt("endTime").alias("end_time"))
+
+
+# ================================================================ executors
+
+EXEC_SQL = osql.with_ctes(osql.APPS, osql.EXECUTORS)
+POD_SQL = "CASE WHEN e.id = 'driver' THEN e.id ELSE 'exec-' || coalesce(e.id, 'null') END"
+URL_SQL = (f"'{PROXY_BASE}' || '/logPage/?appId=' || coalesce(s.name, 'null') || '&podId=' || "
+           f"{POD_SQL} || '&logType=stderr'")
+EXEC_FROM = "FROM executors_t e LEFT JOIN app_summary s ON s.id = e.app_id"
+
+
+def _executors(spark, sf_dir):
+    return fx.executors(spark, sf_dir)
+
+
+@register("pod_id", EXEC_SQL + f"SELECT e.app_id, e.id, {POD_SQL} AS pod FROM executors_t e")
+def q_pod_id(spark, sf_dir):
+    return _executors(spark, sf_dir).select("app_id", "id", fc.pod_id("id").alias("pod"))
+
+
+@register("executors_with_app", EXEC_SQL + f"SELECT e.app_id, e.id, s.name AS app_name {EXEC_FROM}")
+def q_executors_with_app(spark, sf_dir):
+    return ex.with_app(_executors(spark, sf_dir), _apps(spark, sf_dir)).select("app_id", "id", "app_name")
+
+
+@register("executor_log_url", EXEC_SQL + f"SELECT e.app_id, e.id, {URL_SQL} AS log_url {EXEC_FROM}")
+def q_executor_log_url(spark, sf_dir):
+    j = ex.with_log_url(ex.with_app(_executors(spark, sf_dir), _apps(spark, sf_dir)), PROXY_BASE)
+    return j.select("app_id", "id", "log_url")
+
+
+@register("executor_log_map", EXEC_SQL + f"""
+SELECT e.app_id, e.id, e.hostPort, e.isActive, e.totalTasks, e.addTime, e.removeTime,
+       'logs' AS log_key, {URL_SQL} AS log_value {EXEC_FROM}""")
+def q_executor_log_map(spark, sf_dir):
+    j = ex.executor_links(_executors(spark, sf_dir), _apps(spark, sf_dir), PROXY_BASE)
+    return j.select("app_id", "id", "hostPort", "isActive", "totalTasks", "addTime", "removeTime",
+                    F.explode("executorLogs").alias("log_key", "log_value"))
+
+
+@register("executor_lookup", EXEC_SQL + f"""
+SELECT e.app_id, e.id, 'logs' AS log_key, {URL_SQL} AS log_value {EXEC_FROM} WHERE e.isActive""")
+def q_executor_lookup(spark, sf_dir):
+    j = ex.executor_links(_executors(spark, sf_dir), _apps(spark, sf_dir), PROXY_BASE, active_only=True)
+    return j.select("app_id", "id", F.explode("executorLogs").alias("log_key", "log_value"))
+
+
+@register("executor_links", EXEC_SQL + f"""
+SELECT e.app_id, s.name AS app_name, e.id, {POD_SQL} AS pod, e.isActive, 'logs' AS log_key,
+       {URL_SQL} AS log_value {EXEC_FROM}""")
+def q_executor_links(spark, sf_dir):
+    j = ex.executor_links(_executors(spark, sf_dir), _apps(spark, sf_dir), PROXY_BASE)
+    return j.select("app_id", "app_name", "id", "pod", "isActive",
+                    F.explode("executorLogs").alias("log_key", "log_value"))
+
+
+# =================================================================== paging
+
+CURSORS_SQL = """
+totals AS (SELECT app, pod, CAST(sum(length) AS BIGINT) AS total_bytes,
+                  CAST(max_by(length, seq) AS BIGINT) AS last_file_bytes FROM log_files GROUP BY app, pod),
+cursors AS (
+  SELECT 'client-1' AS client, app, pod, greatest(total_bytes - last_file_bytes - 512, 0) AS start_byte,
+         total_bytes - last_file_bytes AS end_byte, total_bytes - last_file_bytes AS total_bytes_seen,
+         512 AS byte_length FROM totals)"""
+
+
+@register("load_more", osql.with_ctes(osql.LOG_FILES, osql.LOGS, osql.MANIFEST, CURSORS_SQL, """
+requests AS (SELECT client || ':' || app || ':' || pod AS request_id, app, pod, 'stderr' AS log_type,
+                    greatest(start_byte - byte_length, 0) AS req_offset,
+                    CAST(least(byte_length, start_byte) AS INTEGER) AS byte_length FROM cursors)""",
+                                       osql.windows_cte()) + """
+SELECT request_id, app, pod, start_byte, end_byte, total_bytes, status, slice_hex FROM winr""")
+def q_load_more(spark, sf_dir):
+    return _slices(spark, sf_dir, requests=pg.prev_window(fx.log_cursors(spark, sf_dir))).select(*SLICE_COLS)
+
+
+@register("load_new", osql.with_ctes(osql.LOG_FILES, osql.LOGS, osql.MANIFEST, CURSORS_SQL, """
+requests AS (SELECT c.client || ':' || c.app || ':' || c.pod AS request_id, c.app, c.pod, 'stderr' AS log_type,
+                    c.total_bytes_seen AS req_offset,
+                    CAST(greatest(t.total_bytes - c.total_bytes_seen, 0) AS INTEGER) AS byte_length,
+                    CASE WHEN t.total_bytes > c.total_bytes_seen THEN 'new_bytes'
+                         WHEN t.total_bytes = c.total_bytes_seen THEN 'no_new' ELSE 'truncated' END AS poll_status
+             FROM cursors c JOIN totals t ON t.app = c.app AND t.pod = c.pod)""",
+                                      osql.windows_cte()) + """
+SELECT request_id, app, pod, poll_status, start_byte, end_byte, total_bytes, slice_hex FROM winr""")
+def q_load_new(spark, sf_dir):
+    reqs = pg.new_bytes(fx.log_cursors(spark, sf_dir), fx.log_totals(spark, sf_dir))
+    out = _slices(spark, sf_dir, requests=reqs)
+    return out.join(reqs.select("request_id", "poll_status"), "request_id").select(
+        "request_id", "app", "pod", "poll_status", "start_byte", "end_byte", "total_bytes", "slice_hex")
+
+
+PAGE_BYTES = 1024
+
+
+@register("page_plan", osql.with_ctes(osql.LOG_FILES, """
+totals AS (SELECT app, pod, CAST(sum(length) AS BIGINT) AS total_bytes FROM log_files GROUP BY app, pod)""") + f"""
+SELECT app, pod, p AS page_no, greatest(total_bytes - (p + 1) * {PAGE_BYTES}, 0) AS start_byte,
+       total_bytes - p * {PAGE_BYTES} AS end_byte, total_bytes
+FROM totals, LATERAL (SELECT unnest(range(0, CAST(ceil(total_bytes / {PAGE_BYTES}) AS BIGINT))) AS p)
+WHERE total_bytes > 0""")
+def q_page_plan(spark, sf_dir):
+    return pg.page_plan(fx.log_totals(spark, sf_dir), PAGE_BYTES)

@@ -187,3 +187,34 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(customer, o["o_custkey"] == customer["c_custkey"]).select(
         F.concat_ws("-", "c_mktsegment", F.col("o_custkey").cast("string"),
                     F.col("o_orderkey").cast("string")).alias("name"))
+
+
+def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tenant, application) pairs to decide: each order asked for by its own
+    customer and by the next customer key, and unknown applications asked for
+    by suppliers."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey")
+    own = orders.select(F.concat(F.lit("own:"), F.col("o_orderkey").cast("string")).alias("request_id"),
+                        F.col("o_custkey").cast("string").alias("tenant_id"),
+                        F.col("o_orderkey").cast("string").alias("app_id"))
+    other = orders.select(F.concat(F.lit("other:"), F.col("o_orderkey").cast("string")).alias("request_id"),
+                          (F.col("o_custkey") + 1).cast("string").alias("tenant_id"),
+                          F.col("o_orderkey").cast("string").alias("app_id"))
+    missing = supplier.select(F.concat(F.lit("missing:"), F.col("s_suppkey").cast("string")).alias("request_id"),
+                              F.col("s_suppkey").cast("string").alias("tenant_id"),
+                              F.concat(F.lit("gone-"), F.col("s_suppkey").cast("string")).alias("app_id"))
+    return own.unionByName(other).unionByName(missing)
+
+
+def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application ids to look up: part keys (mostly known ids) and unknown supplier ids."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    gone = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("gone-"), F.col("s_suppkey").cast("string")).alias("id"))
+    return parts.unionByName(gone)
+
+
+def policy(spark: SparkSession, sf_dir: str):
+    from rollscope.operators.tenant import TenantPolicy
+    return TenantPolicy("true", patterns(spark, sf_dir), exclusions(spark, sf_dir))
