@@ -552,3 +552,69 @@ FROM totals, LATERAL (SELECT unnest(range(0, CAST(ceil(total_bytes / {PAGE_BYTES
 WHERE total_bytes > 0""")
 def q_page_plan(spark, sf_dir):
     return pg.page_plan(fx.log_totals(spark, sf_dir), PAGE_BYTES)
+
+
+# ========================================================== real rolled files
+
+from rollscope.sources import files as fl  # noqa: E402
+from rollscope.sources.materialize import materialize_logs  # noqa: E402
+
+FILE_NAMES_SQL = osql.with_ctes(osql.LOG_FILES)
+
+
+def _home(spark, sf_dir):
+    return materialize_logs(spark, sf_dir)
+
+
+def _file_chunks(spark, sf_dir):
+    return fl.build_chunks(spark, _home(spark, sf_dir), fx.CHUNK_BYTES)
+
+
+@register("log_file_scan", FILE_NAMES_SQL + "SELECT app, file_name, file_name LIKE '%.gz' AS compressed FROM log_files")
+def q_log_file_scan(spark, sf_dir):
+    return fl.scan_log_files(spark, _home(spark, sf_dir)).select(
+        "app", "file_name", F.col("file_name").endswith(".gz").alias("compressed"))
+
+
+@register("log_chunks", FILE_NAMES_SQL + f"""
+SELECT app, file_name, k AS chunk_no,
+       CAST(least(length - k * {fx.CHUNK_BYTES}, {fx.CHUNK_BYTES}) AS BIGINT) AS n_bytes,
+       substr(hex(content), CAST(2 * k * {fx.CHUNK_BYTES} + 1 AS BIGINT), {2 * fx.CHUNK_BYTES}) AS chunk_hex
+FROM log_files, LATERAL (SELECT unnest(range(0, CAST(ceil(length / {fx.CHUNK_BYTES}) AS BIGINT))) AS k)
+WHERE length > 0""")
+def q_log_chunks(spark, sf_dir):
+    c = _file_chunks(spark, sf_dir)
+    return c.select("app", F.element_at(F.split("path", "/"), -1).alias("file_name"), "chunk_no",
+                    F.octet_length("bytes").cast("long").alias("n_bytes"), F.hex("bytes").alias("chunk_hex"))
+
+
+@register("uncompressed_length", FILE_NAMES_SQL + "SELECT app, file_name, length FROM log_files")
+def q_uncompressed_length(spark, sf_dir):
+    home = _home(spark, sf_dir)
+    files = fl.scan_log_files(spark, home)
+    return fl.uncompressed_length(files, fl.build_chunks(spark, home, fx.CHUNK_BYTES)).select(
+        "app", "file_name", "length")
+
+
+@register("log_manifest_sink", FILE_NAMES_SQL + "SELECT app, file_name, length FROM log_files")
+def q_log_manifest_sink(spark, sf_dir):
+    from rollscope.session import shared_dir
+    home = _home(spark, sf_dir)
+    base = f"{shared_dir(spark)}/fixture_tables/{sf_dir.rstrip('/').split('/')[-1]}"
+    table = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES)
+    return table.select("app", "file_name", "length")
+
+
+@register("log_slices_files", osql.LOG_BASE + f"""
+SELECT request_id, app, pod, start_byte, end_byte, total_bytes, status, slice_hex,
+       printf('==== Bytes %d-%d of %d of %s%s ====', start_byte, end_byte, total_bytes,
+              '<home>/' || app || '/', log_type) || chr(10) AS header FROM winr""")
+def q_log_slices_files(spark, sf_dir):
+    """Q1 on the real files: listing, gunzip-chunking, lengths, then the slice plan."""
+    home = _home(spark, sf_dir)
+    listing = fl.scan_log_files(spark, home)
+    chunks = _file_chunks(spark, sf_dir)
+    files = fl.uncompressed_length(listing, chunks)
+    out = sl.log_slices(_requests(spark, sf_dir), files, chunks, home="<home>",
+                        dirs=fl.log_directories(spark, home), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
+    return out.select(*SLICE_COLS, "header")
