@@ -618,3 +618,57 @@ def q_log_slices_files(spark, sf_dir):
     out = sl.log_slices(_requests(spark, sf_dir), files, chunks, home="<home>",
                         dirs=fl.log_directories(spark, home), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
     return out.select(*SLICE_COLS, "header")
+
+
+# ================================================================ event logs
+
+from rollscope.sources import eventlog as evl  # noqa: E402
+from rollscope.streaming.rolled import ingested_files, stream_rolled_files  # noqa: E402
+
+
+def _event_lines(spark, sf_dir):
+    """Event lines staged as a (log, value) table in the shared folder."""
+    from rollscope.session import shared_dir
+    root = f"{shared_dir(spark)}/fixture_eventlogs/{sf_dir.rstrip('/').split('/')[-1]}"
+    evl.write_event_logs(evl.event_lines_of(fx.application_attempts(spark, sf_dir),
+                                            fx.executors(spark, sf_dir)), root)
+    return spark.read.parquet(root)
+
+
+@register("event_log_tables", APP_SQL + """
+SELECT id, name, attempt_idx, attemptId, startTime, CASE WHEN completed THEN endTime END AS endTime, completed
+FROM app_flat WHERE attempt_idx IS NOT NULL""")
+def q_event_log_tables(spark, sf_dir):
+    apps, _ = evl.event_logs_to_tables(_event_lines(spark, sf_dir))
+    return _flat(apps).where(F.col("attempt_idx").isNotNull())
+
+
+@register("event_log_export", osql.with_ctes(osql.APPS, osql.EXECUTORS) + """
+, n_exec AS (SELECT app_id, count(*) AS n FROM executors_t GROUP BY app_id)
+SELECT f.id AS app_id, f.attemptId AS attempt_id,
+       CAST(1 + CASE WHEN f.completed THEN 1 ELSE 0 END
+              + CASE WHEN f.attempt_idx = 0 THEN coalesce(x.n, 0) ELSE 0 END AS BIGINT) AS n_lines
+FROM app_flat f LEFT JOIN n_exec x ON x.app_id = f.id
+WHERE f.attempt_idx IS NOT NULL
+  AND f.id IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')""")
+def q_event_log_export(spark, sf_dir):
+    from rollscope.session import shared_dir
+    lines = _event_lines(spark, sf_dir)
+    wanted = (fx.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+              .select(F.col("user_id").cast("string").alias("app_id")).distinct()
+              .withColumn("attempt_id", F.lit(None).cast("string")))
+    out = f"{shared_dir(spark)}/fixture_export/{sf_dir.rstrip('/').split('/')[-1]}"
+    evl.export_event_logs(lines, wanted, out)
+    back = spark.read.text(out)
+    return back.groupBy(F.col("app_id").cast("string").alias("app_id"),
+                        F.col("attempt_id").cast("string").alias("attempt_id")).agg(
+        F.count("*").alias("n_lines"))
+
+
+@register("stream_rolled_files", FILE_NAMES_SQL + "SELECT app, file_name, length FROM log_files")
+def q_stream_rolled_files(spark, sf_dir):
+    from rollscope.session import shared_dir
+    home = _home(spark, sf_dir)
+    base = f"{shared_dir(spark)}/fixture_stream/{sf_dir.rstrip('/').split('/')[-1]}"
+    stream_rolled_files(spark, home, base + "/out", base + "/checkpoint", fx.CHUNK_BYTES)
+    return ingested_files(spark, base + "/out").select("app", "file_name", "length")
