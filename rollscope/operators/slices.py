@@ -135,12 +135,19 @@ def fetch_chunks(pieces: DataFrame, chunks: DataFrame,
     p = pieces.where(F.col("local_end") > F.col("local_start")).withColumn(
         "chunk_no", F.explode(F.sequence(F.floor(F.col("local_start") / C).cast("long"),
                                          F.floor((F.col("local_end") - 1) / C).cast("long"))))
-    c = chunks.select("path", F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
-    j = p.join(c, ["path", "chunk_no"])
+    keys = ["path", "chunk_no"]
+    if "app_bucket" in chunks.columns:
+        # stored chunk tables are bucketed by app: joining on the bucket lets
+        # dynamic partition pruning skip the buckets no request needs
+        from rollscope.sources.files import app_bucket
+        p = p.withColumn("app_bucket", app_bucket(F.col("app")))
+        keys = ["app_bucket"] + keys
+    c = chunks.select(*keys[:-1], F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
+    j = p.join(c, keys)
     base = F.col("chunk_no") * C
     lo = F.greatest(F.col("local_start"), base) - base
     hi = F.least(F.col("local_end"), base + C) - base
-    return j.select(*[c_ for c_ in p.columns if c_ != "bytes"],
+    return j.select(*[c_ for c_ in p.columns if c_ not in ("bytes", "app_bucket")],
                     F.col("bytes").substr((lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
 
 

@@ -611,10 +611,11 @@ SELECT request_id, app, pod, start_byte, end_byte, total_bytes, status, slice_he
               '<home>/' || app || '/', log_type) || chr(10) AS header FROM winr""")
 def q_log_slices_files(spark, sf_dir):
     """Q1 on the real files: listing, gunzip-chunking, lengths, then the slice plan."""
+    from rollscope.session import shared_dir
     home = _home(spark, sf_dir)
-    listing = fl.scan_log_files(spark, home)
-    chunks = _file_chunks(spark, sf_dir)
-    files = fl.uncompressed_length(listing, chunks)
+    base = f"{shared_dir(spark)}/fixture_tables/{sf_dir.rstrip('/').split('/')[-1]}"
+    files = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES)
+    chunks = fl.read_table(spark, base + "/chunks")
     out = sl.log_slices(_requests(spark, sf_dir), files, chunks, home="<home>",
                         dirs=fl.log_directories(spark, home), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
     return out.select(*SLICE_COLS, "header")
@@ -627,14 +628,21 @@ from rollscope.streaming.rolled import ingested_files, stream_rolled_files  # no
 
 
 def _event_lines(spark, sf_dir):
-    """Event lines staged as a (log, value) table in the shared folder."""
+    """Event lines staged once per shared folder as a (log, value) table."""
     from rollscope.session import shared_dir
     root = f"{shared_dir(spark)}/fixture_eventlogs/{sf_dir.rstrip('/').split('/')[-1]}"
-    evl.write_event_logs(evl.event_lines_of(fx.application_attempts(spark, sf_dir),
-                                            fx.executors(spark, sf_dir)), root)
+    if not _exists(spark, root + "/_SUCCESS"):
+        evl.write_event_logs(evl.event_lines_of(fx.application_attempts(spark, sf_dir),
+                                                fx.executors(spark, sf_dir)), root)
     return spark.read.parquet(root)
 
 
+def _exists(spark, path):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 @register("event_log_tables", APP_SQL + """
 SELECT id, name, attempt_idx, attemptId, startTime, CASE WHEN completed THEN endTime END AS endTime, completed
 FROM app_flat WHERE attempt_idx IS NOT NULL""")

@@ -7,8 +7,8 @@ Files ending in ``.gz`` are gzip streams (several members allowed).
 * listing -- ``binaryFile`` without its ``content`` column: a metadata-only job
 * chunk table -- one pass over each file's bytes, gunzipped as a stream and
   cut into fixed-size chunks (the one Python step, Arrow-batched
-  ``mapInPandas``); stored partitioned by ``app`` so later slice jobs read only
-  the applications they ask for
+  ``mapInPandas``); stored in a fixed number of ``app_bucket`` folders so
+  later slice jobs read only the buckets of the applications they ask for
 * lengths -- plain files: listed length; gz files: sum of their chunk sizes
 """
 
@@ -79,8 +79,9 @@ def log_directories(spark: SparkSession, home: str) -> DataFrame:
     return dirs.unionByName(plain)
 
 
-def _chunker(chunk_bytes: int, flush_rows: int = 64):
-    """Per-partition gunzip + cut; memory stays around one file plus one batch of chunks."""
+def _chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
+    """Per-partition gunzip + cut; memory stays around one input batch plus
+    ``flush_bytes`` of output chunks."""
 
     def run(batches):
         import gzip
@@ -89,11 +90,13 @@ def _chunker(chunk_bytes: int, flush_rows: int = 64):
         import pandas as pd
 
         cols = {"app": [], "path": [], "chunk_no": [], "bytes": []}
+        held = [0]
 
         def take():
             out = pd.DataFrame(cols)
             for v in cols.values():
                 v.clear()
+            held[0] = 0
             return out
 
         for pdf in batches:
@@ -110,7 +113,8 @@ def _chunker(chunk_bytes: int, flush_rows: int = 64):
                     cols["chunk_no"].append(k)
                     cols["bytes"].append(piece)
                     k += 1
-                    if len(cols["path"]) >= flush_rows:
+                    held[0] += len(piece)
+                    if held[0] >= flush_bytes:
                         yield take()
         if cols["path"]:
             yield take()
@@ -119,20 +123,29 @@ def _chunker(chunk_bytes: int, flush_rows: int = 64):
     return run
 
 
+ARROW_BATCH_BYTES = str(32 << 20)
+
+
 def build_chunks(spark: SparkSession, home: str, chunk_bytes: int = 1 << 16,
-                 files: DataFrame | None = None) -> DataFrame:
+                 files: DataFrame | None = None, modified_after: str | None = None) -> DataFrame:
     """Chunk table ``(app, path, chunk_no, bytes)`` of uncompressed bytes.
 
-    ``files`` (a listing) restricts the job to those paths; the join with the
-    listing runs before any content is decompressed, and the ``binaryFile``
-    reader only loads a file's bytes when its row survives.
+    ``files`` (a listing) restricts the output to those paths;
+    ``modified_after`` (``YYYY-MM-DDTHH:MM:SS``) is passed to the file source,
+    which then skips older files before opening them.  Arrow batches into
+    the Python step are capped by bytes, so a batch holds few large files or
+    many small ones.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    b = _binary(spark, home).select("path", "content")
-    keep = scan_log_files(spark, home).select("app", "path")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+    reader = spark.read.format("binaryFile")
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    b = reader.load(home.rstrip("/") + "/*").select("path", "content")
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    src = b.where(parent != F.lit(_norm_home(spark, home))).select(
+        _segment(F.col("path"), -2).alias("app"), "path", "content")
     if files is not None:
-        keep = keep.join(files.select("path"), "path", "left_semi")
-    src = keep.join(b, "path")
+        src = src.join(files.select("path"), "path", "left_semi")
     return src.select("app", "path", "content").mapInPandas(_chunker(chunk_bytes), CHUNK_SCHEMA)
 
 
@@ -145,10 +158,35 @@ def uncompressed_length(files: DataFrame, chunks: DataFrame) -> DataFrame:
                         .otherwise(F.col("stored_length"))).drop("_gz_len")
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
-    """Chunk table as Parquet partitioned by app, rows sorted by (path, chunk_no) in each file."""
-    (chunks.repartition("app", "path").sortWithinPartitions("path", "chunk_no")
-     .write.mode(mode).partitionBy("app").parquet(path))
+TARGET_FILE_BYTES = 256 << 20
+CHUNK_BUCKETS = 32
+
+
+def app_bucket(app, buckets: int = CHUNK_BUCKETS):
+    """Storage bucket of an application: a fixed number of folders however many apps exist."""
+    return F.pmod(F.xxhash64(app), F.lit(buckets)).cast("int")
+
+
+def write_chunks(chunks: DataFrame, path: str, mode: str = "append",
+                 total_bytes: int | None = None, buckets: int = CHUNK_BUCKETS) -> None:
+    """Chunk table as Parquet partitioned by ``app_bucket``, rows sorted by (path, chunk_no).
+
+    Bucketing the folders (not one folder per application) keeps the folder
+    count fixed as applications grow; slice jobs join on the bucket too, so
+    dynamic partition pruning skips buckets no request touches.  A local sort
+    only: the chunker already emits each file's chunks together, so no shuffle
+    of the bytes is needed.  When the input's size is known, tasks are merged
+    (without a shuffle) to about one per ``TARGET_FILE_BYTES``, never below the
+    cluster's parallelism, so tiny rolled files do not become tiny Parquet files.
+    """
+    if total_bytes is not None:
+        sc = chunks.sparkSession.sparkContext
+        want = max(sc.defaultParallelism, -(-int(total_bytes) // TARGET_FILE_BYTES))
+        if chunks.rdd.getNumPartitions() > want:
+            chunks = chunks.coalesce(want)
+    (chunks.withColumn("app_bucket", app_bucket(F.col("app"), buckets))
+     .sortWithinPartitions("app_bucket", "path", "chunk_no")
+     .write.mode(mode).partitionBy("app_bucket").parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -187,8 +225,17 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     known = read_table(spark, table_path, FILE_TABLE_SCHEMA)
     fresh = listing if known is None else listing.join(known.select(*key), key, "left_anti")
     fresh = fresh.checkpoint()  # pin the set being ingested: the listing can move underneath
-    chunks = build_chunks(spark, home, chunk_bytes, files=fresh)
-    write_chunks(chunks, chunk_path)
+    if known is not None and fresh.isEmpty() and known.join(listing.select(*key), key, "left_anti").isEmpty():
+        return known  # nothing arrived, changed or vanished
+    after = None
+    if known is not None:
+        newest = known.select(F.max("modified")).first()[0]  # one scalar
+        if newest is not None:
+            # one second of slack: files at the boundary are re-read, then dropped by the semi join
+            after = (newest - __import__("datetime").timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")
+    chunks = build_chunks(spark, home, chunk_bytes, files=fresh, modified_after=after)
+    stored = fresh.select(F.sum("stored_length")).first()[0] or 0  # one scalar
+    write_chunks(chunks, chunk_path, total_bytes=stored)
     new_rows = uncompressed_length(fresh, read_table(spark, chunk_path).join(
         fresh.select("path"), "path", "left_semi"))
     current = new_rows.select(*[f.name for f in FILE_TABLE_SCHEMA.fields])
@@ -196,5 +243,6 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
         still = known.join(listing.select(*key), key, "left_semi")
         current = still.unionByName(current)
     current = current.checkpoint()
-    current.write.mode("overwrite").partitionBy("app").parquet(table_path)
+    # metadata only (one row per file): a few unpartitioned files
+    current.coalesce(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(table_path)
     return read_table(spark, table_path, FILE_TABLE_SCHEMA)

@@ -43,7 +43,8 @@ def _batch_writer(spark: SparkSession, home: str, out: str, chunk_bytes: int):
         written = batch.sparkSession.read.parquet(chunk_dir)
         files = fl.uncompressed_length(b.drop("content"), written)
         (files.select("app", "file_name", "path", "stored_length", "modified", "length")
-         .write.mode("overwrite").partitionBy("app").parquet(f"{out}/files/batch_id={batch_id}"))
+         .coalesce(batch.sparkSession.sparkContext.defaultParallelism)
+         .write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}"))
 
     return write
 
@@ -52,7 +53,7 @@ def stream_rolled_files(spark: SparkSession, home: str, out: str, checkpoint: st
                         chunk_bytes: int = 1 << 16, available_now: bool = True,
                         processing_time: str | None = None):
     """Start (and with ``available_now`` run to completion) the ingestion query."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", fl.ARROW_BATCH_BYTES)
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("maxFilesPerTrigger", 1000)
            .load(home.rstrip("/") + "/*"))
