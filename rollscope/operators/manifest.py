@@ -30,7 +30,7 @@ def match_files(logs: DataFrame, files: DataFrame) -> DataFrame:
     ``logs`` holds distinct ``(app, pod)``; the pod is any string, so the
     name test is a residual predicate of a join keyed on the directory.
     """
-    keep = [c for c in ("app", "file_name", "path", "length", "modified") if c in files.columns]
+    keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch") if c in files.columns]
     f = files.select(*keep)
     l = logs.select(F.col("app").alias("_lapp"), "pod")
     joined = l.join(f, (l["_lapp"] == f["app"]) & file_belongs(f["file_name"], f["app"], l["pod"]),

@@ -111,15 +111,16 @@ def overlap(windows: DataFrame, manifest: DataFrame,
     w = (windows.where((F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte")))
          .withColumn("bucket", F.explode(_bucket_span(F.col("start_byte"), F.col("end_byte"),
                                                       bucket_bytes))))
+    extra = ["chunk_batch"] if "chunk_batch" in manifest.columns else []
     m = (manifest.where(F.col("file_end") > F.col("file_start"))
-         .select("app", "pod", "path", "file_rank", "file_start", "file_end")
+         .select("app", "pod", "path", "file_rank", "file_start", "file_end", *extra)
          .withColumn("bucket", F.explode(_bucket_span(F.col("file_start"), F.col("file_end"),
                                                       bucket_bytes))))
     lo = F.greatest(F.col("start_byte"), F.col("file_start"))
     hi = F.least(F.col("end_byte"), F.col("file_end"))
     j = w.join(m, ["app", "pod", "bucket"]).where(
         (lo < hi) & (F.floor(lo / F.lit(bucket_bytes)) == F.col("bucket")))
-    return j.select(*carry, "path", "file_rank",
+    return j.select(*carry, "path", "file_rank", *extra,
                     (lo - F.col("file_start")).alias("local_start"),
                     (hi - F.col("file_start")).alias("local_end"))
 
@@ -136,6 +137,10 @@ def fetch_chunks(pieces: DataFrame, chunks: DataFrame,
         "chunk_no", F.explode(F.sequence(F.floor(F.col("local_start") / C).cast("long"),
                                          F.floor((F.col("local_end") - 1) / C).cast("long"))))
     keys = ["path", "chunk_no"]
+    if "chunk_batch" in chunks.columns and "chunk_batch" in p.columns:
+        # persisted chunk tables hold one folder per ingestion batch; the file
+        # table names the batch holding each file's current bytes
+        keys = ["chunk_batch"] + keys
     if "app_bucket" in chunks.columns:
         # stored chunk tables are bucketed by app: joining on the bucket lets
         # dynamic partition pruning skip the buckets no request needs
@@ -147,7 +152,7 @@ def fetch_chunks(pieces: DataFrame, chunks: DataFrame,
     base = F.col("chunk_no") * C
     lo = F.greatest(F.col("local_start"), base) - base
     hi = F.least(F.col("local_end"), base + C) - base
-    return j.select(*[c_ for c_ in p.columns if c_ not in ("bytes", "app_bucket")],
+    return j.select(*[c_ for c_ in p.columns if c_ not in ("bytes", "app_bucket", "chunk_batch")],
                     F.col("bytes").substr((lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
 
 

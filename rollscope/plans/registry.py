@@ -615,7 +615,7 @@ def q_log_slices_files(spark, sf_dir):
     home = _home(spark, sf_dir)
     base = f"{shared_dir(spark)}/fixture_tables/{sf_dir.rstrip('/').split('/')[-1]}"
     files = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES)
-    chunks = fl.read_table(spark, base + "/chunks")
+    chunks = fl.read_chunks(spark, base + "/chunks")
     out = sl.log_slices(_requests(spark, sf_dir), files, chunks, home="<home>",
                         dirs=fl.log_directories(spark, home), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
     return out.select(*SLICE_COLS, "header")

@@ -206,18 +206,35 @@ FILE_TABLE_SCHEMA = T.StructType([
     T.StructField("modified", T.TimestampType()),
     T.StructField("length", T.LongType()),
     T.StructField("app", T.StringType()),
+    T.StructField("chunk_batch", T.StringType()),
 ])
 
 
+def _batch_token(files: DataFrame) -> str:
+    """Deterministic name of an ingestion batch: a hash over the (path, length, mtime) set."""
+    h = files.select(F.sum(F.xxhash64("path", "stored_length", "modified").cast("decimal(38,0)"))
+                     .alias("h"), F.count(F.lit(1)).alias("n")).first()
+    return f"r{int(h['h'] or 0) & ((1 << 63) - 1):x}n{h['n']}"
+
+
+def read_chunks(spark: SparkSession, chunk_path: str) -> DataFrame | None:
+    """Chunk table of ``refresh_file_table``: app, path, chunk_no, bytes, chunk_batch, app_bucket."""
+    t = read_table(spark, chunk_path)
+    return None if t is None else t.withColumnRenamed("batch", "chunk_batch")
+
+
 def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_path: str,
                        chunk_bytes: int = 1 << 16) -> DataFrame:
     """Bring the persisted file table + chunk table up to date with the listing.
 
     Only files whose (path, stored length, modification time) is new are
     decompressed and chunked; the uncompressed lengths of known files are
-    reused, never recomputed.  Files that vanished or changed are dropped from
-    the file table (their stale chunks are superseded on the next full rebuild
-    and never joined, since lengths come from the file table).
+    reused, never recomputed.  Files that vanished or changed leave the file
+    table.  Chunks of one refresh go to their own folder ``batch=<token>``,
+    the token being a hash of the ingested file set, written with overwrite:
+    a refresh that failed half way and is run again rewrites the same folder
+    instead of adding duplicates.  The file table names each file's batch,
+    and slices join chunks on it, so superseded chunks are never read.
     Returns the current file table.
     """
     listing = scan_log_files(spark, home)
@@ -233,11 +250,13 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
         if newest is not None:
             # one second of slack: files at the boundary are re-read, then dropped by the semi join
             after = (newest - __import__("datetime").timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")
+    token = _batch_token(fresh)
+    batch_dir = f"{chunk_path.rstrip('/')}/batch={token}"
     chunks = build_chunks(spark, home, chunk_bytes, files=fresh, modified_after=after)
     stored = fresh.select(F.sum("stored_length")).first()[0] or 0  # one scalar
-    write_chunks(chunks, chunk_path, total_bytes=stored)
-    new_rows = uncompressed_length(fresh, read_table(spark, chunk_path).join(
-        fresh.select("path"), "path", "left_semi"))
+    write_chunks(chunks, batch_dir, mode="overwrite", total_bytes=stored)
+    new_rows = uncompressed_length(fresh, spark.read.parquet(batch_dir)).withColumn(
+        "chunk_batch", F.lit(token))
     current = new_rows.select(*[f.name for f in FILE_TABLE_SCHEMA.fields])
     if known is not None:
         still = known.join(listing.select(*key), key, "left_semi")

@@ -95,3 +95,32 @@ def test_refresh_only_new_files(spark, scratch):
     assert lens["a-exec-1_3.gz"] == 5
     new_chunks = spark.read.parquet(chunk_dir).where(F.col("path").endswith("a-exec-1_3.gz")).count()
     assert new_chunks == 2 and spark.read.parquet(chunk_dir).count() == n_chunks + 2
+
+
+def test_refresh_rerun_after_failure_adds_no_duplicates(spark, scratch):
+    from rollscope.operators import slices as sl2
+    home = build_home(scratch)
+    table, chunk_dir = os.path.join(scratch, "files_t"), os.path.join(scratch, "chunks_t")
+    fl.refresh_file_table(spark, home, table, chunk_dir, 4)
+    n_chunks = spark.read.parquet(chunk_dir).count()
+    time.sleep(1.1)
+    put(home, "a/a-exec-1_3.gz", b"+more", gz=True)
+    # simulate: chunks of the next refresh written, then the job died before the file table
+    saved = os.path.join(scratch, "saved_table")
+    shutil_copy(table, saved)
+    fl.refresh_file_table(spark, home, table, chunk_dir, 4)
+    shutil_copy(saved, table)
+    files = fl.refresh_file_table(spark, home, table, chunk_dir, 4)   # rerun
+    assert spark.read.parquet(chunk_dir).count() == n_chunks + 2
+    chunks = fl.read_chunks(spark, chunk_dir)
+    rq = spark.createDataFrame([("r", "a", "exec-1", None, 10**6)],
+                               "request_id string, app string, pod string, offset long, byte_length int")
+    got = sl2.log_slices(rq, files, chunks, chunk_bytes=4).first()
+    assert bytes(got.bytes) == EXPECTED[("a", "exec-1")] + b"+more"
+
+
+def shutil_copy(src, dst):
+    import shutil
+    if os.path.exists(dst):
+        shutil.rmtree(dst)
+    shutil.copytree(src, dst)
