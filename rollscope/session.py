@@ -28,6 +28,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ROLLSCOPE_DRIVER_MEMORY", "8g"))
+        # file listing of many log folders: a bounded number of listing tasks
+        # instead of one task per folder
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(max(64, 8 * shuffle_partitions)))
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
@@ -52,3 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
         conf_value = tempfile.mkdtemp(prefix="rollscope-ckpt-")
     sc.setCheckpointDir(conf_value)
     return sc.getCheckpointDir() or conf_value
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` that computes ``df`` once.
+
+    A reliable checkpoint writes through a second job; without a persisted
+    input that job recomputes the whole lineage.  The input is persisted only
+    for the duration of the checkpoint; the result lives in the shared
+    checkpoint folder and survives the loss of any executor.
+    """
+    from pyspark import StorageLevel
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

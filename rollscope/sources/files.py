@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollscope.functions.columns import GZ_SUFFIX
+from rollscope.session import reliable_checkpoint
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("app", T.StringType()),
@@ -237,11 +238,11 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     and slices join chunks on it, so superseded chunks are never read.
     Returns the current file table.
     """
-    listing = scan_log_files(spark, home)
+    listing = reliable_checkpoint(scan_log_files(spark, home))  # list the tree once per refresh
     key = ["path", "stored_length", "modified"]
     known = read_table(spark, table_path, FILE_TABLE_SCHEMA)
     fresh = listing if known is None else listing.join(known.select(*key), key, "left_anti")
-    fresh = fresh.checkpoint()  # pin the set being ingested: the listing can move underneath
+    fresh = reliable_checkpoint(fresh)  # pin the set being ingested
     if known is not None and fresh.isEmpty() and known.join(listing.select(*key), key, "left_anti").isEmpty():
         return known  # nothing arrived, changed or vanished
     after = None
@@ -261,7 +262,7 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     if known is not None:
         still = known.join(listing.select(*key), key, "left_semi")
         current = still.unionByName(current)
-    current = current.checkpoint()
+    current = reliable_checkpoint(current)
     # metadata only (one row per file): a few unpartitioned files
     current.coalesce(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(table_path)
     return read_table(spark, table_path, FILE_TABLE_SCHEMA)

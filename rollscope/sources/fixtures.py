@@ -52,15 +52,17 @@ def _file_name(app: Column, pod: Column, seq: Column, newest: Column) -> Column:
 
 
 def _log_rows(df: DataFrame, app: Column, pod: Column, seq: Column, text: Column) -> DataFrame:
+    # length is computed before the window, so branches that need only metadata
+    # (manifest, totals) let the optimizer drop the text before the shuffle
     rows = df.select(app.alias("app"), pod.alias("pod"), seq.cast("long").alias("seq"),
-                     F.encode(text, "UTF-8").alias("content"))
+                     F.encode(text, "UTF-8").alias("content"),
+                     F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("length"))
     newest = F.max("seq").over(Window.partitionBy("app", "pod"))
     return (rows.withColumn("newest", newest)
             .withColumn("file_name", _file_name(F.col("app"), F.col("pod"), F.col("seq"), F.col("newest")))
             .select("app", "pod", "seq", "file_name",
                     F.concat(F.lit(LOG_HOME + "/"), F.col("app"), F.lit("/"), F.col("file_name")).alias("path"),
-                    F.octet_length("content").cast("long").alias("length"),
-                    "content"))
+                    "length", "content"))
 
 
 def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
