@@ -66,16 +66,59 @@ def with_offsets(ranked: DataFrame) -> DataFrame:
             .withColumn("file_end", F.col("file_start") + F.col("length").cast("long")))
 
 
+def with_rank_offsets_split(files: DataFrame, partitions: int, order: str = "name") -> DataFrame:
+    """File rank and offsets when a single log may hold a large share of all files.
+
+    Two-level prefix sum instead of one window per log:
+
+    1. range-partition the file rows by (app, pod, sort key) into ``partitions``
+       parts -- a hot log spreads over many parts -- and pin each row's part id
+       with a reliable checkpoint (so recomputation cannot move rows);
+    2. rank and sum within (part, log): groups are bounded by the part size;
+    3. per (log, part) totals, prefix-summed over parts with a window whose
+       groups hold at most ``partitions`` rows;
+    4. join the part offsets back.  Same result as ``with_file_rank`` +
+       ``with_offsets``.
+    """
+    from rollscope.session import reliable_checkpoint
+    keys = rolled_order(order)
+    ranged = reliable_checkpoint(
+        files.repartitionByRange(partitions, F.col("app"), F.col("pod"), *keys)
+        .withColumn("_part", F.spark_partition_id()))
+    w_local = Window.partitionBy("_part", *LOG_KEY).orderBy(*keys)
+    local = (ranged.withColumn("_lrank", F.row_number().over(w_local))
+             .withColumn("_lstart", F.coalesce(
+                 F.sum("length").over(w_local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    parts = ranged.groupBy(*LOG_KEY, "_part").agg(F.count(F.lit(1)).alias("_n"),
+                                                  F.sum("length").alias("_bytes"))
+    w_parts = Window.partitionBy(*LOG_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*LOG_KEY, "_part",
+                         F.coalesce(F.sum("_n").over(w_parts), F.lit(0)).alias("_rank0"),
+                         F.coalesce(F.sum("_bytes").over(w_parts), F.lit(0)).alias("_start0"))
+    j = local.join(parts, [*LOG_KEY, "_part"])
+    return (j.withColumn("file_rank", (F.col("_rank0") + F.col("_lrank")).cast("int"))
+            .withColumn("file_start", (F.col("_start0") + F.col("_lstart")).cast("long"))
+            .withColumn("file_end", F.col("file_start") + F.col("length").cast("long"))
+            .drop("_part", "_lrank", "_lstart", "_rank0", "_start0"))
+
+
 def total_length(manifest: DataFrame) -> DataFrame:
     """Total bytes of each logical log (0 when no file matches)."""
     return manifest.groupBy(*LOG_KEY).agg(
         F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes"))
 
 
-def build_manifest(logs: DataFrame, files: DataFrame, order: str = "name") -> DataFrame:
-    """Match, rank and place the files of every requested log."""
-    ranked = with_file_rank(match_files(logs, files), order)
-    return with_offsets(ranked)
+def build_manifest(logs: DataFrame, files: DataFrame, order: str = "name",
+                   split_partitions: int | None = None) -> DataFrame:
+    """Match, rank and place the files of every requested log.
+
+    ``split_partitions`` switches to the two-level prefix sum for logs with
+    very many rolled files (see ``with_rank_offsets_split``).
+    """
+    matched = match_files(logs, files)
+    if split_partitions:
+        return with_rank_offsets_split(matched, split_partitions, order)
+    return with_offsets(with_file_rank(matched, order))
 
 
 def log_directories(files: DataFrame) -> DataFrame:

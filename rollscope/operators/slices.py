@@ -190,10 +190,14 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame, home:
 def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame, home: str = "",
                dirs: DataFrame | None = None, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, order: str = "name",
-               with_text: bool = True) -> DataFrame:
-    """Answer every byte-range request of ``requests`` in one Spark job."""
+               with_text: bool = True, split_partitions: int | None = None) -> DataFrame:
+    """Answer every byte-range request of ``requests`` in one Spark job.
+
+    ``split_partitions``: rank and place files with the two-level prefix sum
+    (for logs of very many rolled files); default is one window per log.
+    """
     req = normalize_requests(requests)
-    manifest = mf.build_manifest(requested_logs(req), files, order)
+    manifest = mf.build_manifest(requested_logs(req), files, order, split_partitions)
     totals = mf.total_length(manifest)
     if dirs is None:
         dirs = mf.log_directories(files)

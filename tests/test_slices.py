@@ -134,3 +134,24 @@ def test_bucketed_overlap_has_no_duplicates(spark):
     out = sl.log_slices(rq, fdf, sl.chunks_from_content(fdf, 3), chunk_bytes=3, bucket_bytes=2)
     for r in out.collect():
         assert bytes(r.bytes) == logs[(r.app, r.pod)]
+
+
+def test_split_prefix_sum_equals_window(spark):
+    rows = [("a", "driver", f"a-driver_{i:04d}" + (".gz" if i % 3 == 0 else ""), f"p{i}", (i * 7) % 13)
+            for i in range(400)]
+    rows += [("b", "exec-1", f"b-exec-1_{i}", f"q{i}", i % 5) for i in range(30)]
+    files = spark.createDataFrame(rows, "app string, pod string, file_name string, path string, length long")
+    simple = mf.with_offsets(mf.with_file_rank(files))
+    split = mf.with_rank_offsets_split(files, 16)
+    cols = ["app", "pod", "file_name", "file_rank", "file_start", "file_end"]
+    assert sorted(map(tuple, simple.select(*cols).collect())) == sorted(map(tuple, split.select(*cols).collect()))
+    fdf = spark.createDataFrame([(a, n, p, bytes([65 + (k % 26)]) * ln) for k, (a, _, n, p, ln) in enumerate(rows)],
+                                "app string, file_name string, path string, content binary") \
+        .withColumn("length", F.octet_length("content").cast("long"))
+    rq = spark.createDataFrame([("t", "a", "driver", None, 50), ("h", "b", "exec-1", 3, 20)],
+                               "request_id string, app string, pod string, offset long, byte_length int")
+    chunks = sl.chunks_from_content(fdf, 4)
+    one = {r.request_id: r.slice_hex for r in sl.log_slices(rq, fdf, chunks, chunk_bytes=4).collect()}
+    two = {r.request_id: r.slice_hex for r in
+           sl.log_slices(rq, fdf, chunks, chunk_bytes=4, split_partitions=8).collect()}
+    assert one == two and len(one["t"]) == 100
