@@ -24,18 +24,35 @@ def file_belongs(file_name, app, pod):
     return file_name.startswith(app) & file_name.contains(F.concat(F.lit("-"), pod, F.lit("_")))
 
 
-def match_files(logs: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the files of each requested log (equi join on app + name residual).
+# --- Fixed values: pod names that executor log links can produce ---
+CANONICAL_POD = r"^(driver|exec-[0-9]+)$"
+CANONICAL_POD_IN_NAME = r"-(driver|exec-[0-9]+)_"
+# -------------------------------------------------------------------
+
 
-    ``logs`` holds distinct ``(app, pod)``; the pod is any string, so the
-    name test is a residual predicate of a join keyed on the directory.
+def match_files(logs: DataFrame, files: DataFrame) -> DataFrame:
+    """Attach the files of each requested log.
+
+    Links only ever name ``driver`` or ``exec-<n>``; for those pods the pods a
+    file belongs to are read out of its name and the join is an equi join on
+    (app, pod), so an application with many executors and many rolled files
+    never pairs every requested pod with every file.  Any other pod string is
+    matched with the general rule (join on the directory, name test as a
+    residual), restricted to the requests that need it.  Both paths apply
+    the same rule: name starts with the app and contains ``-<pod>_``.
     """
     keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch") if c in files.columns]
     f = files.select(*keep)
-    l = logs.select(F.col("app").alias("_lapp"), "pod")
-    joined = l.join(f, (l["_lapp"] == f["app"]) & file_belongs(f["file_name"], f["app"], l["pod"]),
-                    "inner")
-    return joined.drop("_lapp")
+    canonical = F.col("pod").rlike(CANONICAL_POD)
+    fast_logs = logs.where(canonical).select("app", "pod")
+    named = f.withColumn("pod", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col("file_name"), F.lit(CANONICAL_POD_IN_NAME), 1))))
+    fast = (fast_logs.join(named, ["app", "pod"])
+            .where(F.col("file_name").startswith(F.col("app"))))
+    other = logs.where(~canonical).select(F.col("app").alias("_lapp"), "pod")
+    slow = other.join(f, (other["_lapp"] == f["app"]) & file_belongs(f["file_name"], f["app"], other["pod"]),
+                      "inner").drop("_lapp")
+    return fast.unionByName(slow)
 
 
 def rolled_order(order: str = "name"):

@@ -155,3 +155,17 @@ def test_split_prefix_sum_equals_window(spark):
     two = {r.request_id: r.slice_hex for r in
            sl.log_slices(rq, fdf, chunks, chunk_bytes=4, split_partitions=8).collect()}
     assert one == two and len(one["t"]) == 100
+
+
+def test_fast_pod_path_equals_general_rule(spark):
+    names = ["a-exec-1_1", "a-exec-10_1", "a-driver_2", "a-exec-1_x-driver_3", "a-exec-12-exec-1_4",
+             "a-weird_1", "b-exec-1_1", "a-exec-1-exec-2_5", "ab-driver_1"]
+    files = spark.createDataFrame([("a" if n.startswith("a-") or n.startswith("ab") else "b", n, n, 1)
+                                   for n in names], "app string, file_name string, path string, length long")
+    pods = ["driver", "exec-1", "exec-10", "exec-2", "weird", "exec-12-exec-1", "x"]
+    logs = spark.createDataFrame([(a, p) for a in ("a", "b") for p in pods], "app string, pod string")
+    got = sorted((r.app, r.pod, r.file_name) for r in mf.match_files(logs, files).collect())
+    exp = sorted((a, p, n) for a in ("a", "b") for p in pods for (fa, n) in
+                 [("a" if n.startswith("a-") or n.startswith("ab") else "b", n) for n in names]
+                 if fa == a and n.startswith(a) and f"-{p}_" in n)
+    assert got == exp
