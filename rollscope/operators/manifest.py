@@ -41,7 +41,8 @@ def match_files(logs: DataFrame, files: DataFrame) -> DataFrame:
     residual), restricted to the requests that need it.  Both paths apply
     the same rule: name starts with the app and contains ``-<pod>_``.
     """
-    keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch") if c in files.columns]
+    keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch", "app_bucket")
+            if c in files.columns]
     f = files.select(*keep)
     canonical = F.col("pod").rlike(CANONICAL_POD)
     fast_logs = logs.where(canonical).select("app", "pod")

@@ -111,7 +111,7 @@ def overlap(windows: DataFrame, manifest: DataFrame,
     w = (windows.where((F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte")))
          .withColumn("bucket", F.explode(_bucket_span(F.col("start_byte"), F.col("end_byte"),
                                                       bucket_bytes))))
-    extra = ["chunk_batch"] if "chunk_batch" in manifest.columns else []
+    extra = [c for c in ("chunk_batch", "app_bucket") if c in manifest.columns]
     m = (manifest.where(F.col("file_end") > F.col("file_start"))
          .select("app", "pod", "path", "file_rank", "file_start", "file_end", *extra)
          .withColumn("bucket", F.explode(_bucket_span(F.col("file_start"), F.col("file_end"),
@@ -143,9 +143,11 @@ def fetch_chunks(pieces: DataFrame, chunks: DataFrame,
         keys = ["chunk_batch"] + keys
     if "app_bucket" in chunks.columns:
         # stored chunk tables are bucketed by app: joining on the bucket lets
-        # dynamic partition pruning skip the buckets no request needs
-        from rollscope.sources.files import app_bucket
-        p = p.withColumn("app_bucket", app_bucket(F.col("app")))
+        # dynamic partition pruning skip the buckets no request needs.  The file
+        # table records each file's bucket; without it the default count is used.
+        if "app_bucket" not in p.columns:
+            from rollscope.sources.files import app_bucket
+            p = p.withColumn("app_bucket", app_bucket(F.col("app")))
         keys = ["app_bucket"] + keys
     c = chunks.select(*keys[:-1], F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
     j = p.join(c, keys)

@@ -208,6 +208,7 @@ FILE_TABLE_SCHEMA = T.StructType([
     T.StructField("length", T.LongType()),
     T.StructField("app", T.StringType()),
     T.StructField("chunk_batch", T.StringType()),
+    T.StructField("app_bucket", T.IntegerType()),
 ])
 
 
@@ -225,7 +226,7 @@ def read_chunks(spark: SparkSession, chunk_path: str) -> DataFrame | None:
 
 
 def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_path: str,
-                       chunk_bytes: int = 1 << 16) -> DataFrame:
+                       chunk_bytes: int = 1 << 16, buckets: int = CHUNK_BUCKETS) -> DataFrame:
     """Bring the persisted file table + chunk table up to date with the listing.
 
     Only files whose (path, stored length, modification time) is new are
@@ -235,7 +236,9 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     the token being a hash of the ingested file set, written with overwrite:
     a refresh that failed half way and is run again rewrites the same folder
     instead of adding duplicates.  The file table names each file's batch,
-    and slices join chunks on it, so superseded chunks are never read.
+    and slices join chunks on it, so superseded chunks are never read.  It
+    also records each file's ``app_bucket``, so ``buckets`` (more buckets =
+    finer pruning on very large tables) may differ between refreshes.
     Returns the current file table.
     """
     listing = reliable_checkpoint(scan_log_files(spark, home))  # list the tree once per refresh
@@ -255,9 +258,10 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     batch_dir = f"{chunk_path.rstrip('/')}/batch={token}"
     chunks = build_chunks(spark, home, chunk_bytes, files=fresh, modified_after=after)
     stored = fresh.select(F.sum("stored_length")).first()[0] or 0  # one scalar
-    write_chunks(chunks, batch_dir, mode="overwrite", total_bytes=stored)
-    new_rows = uncompressed_length(fresh, spark.read.parquet(batch_dir)).withColumn(
-        "chunk_batch", F.lit(token))
+    write_chunks(chunks, batch_dir, mode="overwrite", total_bytes=stored, buckets=buckets)
+    new_rows = (uncompressed_length(fresh, spark.read.parquet(batch_dir))
+                .withColumn("chunk_batch", F.lit(token))
+                .withColumn("app_bucket", app_bucket(F.col("app"), buckets)))
     current = new_rows.select(*[f.name for f in FILE_TABLE_SCHEMA.fields])
     if known is not None:
         still = known.join(listing.select(*key), key, "left_semi")
