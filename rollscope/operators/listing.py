@@ -130,25 +130,38 @@ def app_lookup(apps: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(apps, "id", "left")
 
 
-def has_visible_apps(apps: DataFrame, tenants: DataFrame, policy, show_incomplete: bool = False
-                     ) -> DataFrame:
-    """Per tenant: is there any application to show in the chosen view.
+def visible_views(apps: DataFrame, tenants: DataFrame, policy) -> DataFrame:
+    """Per tenant: ``has_completed`` / ``has_incomplete`` -- is there anything to show
+    in the completed view and in the incomplete view.
 
-    Exempt applications count for every tenant (one global flag computed as
-    a scalar subquery); the rest comes from the tenant's pattern pairs.
+    Exempt applications count for every tenant (two global flags, scalar
+    subqueries); the rest comes from the tenant's pattern pairs, built once
+    for both views.
     """
     from rollscope.operators import tenant as tn
-    in_view = completed_view(apps, show_incomplete)
+    done = is_completed()
     t = tenants.select("tenant_id").distinct()
     if not policy.filtering:
-        anyone = in_view.select(F.count(F.lit(1)) > 0).scalar()
-        return t.select("tenant_id", anyone.alias("has_visible"))
-    exempt, _ = tn.exclusion_split(in_view, policy)
-    exempt_any = exempt.select(F.count(F.lit(1)) > 0).scalar()
-    pairs = tn.access_matrix(in_view, tenants, policy).select("tenant_id").distinct() \
-        .withColumn("_own", F.lit(True))
-    j = t.join(pairs, t["tenant_id"].eqNullSafe(pairs["tenant_id"]), "left").drop(pairs["tenant_id"])
-    return j.select("tenant_id", (exempt_any | F.coalesce(F.col("_own"), F.lit(False))).alias("has_visible"))
+        c = apps.select(F.coalesce(F.bool_or(done), F.lit(False))).scalar()
+        i = apps.select(F.coalesce(F.bool_or(~done), F.lit(False))).scalar()
+        return t.select("tenant_id", c.alias("has_completed"), i.alias("has_incomplete"))
+    exempt, _ = tn.exclusion_split(apps, policy)
+    ex_c = exempt.select(F.coalesce(F.bool_or(done), F.lit(False))).scalar()
+    ex_i = exempt.select(F.coalesce(F.bool_or(~done), F.lit(False))).scalar()
+    flags = apps.select(F.col("id").alias("app_id"), done.alias("_done"))
+    own = (tn.access_matrix(apps, tenants, policy).select("app_id", "tenant_id").join(flags, "app_id")
+           .groupBy("tenant_id").agg(F.bool_or("_done").alias("_c"), F.bool_or(~F.col("_done")).alias("_i")))
+    j = t.join(own, t["tenant_id"].eqNullSafe(own["tenant_id"]), "left").drop(own["tenant_id"])
+    return j.select("tenant_id",
+                    (ex_c | F.coalesce(F.col("_c"), F.lit(False))).alias("has_completed"),
+                    (ex_i | F.coalesce(F.col("_i"), F.lit(False))).alias("has_incomplete"))
+
+
+def has_visible_apps(apps: DataFrame, tenants: DataFrame, policy, show_incomplete: bool = False
+                     ) -> DataFrame:
+    """Per tenant: is there any application to show in the chosen view."""
+    col = "has_incomplete" if show_incomplete else "has_completed"
+    return visible_views(apps, tenants, policy).select("tenant_id", F.col(col).alias("has_visible"))
 
 
 def flatten_attempts(apps: DataFrame, keep: list[str] | None = None) -> DataFrame:

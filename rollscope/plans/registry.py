@@ -405,12 +405,7 @@ SELECT t.tenant_id,
        coalesce((SELECT i FROM ex_any), false) OR coalesce(o.i, false) AS has_incomplete
 FROM (SELECT DISTINCT tenant_id FROM tenants_t) t LEFT JOIN own o ON o.tenant_id = t.tenant_id""")
 def q_has_visible_apps(spark, sf_dir):
-    apps, tenants, pol = _apps(spark, sf_dir), fx.tenants(spark, sf_dir), fx.policy(spark, sf_dir)
-    done = ls.has_visible_apps(apps, tenants, pol, show_incomplete=False).withColumnRenamed(
-        "has_visible", "has_completed")
-    todo = ls.has_visible_apps(apps, tenants, pol, show_incomplete=True).withColumnRenamed(
-        "has_visible", "has_incomplete")
-    return done.join(todo, "tenant_id")
+    return ls.visible_views(_apps(spark, sf_dir), fx.tenants(spark, sf_dir), fx.policy(spark, sf_dir))
 
 
 @register("max_apps", PAIRS_SQL + f"""

@@ -113,40 +113,39 @@ def log_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen.alias("end_byte"), seen.alias("total_bytes"), F.lit(512).alias("byte_length"))
 
 
-def application_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat applications: one row per attempt, NULL attempt for apps without any."""
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested applications: ``id, name, attempts ARRAY<STRUCT<...>>`` newest first.
+
+    One group per order: its line items sorted by ship date (newest first),
+    ties by line number, part, supplier, price (all ascending -- negated inside
+    a descending struct sort, so no comparator lambda runs per element).
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_shipdate", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey",
-        "l_extendedprice")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        F.col("l_shipdate").desc(), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    att = (li.withColumn("idx", F.row_number().over(w) - 1)
-           .withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey"))))
+    li = table(spark, sf_dir, "lineitem")
+    key = F.struct(F.col("l_shipdate").alias("d"), (-F.col("l_linenumber")).alias("ln"),
+                   (-F.col("l_partkey")).alias("pk"), (-F.col("l_suppkey")).alias("sk"),
+                   (-F.col("l_extendedprice")).alias("ep"), F.col("l_linestatus").alias("st"))
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(key), asc=False).alias("lines"))
     base = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
-        F.col("o_orderkey").cast("string").alias("id"),
+        "o_orderkey", "o_orderdate",
         F.concat_ws("-", "c_mktsegment", F.col("o_custkey").cast("string"),
-                    F.col("o_orderkey").cast("string")).alias("name"),
-        "o_orderkey", "o_orderdate")
-    j = base.join(att, base["o_orderkey"] == att["l_orderkey"], "left")
-    return j.select(
-        "id", "name", F.col("idx").alias("attempt_idx"),
-        (F.col("n") - F.col("idx")).cast("string").alias("attemptId"),
-        F.when(F.col("idx").isNotNull(), F.col("o_orderdate")).alias("startTime"),
-        F.col("l_shipdate").alias("endTime"),
-        (F.col("l_linestatus") == "F").alias("completed"))
+                    F.col("o_orderkey").cast("string")).alias("name"))
+    j = base.join(lines, base["o_orderkey"] == lines["l_orderkey"], "left")
+    arr = F.coalesce(F.col("lines"), F.array())
+    attempts = F.transform(arr, lambda x, i: F.struct(
+        (F.size(arr) - i).cast("string").alias("attemptId"),
+        F.col("o_orderdate").alias("startTime"),
+        x["d"].alias("endTime"),
+        (x["st"] == "F").alias("completed")))
+    return j.select(F.col("o_orderkey").cast("string").alias("id"), "name", attempts.alias("attempts"))
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested applications: ``id, name, attempts ARRAY<STRUCT<...>>`` newest first."""
-    flat = application_attempts(spark, sf_dir)
-    att = F.struct("attempt_idx", "attemptId", "startTime", "endTime", "completed")
-    nested = flat.groupBy("id", "name").agg(
-        F.array_sort(F.collect_list(F.when(F.col("attempt_idx").isNotNull(), att))).alias("a"))
-    return nested.select("id", "name", F.transform("a", lambda x: F.struct(
-        x["attemptId"].alias("attemptId"), x["startTime"].alias("startTime"),
-        x["endTime"].alias("endTime"), x["completed"].alias("completed"))).alias("attempts"))
+def application_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat applications: one row per attempt, NULL attempt for apps without any."""
+    apps = applications(spark, sf_dir)
+    return apps.select("id", "name", F.posexplode_outer("attempts").alias("attempt_idx", "a")).select(
+        "id", "name", "attempt_idx", "a.attemptId", "a.startTime", "a.endTime", "a.completed")
 
 
 def executors(spark: SparkSession, sf_dir: str) -> DataFrame:
