@@ -170,12 +170,20 @@ def assemble(fetched: DataFrame, keys: list[str]) -> DataFrame:
             .agg(F.array_join(F.transform(parts, lambda x: x["h"]), "").alias("slice_hex")))
 
 
-def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame, home: str = "",
+def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None, home: str = "",
                chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, with_text: bool = True) -> DataFrame:
-    """Bytes, text and header for resolved windows."""
+    """Bytes, text and header for resolved windows.
+
+    ``chunks`` None = read the byte ranges directly from the files (positioned
+    reads for plain files); otherwise join the chunk table.
+    """
     pieces = overlap(windows, manifest, bucket_bytes)
-    fetched = fetch_chunks(pieces, chunks, chunk_bytes)
+    if chunks is None:
+        from rollscope.sources.files import read_ranges
+        fetched = read_ranges(pieces)
+    else:
+        fetched = fetch_chunks(pieces, chunks, chunk_bytes)
     filled = assemble(fetched, WINDOW_COLUMNS)
     needs_bytes = (F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte"))
     empty = windows.where(~needs_bytes).withColumn(
@@ -189,12 +197,15 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame, home:
         F.col("log_type")))
 
 
-def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame, home: str = "",
+def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None, home: str = "",
                dirs: DataFrame | None = None, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, order: str = "name",
                with_text: bool = True, split_partitions: int | None = None) -> DataFrame:
     """Answer every byte-range request of ``requests`` in one Spark job.
 
+    ``chunks`` is the chunk table, or None to read ranges straight from the
+    files in ``files.path`` (no ingestion needed; see ``sources.files.file_table``).
+
     ``split_partitions``: rank and place files with the two-level prefix sum
     (for logs of very many rolled files); default is one window per log.
     """

@@ -675,3 +675,16 @@ def q_stream_rolled_files(spark, sf_dir):
     base = f"{shared_dir(spark)}/fixture_stream/{sf_dir.rstrip('/').split('/')[-1]}"
     stream_rolled_files(spark, home, base + "/out", base + "/checkpoint", fx.CHUNK_BYTES)
     return ingested_files(spark, base + "/out").select("app", "file_name", "length")
+
+
+def direct_slices(spark, sf_dir):
+    """Q1 over the staged files without ingestion: listing + gz lengths, positioned reads.
+
+    Not a separate operator (it is ``log_slices`` with ``chunks=None``); used by
+    the benchmark to compare the direct path with the chunk-table path.
+    """
+    home = _home(spark, sf_dir)
+    files = fl.file_table(spark, home)
+    out = sl.log_slices(_requests(spark, sf_dir), files, None, home="<home>",
+                        dirs=fl.log_directories(spark, home), with_text=False)
+    return out.select(*SLICE_COLS, "header")

@@ -270,3 +270,120 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     # metadata only (one row per file): a few unpartitioned files
     current.coalesce(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(table_path)
     return read_table(spark, table_path, FILE_TABLE_SCHEMA)
+
+
+def gunzip(raw, block: int = 1 << 20):
+    """Decompressed pieces of a gzip stream (several members allowed), read block by block."""
+    import zlib
+    d = zlib.decompressobj(16 + zlib.MAX_WBITS)
+    while True:
+        buf = raw.read(block)
+        if not buf:
+            break
+        buf = bytes(buf)
+        while buf:
+            out = d.decompress(buf)
+            if out:
+                yield out
+            if d.eof:
+                buf = d.unused_data
+                d = zlib.decompressobj(16 + zlib.MAX_WBITS)
+            else:
+                buf = b""
+    tail = d.flush()
+    if tail:
+        yield tail
+
+
+def _length_counter(batch_bytes: int = 1 << 20):
+    gz_stream = gunzip
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        def open_path(uri):
+            if uri.startswith("file:"):
+                return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+            if "://" not in uri:
+                return pafs.LocalFileSystem(), uri
+            return pafs.FileSystem.from_uri(uri)
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                fs, p = open_path(path)
+                with fs.open_input_stream(p, compression=None) as raw:
+                    out.append(sum(len(b) for b in gz_stream(raw, batch_bytes)))
+            yield pd.DataFrame({"path": pdf["path"], "_gz_len": out})
+    return run
+
+
+def file_table(spark: SparkSession, home: str) -> DataFrame:
+    """File table without a chunk table, for direct range reads.
+
+    Plain files take their listed length (no byte is read); gz files are
+    streamed once in tasks to count their uncompressed bytes.
+    """
+    listing = scan_log_files(spark, home)
+    gz = listing.where(F.col("file_name").endswith(GZ_SUFFIX)).select("path")
+    sizes = gz.mapInPandas(_length_counter(), "path string, _gz_len long")
+    j = listing.join(sizes, "path", "left")
+    return j.withColumn("length", F.when(F.col("file_name").endswith(GZ_SUFFIX), F.col("_gz_len"))
+                        .otherwise(F.col("stored_length"))).drop("_gz_len")
+
+
+def _range_reader(piece_cols: list[str]):
+    gz_stream = gunzip
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        def open_path(uri):
+            if uri.startswith("file:"):
+                return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+            if "://" not in uri:
+                return pafs.LocalFileSystem(), uri
+            return pafs.FileSystem.from_uri(uri)
+
+        for pdf in batches:
+            pieces = []
+            for path, lo, hi in zip(pdf["path"], pdf["local_start"], pdf["local_end"]):
+                fs, p = open_path(path)
+                lo, hi = int(lo), int(hi)
+                if path.endswith(".gz"):
+                    # no random access into gzip: stream and skip, as a sequential reader must
+                    got, pos = [], 0
+                    with fs.open_input_stream(p, compression=None) as raw:
+                        for b in gz_stream(raw):
+                            end = pos + len(b)
+                            if end > lo:
+                                got.append(b[max(lo - pos, 0):hi - pos])
+                            pos = end
+                            if pos >= hi:
+                                break
+                    pieces.append(b"".join(got))
+                else:
+                    with fs.open_input_file(p) as f:
+                        pieces.append(f.read_at(hi - lo, lo))
+            out = pdf[piece_cols].copy()
+            out["chunk_no"] = 0
+            out["piece"] = pieces
+            yield out
+    return run
+
+
+def read_ranges(pieces: DataFrame) -> DataFrame:
+    """Bytes of each (request, file, local range) read straight from the file.
+
+    Plain files are read with one positioned read of exactly the requested
+    bytes -- the cost follows the bytes asked for, not the size of the logs.
+    Rows are clustered by path within each task so a file's pieces are read
+    together.
+    """
+    cols = [c for c in pieces.columns]
+    schema = T.StructType([f for f in pieces.schema.fields]
+                          + [T.StructField("chunk_no", T.LongType()), T.StructField("piece", T.BinaryType())])
+    return (pieces.sortWithinPartitions("path", "local_start")
+            .mapInPandas(_range_reader(cols), schema))

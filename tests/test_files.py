@@ -124,3 +124,20 @@ def shutil_copy(src, dst):
     if os.path.exists(dst):
         shutil.rmtree(dst)
     shutil.copytree(src, dst)
+
+
+def test_direct_range_reads(spark, scratch):
+    home = build_home(scratch)
+    files = fl.file_table(spark, home)
+    lengths = {r.file_name: r.length for r in files.collect()}
+    assert lengths["m-driver_1.gz"] == len(b"member-1|member-2") and lengths["a-driver_2"] == 4
+    reqs = [(f"{a}|{p}", a, p, None, 10**6) for a, p in EXPECTED]
+    reqs += [("tail", "a", "exec-1", None, 5), ("mid", "a", "exec-1", 6, 3), ("gzmid", "m", "driver", 4, 9)]
+    rq = spark.createDataFrame(reqs, "request_id string, app string, pod string, offset long, byte_length int")
+    out = sl.log_slices(rq, files, None, home=home, dirs=fl.log_directories(spark, home))
+    got = {r.request_id: bytes(r.bytes) for r in out.collect()}
+    for (a, p), data in EXPECTED.items():
+        assert got[f"{a}|{p}"] == data
+    full = EXPECTED[("a", "exec-1")]
+    assert got["tail"] == full[-5:] and got["mid"] == full[6:9]
+    assert got["gzmid"] == b"member-1|member-2"[4:13]
