@@ -51,6 +51,19 @@ def advance_prev(cursors: DataFrame, slices: DataFrame) -> DataFrame:
                     (ok & (F.col("ret_start") == 0)).alias("at_start"))
 
 
+def advance_new(cursors: DataFrame, slices: DataFrame) -> DataFrame:
+    """New cursor after a "load new" reply: end and total move to what came back."""
+    r = slices.select("request_id", F.col("end_byte").alias("ret_end"),
+                      F.col("total_bytes").alias("ret_total"), "status")
+    c = cursors.withColumn("request_id", F.concat_ws(":", "client", "app", "pod"))
+    j = c.join(r, "request_id", "left")
+    grew = (F.col("status") == "ok") & (F.col("ret_total") > F.col("total_bytes"))
+    return j.select("client", "app", "pod", "start_byte",
+                    F.when(grew, F.col("ret_end")).otherwise(F.col("end_byte")).alias("end_byte"),
+                    F.when(grew, F.col("ret_total")).otherwise(F.col("total_bytes")).alias("total_bytes"),
+                    "byte_length")
+
+
 def new_bytes(cursors: DataFrame, totals: DataFrame, log_type: str = "stderr") -> DataFrame:
     """Requests for bytes appended since each cursor's known total ("load new").
 

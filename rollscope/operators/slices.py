@@ -170,13 +170,32 @@ def assemble(fetched: DataFrame, keys: list[str]) -> DataFrame:
             .agg(F.array_join(F.transform(parts, lambda x: x["h"]), "").alias("slice_hex")))
 
 
+def assemble_per_file(fetched: DataFrame, keys: list[str]) -> DataFrame:
+    """Like ``assemble`` but also decodes text one file piece at a time.
+
+    Compatibility mode: a multi-byte character cut by a file border turns into
+    replacement characters, as when each file's bytes are decoded on their own.
+    """
+    in_file = F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("piece").alias("h"))))
+    per_file = (fetched.groupBy(*keys, "file_rank")
+                .agg(F.array_join(F.transform(in_file, lambda x: x["h"]), "").alias("fh"))
+                .withColumn("ft", lossy_utf8(F.unhex("fh"))))
+    parts = F.array_sort(F.collect_list(F.struct("file_rank", "fh", "ft")))
+    return per_file.groupBy(*keys).agg(parts.alias("_p")).select(
+        *keys, F.array_join(F.transform("_p", lambda x: x["fh"]), "").alias("slice_hex"),
+        F.array_join(F.transform("_p", lambda x: x["ft"]), "").alias("text"))
+
+
 def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None, home: str = "",
                chunk_bytes: int = DEFAULT_CHUNK_BYTES,
-               bucket_bytes: int = DEFAULT_BUCKET_BYTES, with_text: bool = True) -> DataFrame:
+               bucket_bytes: int = DEFAULT_BUCKET_BYTES, with_text: bool = True,
+               text_mode: str = "whole") -> DataFrame:
     """Bytes, text and header for resolved windows.
 
     ``chunks`` None = read the byte ranges directly from the files (positioned
-    reads for plain files); otherwise join the chunk table.
+    reads for plain files); otherwise join the chunk table.  ``text_mode``:
+    ``whole`` decodes each slice once (default); ``per_file`` decodes each
+    file's piece on its own, as a reader going file by file does.
     """
     pieces = overlap(windows, manifest, bucket_bytes)
     if chunks is None:
@@ -184,13 +203,16 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
         fetched = read_ranges(pieces)
     else:
         fetched = fetch_chunks(pieces, chunks, chunk_bytes)
-    filled = assemble(fetched, WINDOW_COLUMNS)
+    per_file = with_text and text_mode == "per_file"
+    filled = assemble_per_file(fetched, WINDOW_COLUMNS) if per_file else assemble(fetched, WINDOW_COLUMNS)
     needs_bytes = (F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte"))
     empty = windows.where(~needs_bytes).withColumn(
         "slice_hex", F.when(F.col("status") == STATUS_OK, F.lit("")).otherwise(F.lit(None).cast("string")))
+    if per_file:
+        empty = empty.withColumn("text", F.when(F.col("status") == STATUS_OK, F.lit("")))
     out = filled.unionByName(empty)
     out = out.withColumn("bytes", F.unhex("slice_hex"))
-    if with_text:
+    if with_text and not per_file:
         out = out.withColumn("text", lossy_utf8(F.col("bytes")))
     return out.withColumn("header", slice_header(
         F.col("start_byte"), F.col("end_byte"), F.col("total_bytes"), log_dir(home, F.col("app")),
@@ -200,7 +222,8 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
 def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None, home: str = "",
                dirs: DataFrame | None = None, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, order: str = "name",
-               with_text: bool = True, split_partitions: int | None = None) -> DataFrame:
+               with_text: bool = True, split_partitions: int | None = None,
+               text_mode: str = "whole") -> DataFrame:
     """Answer every byte-range request of ``requests`` in one Spark job.
 
     ``chunks`` is the chunk table, or None to read ranges straight from the
@@ -215,7 +238,7 @@ def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None,
     if dirs is None:
         dirs = mf.log_directories(files)
     windows = resolve_requests(req, totals, dirs)
-    return slices_for(windows, manifest, chunks, home, chunk_bytes, bucket_bytes, with_text)
+    return slices_for(windows, manifest, chunks, home, chunk_bytes, bucket_bytes, with_text, text_mode)
 
 
 def chunks_from_content(files: DataFrame, chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:

@@ -141,3 +141,17 @@ def test_direct_range_reads(spark, scratch):
     full = EXPECTED[("a", "exec-1")]
     assert got["tail"] == full[-5:] and got["mid"] == full[6:9]
     assert got["gzmid"] == b"member-1|member-2"[4:13]
+
+
+def test_text_per_file_piece(spark, scratch):
+    home = build_home(scratch)
+    listing = fl.scan_log_files(spark, home)
+    chunks = fl.build_chunks(spark, home, 4)
+    files = fl.uncompressed_length(listing, chunks)
+    rq = spark.createDataFrame([("mid", "a", "exec-1", 4, 6)],
+                               "request_id string, app string, pod string, offset long, byte_length int")
+    whole = sl.log_slices(rq, files, chunks, chunk_bytes=4).first()
+    split = sl.log_slices(rq, files, chunks, chunk_bytes=4, text_mode="per_file").first()
+    assert bytes(whole.bytes) == bytes(split.bytes) == b"t \xc3\xa9 s"
+    assert whole.text == "t é s"
+    assert split.text == "t �� s"  # "é" cut by the file border, each half decoded alone

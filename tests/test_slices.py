@@ -169,3 +169,18 @@ def test_fast_pod_path_equals_general_rule(spark):
                  [("a" if n.startswith("a-") or n.startswith("ab") else "b", n) for n in names]
                  if fa == a and n.startswith(a) and f"-{p}_" in n)
     assert got == exp
+
+
+def test_advance_new_cursor(spark):
+    files, logs = make_logs()
+    fdf = files_df(spark, files)
+    key = max(logs, key=lambda k: len(logs[k]))
+    total = len(logs[key])
+    cur = spark.createDataFrame([("c", key[0], key[1], 0, 2, 2, 5)],
+                                "client string, app string, pod string, start_byte long, end_byte long, "
+                                "total_bytes long, byte_length int")
+    totals = spark.createDataFrame([(key[0], key[1], total)], "app string, pod string, total_bytes long")
+    reply = sl.log_slices(pg.new_bytes(cur, totals).drop("poll_status"), fdf, sl.chunks_from_content(fdf, 4),
+                          chunk_bytes=4)
+    nxt = pg.advance_new(cur, reply).first()
+    assert (nxt.start_byte, nxt.end_byte, nxt.total_bytes) == (0, total, total)
