@@ -22,7 +22,7 @@ def test_entry_runs(spark):
 def test_keys():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 53
+    assert len(q) >= 54
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
