@@ -28,9 +28,6 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("bytes", T.BinaryType()),
 ])
 
-FILE_COLUMNS = ["app", "file_name", "path", "stored_length", "modified"]
-
-
 def _segment(path, k: int):
     return F.element_at(F.split(path, "/"), k)
 
