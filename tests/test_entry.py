@@ -39,3 +39,14 @@ def test_oracle_sf0001(spark, key):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_no_cartesian_or_nested_loop_plans(spark):
+    bad = {}
+    for key, fn in entry.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        found = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+        if found:
+            bad[key] = found
+    assert bad == {}
