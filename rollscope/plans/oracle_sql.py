@@ -19,7 +19,7 @@ log_rows AS (SELECT * FROM conv_rows UNION ALL SELECT * FROM doc_rows),
 log_files AS (
   SELECT app, pod, seq,
          app || '-' || pod || '_' || lpad(CAST(seq AS VARCHAR), 10, '0')
-           || CASE WHEN seq < max(seq) OVER (PARTITION BY app, pod) THEN '.gz' ELSE '' END AS file_name,
+           || CASE WHEN octet_length(content) > 1024 THEN '.gz' ELSE '' END AS file_name,
          CAST(octet_length(content) AS BIGINT) AS length, content
   FROM log_rows),
 log_files_p AS (

@@ -8,8 +8,8 @@ views in SQL for the DuckDB oracle; the two must stay in step.
 Mapping (see FIXTURES.md):
 * conversation logs: app ``conv-<conv_id>``, pod ``driver``, one file per turn
 * document logs: app = ``source``, pod = ``lang``, one file per document
-* file name ``<app>-<pod>_<10-digit seq>``; every file but the newest of its log
-  carries ``.gz`` (rolled and compressed), the newest is the active plain file
+* file name ``<app>-<pod>_<10-digit seq>``; files over 1 KiB carry ``.gz`` and are
+  stored gzip-compressed, smaller ones plain
 * applications: one per order, attempts from its line items (newest first)
 * executors: one per (user, event type) of ``events``
 * tenants: customer keys; patterns: ``<segment>-``; exclusions: names of urgent
@@ -18,7 +18,7 @@ Mapping (see FIXTURES.md):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_HOME = "logs"
@@ -36,6 +36,8 @@ REQUEST_SHAPES = [
 ]
 # executor id per event type; "error" events stand for the driver
 EXECUTOR_OF_EVENT = {"error": "driver", "click": "1", "purchase": "2", "signup": "3", "view": "4"}
+# files larger than this are stored gzip-compressed (size-based rotation policy)
+GZ_ABOVE_BYTES = 1024
 # exclusion rule over orders
 EXCLUDED_PRIORITY = "1-URGENT"
 EXCLUDED_STATUS = "P"
@@ -46,20 +48,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _file_name(app: Column, pod: Column, seq: Column, newest: Column) -> Column:
+def _file_name(app: Column, pod: Column, seq: Column, length: Column) -> Column:
     base = F.concat(app, F.lit("-"), pod, F.lit("_"), F.lpad(seq.cast("string"), 10, "0"))
-    return F.when(seq < newest, F.concat(base, F.lit(".gz"))).otherwise(base)
+    return F.when(length > F.lit(GZ_ABOVE_BYTES), F.concat(base, F.lit(".gz"))).otherwise(base)
 
 
 def _log_rows(df: DataFrame, app: Column, pod: Column, seq: Column, text: Column) -> DataFrame:
-    # length is computed before the window, so branches that need only metadata
-    # (manifest, totals) let the optimizer drop the text before the shuffle
+    # a per-row rule only (no window): branches that need metadata alone let
+    # the optimizer drop the text right at the scan
     rows = df.select(app.alias("app"), pod.alias("pod"), seq.cast("long").alias("seq"),
                      F.encode(text, "UTF-8").alias("content"),
                      F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("length"))
-    newest = F.max("seq").over(Window.partitionBy("app", "pod"))
-    return (rows.withColumn("newest", newest)
-            .withColumn("file_name", _file_name(F.col("app"), F.col("pod"), F.col("seq"), F.col("newest")))
+    return (rows.withColumn("file_name", _file_name(F.col("app"), F.col("pod"), F.col("seq"), F.col("length")))
             .select("app", "pod", "seq", "file_name",
                     F.concat(F.lit(LOG_HOME + "/"), F.col("app"), F.lit("/"), F.col("file_name")).alias("path"),
                     "length", "content"))
