@@ -609,10 +609,11 @@ def q_log_slices_files(spark, sf_dir):
     from rollscope.session import shared_dir
     home = _home(spark, sf_dir)
     base = f"{shared_dir(spark)}/fixture_tables/{sf_dir.rstrip('/').split('/')[-1]}"
-    files = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES)
+    snap = fl.list_home(spark, home)
+    files = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES, snapshot=snap)
     chunks = fl.read_chunks(spark, base + "/chunks")
     out = sl.log_slices(_requests(spark, sf_dir), files, chunks, home="<home>",
-                        dirs=fl.log_directories(spark, home), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
+                        dirs=fl.log_directories(spark, home, snap), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
     return out.select(*SLICE_COLS, "header")
 
 
@@ -684,7 +685,8 @@ def direct_slices(spark, sf_dir):
     the benchmark to compare the direct path with the chunk-table path.
     """
     home = _home(spark, sf_dir)
-    files = fl.file_table(spark, home)
+    snap = fl.list_home(spark, home)
+    files = fl.file_table(spark, home, snap)
     out = sl.log_slices(_requests(spark, sf_dir), files, None, home="<home>",
-                        dirs=fl.log_directories(spark, home), with_text=False)
+                        dirs=fl.log_directories(spark, home, snap), with_text=False)
     return out.select(*SLICE_COLS, "header")

@@ -56,20 +56,30 @@ def _listing(spark: SparkSession, home: str) -> DataFrame:
         (parent == F.lit(_norm_home(spark, home))).alias("_top"))
 
 
-def scan_log_files(spark: SparkSession, home: str) -> DataFrame:
+def list_home(spark: SparkSession, home: str) -> DataFrame:
+    """One listing of ``home``, pinned with a reliable checkpoint.
+
+    Pass it to ``scan_log_files`` / ``log_directories`` / ``refresh_file_table``
+    so one request batch lists the storage once.
+    """
+    return reliable_checkpoint(_listing(spark, home))
+
+
+def scan_log_files(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
     """Every non-empty, non-hidden file one level below ``home`` (not the file contents).
 
     Names come from the ``path`` column, which is not percent-encoded.
     """
-    return _listing(spark, home).where(~F.col("_top")).drop("_top")
+    lst = snapshot if snapshot is not None else _listing(spark, home)
+    return lst.where(~F.col("_top")).drop("_top")
 
 
-def log_directories(spark: SparkSession, home: str) -> DataFrame:
+def log_directories(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
     """``dir_app, is_dir``: application directories seen, and plain files standing in home.
 
     A directory without listable files cannot be told from a missing one.
     """
-    lst = _listing(spark, home)
+    lst = snapshot if snapshot is not None else _listing(spark, home)
     dirs = lst.where(~F.col("_top")).select(F.col("app").alias("dir_app")).distinct() \
         .withColumn("is_dir", F.lit(True))
     plain = lst.where(F.col("_top")).select(F.col("file_name").alias("dir_app")) \
@@ -223,7 +233,8 @@ def read_chunks(spark: SparkSession, chunk_path: str) -> DataFrame | None:
 
 
 def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_path: str,
-                       chunk_bytes: int = 1 << 16, buckets: int = CHUNK_BUCKETS) -> DataFrame:
+                       chunk_bytes: int = 1 << 16, buckets: int = CHUNK_BUCKETS,
+                       snapshot: DataFrame | None = None) -> DataFrame:
     """Bring the persisted file table + chunk table up to date with the listing.
 
     Only files whose (path, stored length, modification time) is new are
@@ -238,7 +249,9 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     finer pruning on very large tables) may differ between refreshes.
     Returns the current file table.
     """
-    listing = reliable_checkpoint(scan_log_files(spark, home))  # list the tree once per refresh
+    if snapshot is None:
+        snapshot = list_home(spark, home)  # list the tree once per refresh
+    listing = scan_log_files(spark, home, snapshot)
     key = ["path", "stored_length", "modified"]
     known = read_table(spark, table_path, FILE_TABLE_SCHEMA)
     fresh = listing if known is None else listing.join(known.select(*key), key, "left_anti")
@@ -316,13 +329,13 @@ def _length_counter(batch_bytes: int = 1 << 20):
     return run
 
 
-def file_table(spark: SparkSession, home: str) -> DataFrame:
+def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
     """File table without a chunk table, for direct range reads.
 
     Plain files take their listed length (no byte is read); gz files are
     streamed once in tasks to count their uncompressed bytes.
     """
-    listing = scan_log_files(spark, home)
+    listing = scan_log_files(spark, home, snapshot)
     gz = listing.where(F.col("file_name").endswith(GZ_SUFFIX)).select("path")
     sizes = gz.mapInPandas(_length_counter(), "path string, _gz_len long")
     j = listing.join(sizes, "path", "left")
