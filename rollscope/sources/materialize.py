@@ -69,7 +69,8 @@ def materialize_logs(spark: SparkSession, sf_dir: str) -> str:
     if fs.get_file_info(f"{root}/{_DONE}").type.name != "NotFound":
         return home
     files = fx.log_files(spark, sf_dir).select("app", "file_name", "content")
-    written = (files.repartition("app").mapInPandas(_writer(home), "written long")
+    # each file is written on its own: no repartition, so no task holds a hot application
+    written = (files.mapInPandas(_writer(home), "written long")
                .agg(F.sum("written")).collect()[0][0])
     with fs.open_output_stream(f"{root}/{_DONE}") as out:
         out.write(str(written or 0).encode())
