@@ -126,16 +126,39 @@ def total_length(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes"))
 
 
+# a log may hold this many rolled files before its window is split over tasks
+HOT_LOG_FILES = 1_000_000
+
+
+def plan_split(files: DataFrame, hot_log_files: int = HOT_LOG_FILES) -> int | None:
+    """Partitions for the two-level prefix sum, or None when one window per log is safe.
+
+    The number of files of an application bounds the group size of every
+    log in it; one aggregate over the file table (a single number to the
+    driver) decides.
+    """
+    bound = files.groupBy("app").count().agg(F.max("count")).first()[0]
+    if not bound or bound <= hot_log_files:
+        return None
+    sc = files.sparkSession.sparkContext
+    return max(sc.defaultParallelism, -(-int(bound) * 4 // hot_log_files))
+
+
 def build_manifest(logs: DataFrame, files: DataFrame, order: str = "name",
-                   split_partitions: int | None = None) -> DataFrame:
+                   split_partitions: int | str | None = None,
+                   hot_log_files: int = HOT_LOG_FILES) -> DataFrame:
     """Match, rank and place the files of every requested log.
 
-    ``split_partitions`` switches to the two-level prefix sum for logs with
-    very many rolled files (see ``with_rank_offsets_split``).
+    ``split_partitions``: None = one window per log; a number = two-level
+    prefix sum over that many parts (see ``with_rank_offsets_split``);
+    ``"auto"`` = check the largest application first and split only when it
+    exceeds ``hot_log_files`` files.
     """
+    if split_partitions == "auto":
+        split_partitions = plan_split(files, hot_log_files)
     matched = match_files(logs, files)
     if split_partitions:
-        return with_rank_offsets_split(matched, split_partitions, order)
+        return with_rank_offsets_split(matched, int(split_partitions), order)
     return with_offsets(with_file_rank(matched, order))
 
 

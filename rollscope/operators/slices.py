@@ -222,15 +222,16 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
 def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None, home: str = "",
                dirs: DataFrame | None = None, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, order: str = "name",
-               with_text: bool = True, split_partitions: int | None = None,
+               with_text: bool = True, split_partitions: int | str | None = "auto",
                text_mode: str = "whole") -> DataFrame:
     """Answer every byte-range request of ``requests`` in one Spark job.
 
     ``chunks`` is the chunk table, or None to read ranges straight from the
     files in ``files.path`` (no ingestion needed; see ``sources.files.file_table``).
 
-    ``split_partitions``: rank and place files with the two-level prefix sum
-    (for logs of very many rolled files); default is one window per log.
+    ``split_partitions``: ``"auto"`` (default) checks the largest application
+    in the file table and uses the two-level prefix sum only for very large
+    ones; None forces one window per log, a number forces the split.
     """
     req = normalize_requests(requests)
     manifest = mf.build_manifest(requested_logs(req), files, order, split_partitions)

@@ -184,3 +184,16 @@ def test_advance_new_cursor(spark):
                           chunk_bytes=4)
     nxt = pg.advance_new(cur, reply).first()
     assert (nxt.start_byte, nxt.end_byte, nxt.total_bytes) == (0, total, total)
+
+
+def test_auto_split_decision(spark):
+    rows = [("a", f"a-driver_{i:03d}", f"p{i}", 1) for i in range(50)] + [("b", "b-driver_1", "q", 1)]
+    files = spark.createDataFrame(rows, "app string, file_name string, path string, length long")
+    assert mf.plan_split(files, hot_log_files=100) is None
+    parts = mf.plan_split(files, hot_log_files=10)
+    assert parts is not None and parts >= 2
+    logs = spark.createDataFrame([("a", "driver"), ("b", "driver")], "app string, pod string")
+    auto = mf.build_manifest(logs, files, split_partitions="auto", hot_log_files=10)
+    plain = mf.build_manifest(logs, files)
+    cols = ["app", "pod", "file_name", "file_rank", "file_start", "file_end"]
+    assert sorted(map(tuple, auto.select(*cols).collect())) == sorted(map(tuple, plain.select(*cols).collect()))
