@@ -81,3 +81,10 @@ def test_exclusion_split(spark):
     exempt, subject = tn.exclusion_split(apps_df(spark), pol)
     assert sorted(r.id for r in exempt.collect()) == ["3", "6"]
     assert subject.count() == len(APPS) - 2
+
+
+def test_policy_settings_absent():
+    pol = TenantPolicy.from_settings(None, None, None)
+    assert (pol.enabled, pol.patterns, pol.exclusions) == ("true", [""], [""])
+    assert pol.filtering
+    assert not TenantPolicy.from_settings(" true").filtering
