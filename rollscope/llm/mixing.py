@@ -154,10 +154,10 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_epochs: float = MAX_EPOCHS,
             budget: float | None = None) -> DataFrame:
-    """One row for each document and epoch that takes it: doc_id, source, n_tokens, epoch, block, position, at.
+    """One row for each document and epoch that takes it: doc_id, source, n_tokens, epoch, block, position, progress.
 
-    ``position`` counts from 0 within a source's epoch; ``at`` in [0, 1) is the share of the source's
-    budget used before, so reading by ``at`` mixes the sources by their weights.
+    ``position`` counts from 0 within a source's epoch; ``progress`` in [0, 1) is the share of the source's
+    budget used before, so reading by ``progress`` mixes the sources by their weights.
 
     * Null source: a source of its own. Null or wordless text: no tokens, taken in every whole epoch.
     * Null doc_ids and repeated rows are documents like any other; equal rows share one place in the
@@ -178,7 +178,7 @@ def mixture(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_epochs: f
     used = F.col("epoch") * F.col("source_tokens") + F.col("tokens_before") + F.sum("tokens").over(run) - F.col("tokens")
     return rows.select("doc_id", "source", F.col("tokens").alias("n_tokens"), "epoch", "block",
                        (F.col("rows_before") + F.row_number().over(inside) - 1).alias("position"),
-                       F.when(F.col("quota") > 0, used / F.col("quota")).otherwise(0.0).alias("at"))
+                       F.when(F.col("quota") > 0, used / F.col("quota")).otherwise(0.0).alias("progress"))
 
 
 def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_epochs: float = MAX_EPOCHS,
