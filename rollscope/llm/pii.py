@@ -25,7 +25,8 @@ _FIND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,}))"
     r"|(?P<access>\bA[KS]IA[A-Z0-9]{16}\b)"
-    r"|(?P<phone>(?<![\w.])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    r"|(?:\(\d{3}\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4})(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w/-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})(?![\w/-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
@@ -112,11 +113,18 @@ class Pseudonyms:
         return new[:at[-1]] + check + new[at[-1] + 1:]
 
     def phone(self, value: str, step: int = 1) -> str:
-        digits = [i for i, c in enumerate(value) if c.isdigit()][-10:]
-        sets: list[str | None] = [None] * len(value)
-        for k, i in enumerate(digits):
-            sets[i] = "23456789" if k in (0, 3) else "0123456789"
-        return self.text(value, "phone", sets, step)
+        """Assignable numbers (area and exchange from 200) stay assignable, others stay unassignable."""
+        at = [i for i, c in enumerate(value) if c.isdigit()][-10:]
+
+        def real(v: str) -> bool:
+            return v[at[0]] > "1" and v[at[3]] > "1"
+
+        low = (at[0], at[3]) if real(value) else ()
+        sets = [None if i not in at else "23456789" if i in low else "0123456789" for i in range(len(value))]
+        new = self.text(value, f"phone{len(low)}", sets, step)
+        while real(new) != real(value):
+            new = self.text(new, f"phone{len(low)}", sets, step)
+        return new
 
     def ip(self, value: str, step: int = 1) -> str:
         return ".".join(map(str, self.permute([int(x) for x in value.split(".")], [256] * 4, "ip", step)))
