@@ -153,8 +153,8 @@ def _with_components(cand: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(marked.join(is_open.where("lo < hi").select("key"), "key", "left_semi"), "open")
 
 
-def link_block(ids: list, comps: list, sets: list[np.ndarray], left: list, right: list) -> list[tuple]:
-    """Links between members of different components, ``left`` members against ``right`` ones.
+def link_block(ids: list, comps: list, sets: list[np.ndarray], left: list[bool]) -> list[tuple]:
+    """Links of the ``left`` members with the others, across components.
 
     A pair is skipped only when the two are already connected, so no component is lost.
     """
@@ -166,18 +166,15 @@ def link_block(ids: list, comps: list, sets: list[np.ndarray], left: list, right
             x = root[x]
         return x
 
-    flat = np.concatenate(sets)
-    _, codes = np.unique(flat, return_inverse=True)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     flag, out = np.zeros(len(codes), np.int64), []
-    is_right, order = np.array(right), np.arange(len(ids))
-    for i in np.flatnonzero(left):
+    right = ~np.array(left, bool)
+    for i in np.flatnonzero(~right):
         other = np.array([find(c) != find(comps[i]) for c in comps])
-        # a pair with both members on both sides (a block against itself) is looked at once
-        ok = other & is_right & ((order > i) | ~np.array(left)) & \
-            (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+        ok = other & right & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
         if not ok.any():
             continue
         mine = codes[starts[i]:ends[i]]
@@ -193,31 +190,37 @@ def link_block(ids: list, comps: list, sets: list[np.ndarray], left: list, right
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    part = table.column("part").to_pylist()
-    bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-    sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)).view(np.uint64) for s in table.column("shingles")]
+    sets = [s.values.to_numpy(zero_copy_only=False).view(np.uint64) for s in table.column("shingles")]
     links = link_block(table.column("id").to_pylist(), table.column("comp").to_pylist(), sets,
-                       [p == bi for p in part], [p == bj for p in part])
+                       table.column("is_left").to_pylist())
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 def _exact_rest(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Every pair across components in the open buckets, compared in blocks of ``block`` members.
 
-    Buckets with the same members are looked at once.  A bucket of m members makes (m / block)^2
-    groups of at most about 2 * block sets each; a task holds one of them.
+    Members of a bucket's largest component need no comparison with one another: the k others
+    (left) meet all m members (right). That makes (k / block) * (m / block) groups of about
+    2 * block sets, and m + m * k / block rows: in proportion to m while the others are few.
+    Buckets with the same members are looked at once.
     """
     h = F.xxhash64("id")
     shape = members.groupBy("key").agg(
         F.count("*").alias("m"), F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("h2"))
     shape = shape.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = (members.join(shape, "key")
-              .withColumn("nb", blocks).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")).cast("int"))
-              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-              .select("key", "id", "comp", "part", F.least("part", "with").alias("bi"),
-                      F.greatest("part", "with").alias("bj")))
-    return (placed.join(sets, "id").groupBy("key", "bi", "bj")
+    largest = (members.join(shape.select("key"), "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("n"))
+               .groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")))
+    shape = cut(shape.join(largest, "key").select(
+        "key", F.col("top.comp").alias("top"), F.ceil(F.col("m") / block).cast("int").alias("rights"),
+        F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("lefts")), "shape")
+    placed = members.join(shape, "key")
+    right = placed.select(
+        "key", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("bi"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.col("rights")).cast("int").alias("bj"), F.lit(False).alias("is_left"))
+    left = placed.where(F.col("comp") != F.col("top")).select(
+        "key", "id", "comp", F.pmod(F.xxhash64("id", F.lit(2)), F.col("lefts")).cast("int").alias("bi"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("bj"), F.lit(True).alias("is_left"))
+    return (right.unionByName(left).join(sets, "id").groupBy("key", "bi", "bj")
             .applyInArrow(_block_links, "a long, b long").distinct())
 
 
