@@ -5,8 +5,8 @@ An ARC file opens with a ``filedesc://`` block that names its version; each reco
 converter parses the header by the file's version, cuts the body by the declared length and
 writes a WARC record with the equivalent identifier, timestamp, type and digests.
 
-Files are written with Spark's text writer (gzip), one file a task, and read back as whole files;
-the target size of a file bounds what a task holds.
+Files are written with Spark's text writer (gzip), one file a task, so a file is as large as an input
+split (spark.sql.files.maxPartitionBytes); read back, a task unpacks one file's bytes as it goes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from rollscope.llm.common import cut, scratch_path
 
-FILE_BYTES = 16 << 20   # payload bytes aimed at in one archive file
 REVISIT_FROM = 0        # payloads of at least so many bytes are revisited
 # fixed values: the field lines of the two ARC versions
 ARC_FIELDS = {
@@ -87,9 +86,9 @@ def _arc_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
-def write_arc(pages: DataFrame, path: str, files: int) -> None:
+def write_arc(pages: DataFrame, path: str) -> None:
     """``pages`` (page_id, url, html) as gzip ARC files, versions 1 and 2 in turn. Null html is empty."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").repartition(files)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows.mapInArrow(_arc_batches, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -231,7 +230,7 @@ def _warc_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, files: int) -> None:
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Convert the ARC files below ``arc_path`` to gzip WARC files.
 
     Of records with equal payloads the one with the smallest page id (then record id) is the response,
@@ -246,8 +245,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, files: int)
                 .where(F.col("record_id") != F.col("first.record_id"))
                 .select("record_id", F.col("first.record_id").alias("refers_id")))
     records = read_arc(spark, arc_path).join(revisits, "record_id", "left")
-    # dealt by record: even, whatever the payloads
-    (records.repartition(files, "record_id").mapInArrow(_warc_batches, "value string")
+    (records.mapInArrow(_warc_batches, "value string")
      .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path))
 
 
@@ -314,11 +312,9 @@ def page_archive(pages: DataFrame) -> DataFrame:
     * Payloads are whole, however long; other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(2, -(-total // FILE_BYTES))
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc, files)
-    arc_to_warc(spark, arc, warc, files)
+    write_arc(pages, arc)
+    arc_to_warc(spark, arc, warc)
     return read_warc(spark, warc)
 
 
