@@ -184,11 +184,11 @@ def application_query(apps: DataFrame, tenant: str | None, policy, statuses: lis
 
 
 def tenant_summary(apps: DataFrame, tenant: str | None, policy, show_incomplete: bool = False,
-                   max_apps: int = 1000) -> DataFrame:
-    """Summary page of one tenant: the chosen view, in listing order, capped.
+                   max_apps: int | None = None) -> DataFrame:
+    """Summary page of one tenant: the chosen view, in listing order; at most ``max_apps`` if given.
 
     Empty result = nothing to display (the page shows its "none found" text).
     """
     from rollscope.operators import tenant as tn
     view = completed_view(tn.tenant_listing(apps, tenant, policy), show_incomplete)
-    return cap(view, max_apps)
+    return limit_listing(view, None) if max_apps is None else cap(view, max_apps)

@@ -81,7 +81,7 @@ def new_bytes(cursors: DataFrame, totals: DataFrame, log_type: str = "stderr") -
         F.concat_ws(":", "client", "app", "pod").alias("request_id"), "client", "app", "pod",
         F.lit(log_type).alias("log_type"),
         F.col("total_bytes").cast("long").alias("offset"),
-        F.when(d > 0, d).otherwise(F.lit(0)).cast("int").alias("byte_length"),
+        F.when(d > 0, d).otherwise(F.lit(0)).cast("long").alias("byte_length"),
         status.alias("poll_status"))
 
 

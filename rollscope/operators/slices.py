@@ -52,7 +52,7 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     return r.select(
         "request_id", F.col("app").cast("string").alias("app"), F.col("pod").cast("string").alias("pod"),
         F.col("log_type").cast("string").alias("log_type"), F.col("offset").cast("long").alias("offset"),
-        F.coalesce(F.col("byte_length").cast("int"), F.lit(DEFAULT_BYTE_LENGTH)).alias("byte_length"))
+        F.coalesce(F.col("byte_length").cast("long"), F.lit(DEFAULT_BYTE_LENGTH)).alias("byte_length"))
 
 
 def requested_logs(requests: DataFrame) -> DataFrame:
@@ -197,6 +197,9 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
     ``whole`` decodes each slice once (default); ``per_file`` decodes each
     file's piece on its own, as a reader going file by file does.
     """
+    # equal requests are answered once and returned as often as they were asked
+    keys = [*WINDOW_COLUMNS, "_copies"]
+    windows = windows.groupBy(*WINDOW_COLUMNS).agg(F.count("*").alias("_copies"))
     pieces = overlap(windows, manifest, bucket_bytes)
     if chunks is None:
         from rollscope.sources.files import read_ranges
@@ -204,7 +207,7 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
     else:
         fetched = fetch_chunks(pieces, chunks, chunk_bytes)
     per_file = with_text and text_mode == "per_file"
-    filled = assemble_per_file(fetched, WINDOW_COLUMNS) if per_file else assemble(fetched, WINDOW_COLUMNS)
+    filled = assemble_per_file(fetched, keys) if per_file else assemble(fetched, keys)
     needs_bytes = (F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte"))
     empty = windows.where(~needs_bytes).withColumn(
         "slice_hex", F.when(F.col("status") == STATUS_OK, F.lit("")).otherwise(F.lit(None).cast("string")))
@@ -212,11 +215,14 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
         empty = empty.withColumn("text", F.when(F.col("status") == STATUS_OK, F.lit("")))
     out = filled.unionByName(empty)
     out = out.withColumn("bytes", F.unhex("slice_hex"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    out = out.withColumn("_copies", copies).drop("_copies")
     if with_text and not per_file:
         out = out.withColumn("text", lossy_utf8(F.col("bytes")))
-    return out.withColumn("header", slice_header(
-        F.col("start_byte"), F.col("end_byte"), F.col("total_bytes"), log_dir(home, F.col("app")),
-        F.col("log_type")))
+    header = slice_header(F.col("start_byte"), F.col("end_byte"), F.col("total_bytes"), log_dir(home, F.col("app")),
+                          F.col("log_type"))
+    refused = F.col("status").isin(STATUS_BAD_REQUEST, STATUS_MISSING_DIR)
+    return out.withColumn("header", F.when(~refused, header))
 
 
 def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None, home: str = "",

@@ -120,10 +120,7 @@ def tenant_match(pairs: DataFrame, apps: DataFrame, policy: TenantPolicy) -> Dat
     j = pairs.join(a, "app_id", "left")
     if not policy.filtering:
         return j.withColumn("visible", F.lit(True)).withColumn("reason", F.lit(REASON_UNFILTERED))
-    ex = policy.exclusions_df(spark).distinct().withColumn("_excluded", F.lit(True))
-    j = j.join(ex, "name", "left")
-    hit = _pattern_hits(j.where(F.col("name").isNotNull()), policy, spark)
-    j = j.join(hit, "request_id", "left")
+    j = _marked(j, policy, spark)
     excluded = F.coalesce(F.col("_excluded"), F.lit(False))
     by_pattern = _exclusions_nonempty(policy, spark) & F.coalesce(F.col("_hit"), F.lit(False))
     visible = F.col("name").isNotNull() & (excluded | by_pattern)
@@ -134,12 +131,23 @@ def tenant_match(pairs: DataFrame, apps: DataFrame, policy: TenantPolicy) -> Dat
             .drop("_excluded", "_hit"))
 
 
-def _pattern_hits(j: DataFrame, policy: TenantPolicy, spark: SparkSession) -> DataFrame:
-    """request_id of rows whose name starts with some pattern + the row's tenant."""
-    pats = policy.patterns_df(spark).distinct()
-    cand = prefix_join(j.select("request_id", "tenant_id", "name"), "name", pats, "pattern")
-    ok = cand.where(F.col("name").startswith(F.concat(F.col("pattern"), tenant_key(F.col("tenant_id")))))
-    return ok.select("request_id").distinct().withColumn("_hit", F.lit(True))
+def _marked(j: DataFrame, policy: TenantPolicy, spark: SparkSession) -> DataFrame:
+    """``j`` with ``_excluded`` and ``_hit``: exclusion and pattern test of each row's own name and tenant.
+
+    Decided per (tenant, name), never per request id, so repeated or NULL ids cannot share a decision.
+    Rows without a name (unknown applications) skip the joins instead of meeting on one NULL key.
+    """
+    ex = policy.exclusions_df(spark).distinct().withColumn("_excluded", F.lit(True))
+    named = j.where(F.col("name").isNotNull()).join(ex, "name", "left")
+    pairs = named.select("tenant_id", "name").distinct()
+    cand = prefix_join(pairs, "name", policy.patterns_df(spark).distinct(), "pattern")
+    hits = (cand.where(F.col("name").startswith(F.concat(F.col("pattern"), tenant_key(F.col("tenant_id")))))
+            .select(F.col("tenant_id").alias("_tenant"), F.col("name").alias("_name")).distinct()
+            .withColumn("_hit", F.lit(True)))
+    named = named.join(hits, (F.col("name") == F.col("_name")) & F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left")
+    unknown = j.where(F.col("name").isNull()).withColumns(
+        {"_excluded": F.lit(None).cast("boolean"), "_hit": F.lit(None).cast("boolean")})
+    return named.drop("_tenant", "_name").unionByName(unknown)
 
 
 def tenant_access(requests: DataFrame, apps: DataFrame, policy: TenantPolicy) -> DataFrame:
@@ -160,9 +168,7 @@ def tenant_access(requests: DataFrame, apps: DataFrame, policy: TenantPolicy) ->
     if not policy.filtering:
         decision = F.when(known, F.lit(DECISION_OK)).otherwise(F.lit(DECISION_NOT_FOUND))
         return j.select(*requests.columns, attempt.alias("resolved_attempt"), decision.alias("decision"))
-    ex = policy.exclusions_df(spark).distinct().withColumn("_excluded", F.lit(True))
-    j = j.join(ex, "name", "left")
-    j = j.join(_pattern_hits(j.where(F.col("name").isNotNull()), policy, spark), "request_id", "left")
+    j = _marked(j, policy, spark)
     allowed = (~_exclusions_nonempty(policy, spark)
                | F.coalesce(F.col("_excluded"), F.lit(False))
                | F.coalesce(F.col("_hit"), F.lit(False)))

@@ -116,7 +116,17 @@ def q_slice_header_parse(spark, sf_dir):
             .select("request_id", "p.start_byte", "p.end_byte", "p.total_bytes"))
 
 
-@register("lossy_utf8")
+# slices of valid text are broken at their ends only: continuation bytes in front, an unfinished sequence behind
+@register("lossy_utf8", osql.LOG_BASE + """
+, ends AS (SELECT request_id, slice_hex, regexp_extract(slice_hex, '^((?:[89AB][0-9A-F])*)', 1) AS lead FROM winr),
+rest AS (SELECT *, substr(slice_hex, length(lead) + 1) AS body FROM ends),
+cut AS (SELECT *, regexp_extract(body,
+  '^(?:[0-9A-F]{2})*?((?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2}))$', 1) AS trail FROM rest)
+SELECT request_id, slice_hex,
+  CASE WHEN slice_hex IS NOT NULL THEN repeat(chr(65533), CAST(length(lead) / 2 AS BIGINT))
+    || decode(unhex(substr(body, 1, length(body) - length(trail))))
+    || CASE WHEN trail <> '' THEN chr(65533) ELSE '' END END AS text
+FROM cut""")
 def q_lossy_utf8(spark, sf_dir):
     return _slices(spark, sf_dir, with_text=True).select("request_id", "slice_hex", "text")
 
@@ -281,8 +291,8 @@ def _time_sql(alias="s"):
 @register("applications_scan", APP_SQL + f"SELECT {FLAT_COLS} FROM app_flat")
 def q_applications_scan(spark, sf_dir):
     from rollscope.sources.apps import read_applications, write_applications
-    from rollscope.session import shared_dir
-    path = f"{shared_dir(spark)}/fixture_apps/{sf_dir.rstrip('/').split('/')[-1]}"
+    from rollscope.session import data_key, shared_dir
+    path = f"{shared_dir(spark)}/fixture_apps/{data_key(sf_dir)}"
     write_applications(_apps(spark, sf_dir), path)
     return _flat(read_applications(spark, path))
 
@@ -593,9 +603,9 @@ def q_uncompressed_length(spark, sf_dir):
 
 @register("log_manifest_sink", FILE_NAMES_SQL + "SELECT app, file_name, length FROM log_files")
 def q_log_manifest_sink(spark, sf_dir):
-    from rollscope.session import shared_dir
+    from rollscope.session import data_key, shared_dir
     home = _home(spark, sf_dir)
-    base = f"{shared_dir(spark)}/fixture_tables/{sf_dir.rstrip('/').split('/')[-1]}"
+    base = f"{shared_dir(spark)}/fixture_tables/{data_key(sf_dir)}"
     table = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES)
     return table.select("app", "file_name", "length")
 
@@ -606,9 +616,9 @@ SELECT request_id, app, pod, start_byte, end_byte, total_bytes, status, slice_he
               '<home>/' || app || '/', log_type) || chr(10) AS header FROM winr""")
 def q_log_slices_files(spark, sf_dir):
     """Q1 on the real files: listing, gunzip-chunking, lengths, then the slice plan."""
-    from rollscope.session import shared_dir
+    from rollscope.session import data_key, shared_dir
     home = _home(spark, sf_dir)
-    base = f"{shared_dir(spark)}/fixture_tables/{sf_dir.rstrip('/').split('/')[-1]}"
+    base = f"{shared_dir(spark)}/fixture_tables/{data_key(sf_dir)}"
     snap = fl.list_home(spark, home)
     files = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES, snapshot=snap)
     chunks = fl.read_chunks(spark, base + "/chunks")
@@ -625,8 +635,8 @@ from rollscope.streaming.rolled import ingested_files, stream_rolled_files  # no
 
 def _event_lines(spark, sf_dir):
     """Event lines staged once per shared folder as a (log, value) table."""
-    from rollscope.session import shared_dir
-    root = f"{shared_dir(spark)}/fixture_eventlogs/{sf_dir.rstrip('/').split('/')[-1]}"
+    from rollscope.session import data_key, shared_dir
+    root = f"{shared_dir(spark)}/fixture_eventlogs/{data_key(sf_dir)}"
     if not _exists(spark, root + "/_SUCCESS"):
         evl.write_event_logs(evl.event_lines_of(fx.application_attempts(spark, sf_dir),
                                                 fx.executors(spark, sf_dir)), root)
@@ -656,12 +666,12 @@ FROM app_flat f LEFT JOIN n_exec x ON x.app_id = f.id
 WHERE f.attempt_idx IS NOT NULL
   AND f.id IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')""")
 def q_event_log_export(spark, sf_dir):
-    from rollscope.session import shared_dir
+    from rollscope.session import data_key, shared_dir
     lines = _event_lines(spark, sf_dir)
     wanted = (fx.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
               .select(F.col("user_id").cast("string").alias("app_id")).distinct()
               .withColumn("attempt_id", F.lit(None).cast("string")))
-    out = f"{shared_dir(spark)}/fixture_export/{sf_dir.rstrip('/').split('/')[-1]}"
+    out = f"{shared_dir(spark)}/fixture_export/{data_key(sf_dir)}"
     evl.export_event_logs(lines, wanted, out)
     back = spark.read.text(out)
     return back.groupBy(F.col("app_id").cast("string").alias("app_id"),
@@ -671,9 +681,9 @@ def q_event_log_export(spark, sf_dir):
 
 @register("stream_rolled_files", FILE_NAMES_SQL + "SELECT app, file_name, length FROM log_files")
 def q_stream_rolled_files(spark, sf_dir):
-    from rollscope.session import shared_dir
+    from rollscope.session import data_key, shared_dir
     home = _home(spark, sf_dir)
-    base = f"{shared_dir(spark)}/fixture_stream/{sf_dir.rstrip('/').split('/')[-1]}"
+    base = f"{shared_dir(spark)}/fixture_stream/{data_key(sf_dir)}"
     stream_rolled_files(spark, home, base + "/out", base + "/checkpoint", fx.CHUNK_BYTES)
     return ingested_files(spark, base + "/out").select("app", "file_name", "length")
 

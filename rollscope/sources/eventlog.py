@@ -38,14 +38,22 @@ EVENT_SCHEMA = T.StructType([
 
 
 def read_event_lines(spark: SparkSession, root: str) -> DataFrame:
-    """``log, value``: every line of the event-log folders below ``root`` with its log key.
+    """``log, value, file_no, block, line``: every line of the event logs below ``root``, its log and place.
 
-    Works for plain, gz and zstd files.  Any other source of (log, value)
-    rows -- e.g. a shipped line table -- can be passed to the parsers as is.
+    A rolled log is a folder ``eventlog_v2_...`` of files ``events_<n>_...``; any other file is a log of
+    its own, named by its file name without compression suffixes.  Works for plain, gz and zstd files.
+    Other sources of (log, value) rows -- e.g. a shipped line table -- can be passed to the parsers too;
+    for an ordered export they carry a ``line`` number.
     """
     lines = spark.read.text(root.rstrip("/") + "/*").select(
-        F.col("_metadata.file_path").alias("path"), "value")
-    return lines.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("log"), "value")
+        F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    folder, name = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"/([^/]+)$", 1)
+    rolled = folder.rlike("(^|=)eventlog_v2_")
+    single = F.regexp_replace(name, r"(\.(gz|zst|zstd|lz4|lzf|snappy|inprogress))+$", "")
+    number = F.coalesce(F.regexp_extract(name, r"^events_(\d+)_", 1).try_cast("int"), F.lit(0))
+    return lines.select(F.when(rolled, folder).otherwise(single).alias("log"), "value",
+                        F.when(rolled, number).otherwise(0).alias("file_no"), "block", "line")
 
 
 def _ms_to_ts(col):
@@ -110,20 +118,23 @@ def export_event_logs(lines: DataFrame, requests: DataFrame, out: str) -> None:
     """Write the raw lines of the requested applications as gzip text, one folder
     per (app_id, attempt_id).  A request without attempt exports every attempt.
 
-    ``requests``: app_id, attempt_id (nullable).
+    ``requests``: app_id, attempt_id (nullable).  Lines keep their order: an attempt's lines are cut
+    by range into ordered part files, so a very large log is written by many tasks.
     """
     keys = attempts_of(parse_events(lines)).select("log", F.col("id").alias("app_id"),
                                       F.coalesce(F.col("attemptId"), F.lit("none")).alias("attempt_id"))
     r = requests.select("app_id", F.col("attempt_id").alias("want"))
     chosen = keys.join(r, (keys["app_id"] == r["app_id"])
                        & (r["want"].isNull() | (r["want"] == keys["attempt_id"])), "left_semi")
-    picked = lines.join(chosen, "log").select("app_id", "attempt_id", "value")
-    (picked.repartition("app_id", "attempt_id").write.mode("overwrite").partitionBy("app_id", "attempt_id")
-     .option("compression", "gzip").text(out))
+    place = [c for c in ("file_no", "block", "line") if c in lines.columns]
+    picked = lines.join(chosen, "log").select("app_id", "attempt_id", *place, "value")
+    order = ["app_id", "attempt_id", *place]
+    (picked.repartitionByRange(*order).sortWithinPartitions(*order).drop(*place)
+     .write.mode("overwrite").partitionBy("app_id", "attempt_id").option("compression", "gzip").text(out))
 
 
 def event_lines_of(apps_flat: DataFrame, executors: DataFrame) -> DataFrame:
-    """Event-log lines ``(log, value)`` of a flat application table (one row per attempt).
+    """Event-log lines ``(log, value, line)`` of a flat application table (one row per attempt).
 
     One log per attempt; executors are added in the newest attempt's log.
     """
@@ -142,7 +153,8 @@ def event_lines_of(apps_flat: DataFrame, executors: DataFrame) -> DataFrame:
         F.col("id").alias("Executor ID"),
         F.struct(F.col("hostPort").alias("Host"), F.col("totalTasks").alias("Total Cores"),
                  F.col("executorLogs").alias("Log Urls")).alias("Executor Info"))).alias("value"))
-    return start.unionByName(end).unionByName(ex)
+    return (start.withColumn("line", F.lit(0)).unionByName(end.withColumn("line", F.lit(2)))
+            .unionByName(ex.withColumn("line", F.lit(1))))
 
 
 def write_event_logs(lines: DataFrame, out: str, layout: str = "table") -> None:
@@ -152,4 +164,6 @@ def write_event_logs(lines: DataFrame, out: str, layout: str = "table") -> None:
     if layout == "table":
         lines.write.mode("overwrite").parquet(out)
     else:
-        lines.write.mode("overwrite").partitionBy("log").text(out)
+        order = ["log", "line"] if "line" in lines.columns else ["log"]
+        (lines.repartitionByRange(*order).sortWithinPartitions(*order).select("log", "value")
+         .write.mode("overwrite").partitionBy("log").text(out))

@@ -5,6 +5,7 @@ Layout: ``<home>/<application name>/<files>``; a file belongs to log
 Files ending in ``.gz`` are gzip streams (several members allowed).
 
 * listing -- ``binaryFile`` without its ``content`` column: a metadata-only job
+* names starting with ``_`` or ``.`` are not listed (Spark's readers skip them)
 * chunk table -- one pass over each file's bytes, gunzipped as a stream and
   cut into fixed-size chunks (the one Python step, Arrow-batched
   ``mapInPandas``); stored in a fixed number of ``app_bucket`` folders so
@@ -14,6 +15,8 @@ Files ending in ``.gz`` are gzip streams (several members allowed).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +31,29 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("bytes", T.BinaryType()),
 ])
 
+
+def arrow_location(uri: str):
+    """(pyarrow filesystem, path) for a Hadoop-style URI or plain path."""
+    from pyarrow import fs as pafs
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
+
+
 def _segment(path, k: int):
     return F.element_at(F.split(path, "/"), k)
 
 
+def literal_path(home: str) -> str:
+    """``home`` as a path in which no character is a wildcard."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", home.rstrip("/"))
+
+
 def _binary(spark: SparkSession, home: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(home.rstrip("/") + "/*")
+    """Files below ``home`` without partition discovery (a subfolder ``day=1`` is only a name)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal_path(home))
 
 
 def _norm_home(spark: SparkSession, home: str) -> str:
@@ -47,6 +67,8 @@ def _norm_home(spark: SparkSession, home: str) -> str:
 def _listing(spark: SparkSession, home: str) -> DataFrame:
     b = _binary(spark, home).select("path", "length", "modificationTime")
     parent = F.regexp_replace("path", "/[^/]*$", "")
+    top = F.lit(_norm_home(spark, home))
+    b = b.where((parent == top) | (F.regexp_replace(parent, "/[^/]*$", "") == top))  # no deeper level
     return b.select(
         _segment(F.col("path"), -2).alias("app"),
         _segment(F.col("path"), -1).alias("file_name"),
@@ -131,30 +153,64 @@ def _chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
     return run
 
 
-ARROW_BATCH_BYTES = str(32 << 20)
+def _path_chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
+    """Reads each listed path as a stream and cuts its uncompressed bytes; holds about ``flush_bytes``."""
+    unpack, opener, GZ = gunzip, arrow_location, GZ_SUFFIX
+
+    def blocks(raw):
+        while True:
+            block = raw.read(1 << 20)
+            if not block:
+                return
+            yield block
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows, held = [], 0
+            for app, path in zip(pdf["app"], pdf["path"]):
+                fs, p = opener(path)
+                with fs.open_input_stream(p, compression=None) as raw:
+                    k, rest = 0, b""
+                    for block in (unpack(raw) if path.endswith(GZ) else blocks(raw)):
+                        rest += block
+                        whole = len(rest) // chunk_bytes
+                        for i in range(whole):
+                            rows.append((app, path, k, rest[i * chunk_bytes:(i + 1) * chunk_bytes]))
+                            k += 1
+                        held += whole * chunk_bytes
+                        rest = rest[whole * chunk_bytes:]
+                        if held >= flush_bytes:
+                            yield pd.DataFrame(rows, columns=["app", "path", "chunk_no", "bytes"])
+                            rows, held = [], 0
+                    if rest:
+                        rows.append((app, path, k, rest))
+                        held += len(rest)
+            if rows:
+                yield pd.DataFrame(rows, columns=["app", "path", "chunk_no", "bytes"])
+
+    return run
 
 
 def build_chunks(spark: SparkSession, home: str, chunk_bytes: int = 1 << 16,
-                 files: DataFrame | None = None, modified_after: str | None = None) -> DataFrame:
+                 files: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Chunk table ``(app, path, chunk_no, bytes)`` of uncompressed bytes.
 
-    ``files`` (a listing) restricts the output to those paths;
-    ``modified_after`` (``YYYY-MM-DDTHH:MM:SS``) is passed to the file source,
-    which then skips older files before opening them.  Arrow batches into
-    the Python step are capped by bytes, so a batch holds few large files or
-    many small ones.
+    ``files`` (a listing) names exactly the paths to read, whatever their times; by default all files
+    of ``home``. Only paths are shuffled (into ``tasks`` tasks); each task opens its paths and
+    reads them as streams, so a file may be larger than a row can be. File systems that pyarrow
+    cannot open are read through Spark's own reader instead, joined with the paths.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
-    reader = spark.read.format("binaryFile")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    b = reader.load(home.rstrip("/") + "/*").select("path", "content")
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    src = b.where(parent != F.lit(_norm_home(spark, home))).select(
-        _segment(F.col("path"), -2).alias("app"), "path", "content")
-    if files is not None:
-        src = src.join(files.select("path"), "path", "left_semi")
-    return src.select("app", "path", "content").mapInPandas(_chunker(chunk_bytes), CHUNK_SCHEMA)
+    if files is None:
+        files = scan_log_files(spark, home)
+    paths = files.select("app", "path")
+    try:
+        arrow_location(_norm_home(spark, home))
+    except Exception:  # noqa: BLE001  no pyarrow file system for this scheme
+        content = _binary(spark, home).select("path", "content").join(paths, "path")
+        return content.select("app", "path", "content").mapInPandas(_chunker(chunk_bytes), CHUNK_SCHEMA)
+    return paths.repartition(tasks or spark.sparkContext.defaultParallelism).mapInPandas(
+        _path_chunker(chunk_bytes), CHUNK_SCHEMA)
 
 
 def uncompressed_length(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -175,23 +231,14 @@ def app_bucket(app, buckets: int = CHUNK_BUCKETS):
     return F.pmod(F.xxhash64(app), F.lit(buckets)).cast("int")
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "append",
-                 total_bytes: int | None = None, buckets: int = CHUNK_BUCKETS) -> None:
+def write_chunks(chunks: DataFrame, path: str, mode: str = "append", buckets: int = CHUNK_BUCKETS) -> None:
     """Chunk table as Parquet partitioned by ``app_bucket``, rows sorted by (path, chunk_no).
 
     Bucketing the folders (not one folder per application) keeps the folder
     count fixed as applications grow; slice jobs join on the bucket too, so
     dynamic partition pruning skips buckets no request touches.  A local sort
-    only: the chunker already emits each file's chunks together, so no shuffle
-    of the bytes is needed.  When the input's size is known, tasks are merged
-    (without a shuffle) to about one per ``TARGET_FILE_BYTES``, never below the
-    cluster's parallelism, so tiny rolled files do not become tiny Parquet files.
+    only: the chunker already emits each file's chunks together.
     """
-    if total_bytes is not None:
-        sc = chunks.sparkSession.sparkContext
-        want = max(sc.defaultParallelism, -(-int(total_bytes) // TARGET_FILE_BYTES))
-        if chunks.rdd.getNumPartitions() > want:
-            chunks = chunks.coalesce(want)
     (chunks.withColumn("app_bucket", app_bucket(F.col("app"), buckets))
      .sortWithinPartitions("app_bucket", "path", "chunk_no")
      .write.mode(mode).partitionBy("app_bucket").parquet(path))
@@ -258,18 +305,15 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     fresh = reliable_checkpoint(fresh)  # pin the set being ingested
     if known is not None and fresh.isEmpty() and known.join(listing.select(*key), key, "left_anti").isEmpty():
         return known  # nothing arrived, changed or vanished
-    after = None
-    if known is not None:
-        newest = known.select(F.max("modified")).first()[0]  # one scalar
-        if newest is not None:
-            # one second of slack: files at the boundary are re-read, then dropped by the semi join
-            after = (newest - __import__("datetime").timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")
     token = _batch_token(fresh)
     batch_dir = f"{chunk_path.rstrip('/')}/batch={token}"
-    chunks = build_chunks(spark, home, chunk_bytes, files=fresh, modified_after=after)
-    stored = fresh.select(F.sum("stored_length")).first()[0] or 0  # one scalar
-    write_chunks(chunks, batch_dir, mode="overwrite", total_bytes=stored, buckets=buckets)
-    new_rows = (uncompressed_length(fresh, spark.read.parquet(batch_dir))
+    stored = fresh.select(F.sum("stored_length")).first()[0]  # one scalar, NULL when nothing is new
+    written = spark.createDataFrame([], CHUNK_SCHEMA)  # a deletion only: no chunk to write
+    if stored is not None:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-int(stored) // TARGET_FILE_BYTES))
+        write_chunks(build_chunks(spark, home, chunk_bytes, fresh, tasks), batch_dir, mode="overwrite", buckets=buckets)
+        written = spark.read.schema(CHUNK_SCHEMA).parquet(batch_dir)
+    new_rows = (uncompressed_length(fresh, written)
                 .withColumn("chunk_batch", F.lit(token))
                 .withColumn("app_bucket", app_bucket(F.col("app"), buckets)))
     current = new_rows.select(*[f.name for f in FILE_TABLE_SCHEMA.fields])
@@ -306,23 +350,15 @@ def gunzip(raw, block: int = 1 << 20):
 
 
 def _length_counter(batch_bytes: int = 1 << 20):
-    gz_stream = gunzip
+    gz_stream, opener = gunzip, arrow_location
 
     def run(batches):
         import pandas as pd
-        from pyarrow import fs as pafs
-
-        def open_path(uri):
-            if uri.startswith("file:"):
-                return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-            if "://" not in uri:
-                return pafs.LocalFileSystem(), uri
-            return pafs.FileSystem.from_uri(uri)
 
         for pdf in batches:
             out = []
             for path in pdf["path"]:
-                fs, p = open_path(path)
+                fs, p = opener(path)
                 with fs.open_input_stream(p, compression=None) as raw:
                     out.append(sum(len(b) for b in gz_stream(raw, batch_bytes)))
             yield pd.DataFrame({"path": pdf["path"], "_gz_len": out})
@@ -344,23 +380,15 @@ def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None
 
 
 def _range_reader(piece_cols: list[str]):
-    gz_stream = gunzip
+    gz_stream, opener = gunzip, arrow_location
 
     def run(batches):
         import pandas as pd
-        from pyarrow import fs as pafs
-
-        def open_path(uri):
-            if uri.startswith("file:"):
-                return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-            if "://" not in uri:
-                return pafs.LocalFileSystem(), uri
-            return pafs.FileSystem.from_uri(uri)
 
         for pdf in batches:
             pieces = []
             for path, lo, hi in zip(pdf["path"], pdf["local_start"], pdf["local_end"]):
-                fs, p = open_path(path)
+                fs, p = opener(path)
                 lo, hi = int(lo), int(hi)
                 if path.endswith(".gz"):
                     # no random access into gzip: stream and skip, as a sequential reader must
@@ -376,7 +404,10 @@ def _range_reader(piece_cols: list[str]):
                     pieces.append(b"".join(got))
                 else:
                     with fs.open_input_file(p) as f:
-                        pieces.append(f.read_at(hi - lo, lo))
+                        piece = f.read_at(hi - lo, lo)
+                    if len(piece) < hi - lo:
+                        raise OSError(f"{path}: {len(piece)} of {hi - lo} bytes at {lo}; the file has shrunk")
+                    pieces.append(piece)
             out = pdf[piece_cols].copy()
             out["chunk_no"] = 0
             out["piece"] = pieces

@@ -12,22 +12,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from rollscope.session import shared_dir
+from rollscope.session import data_key, shared_dir
 from rollscope.sources import fixtures as fx
+from rollscope.sources.files import arrow_location
 
 _DONE = "_SUCCESS"
 
 
-def arrow_location(uri: str):
-    """(pyarrow filesystem, path) for a Hadoop-style URI or plain path."""
-    from pyarrow import fs as pafs
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _writer(home: str):
     def run(batches):
         import gzip
@@ -64,7 +55,7 @@ def _writer(home: str):
 
 def materialize_logs(spark: SparkSession, sf_dir: str) -> str:
     """Stage the fixture logs of ``sf_dir`` as files once per shared folder; returns the home."""
-    home = f"{shared_dir(spark)}/fixture_logs/{sf_dir.rstrip('/').split('/')[-1]}"
+    home = f"{shared_dir(spark)}/fixture_logs/{data_key(sf_dir)}"
     fs, root = arrow_location(home)
     if fs.get_file_info(f"{root}/{_DONE}").type.name != "NotFound":
         return home

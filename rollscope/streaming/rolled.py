@@ -40,9 +40,12 @@ def _batch_writer(spark: SparkSession, home: str, out: str, chunk_bytes: int):
         chunks = b.select("app", "path", "content").mapInPandas(fl._chunker(chunk_bytes), fl.CHUNK_SCHEMA)
         chunk_dir = f"{out}/chunks/batch_id={batch_id}"
         fl.write_chunks(chunks, chunk_dir, mode="overwrite")
-        written = batch.sparkSession.read.parquet(chunk_dir)
-        files = fl.uncompressed_length(b.drop("content"), written)
-        (files.select("app", "file_name", "path", "stored_length", "modified", "length")
+        # explicit schema: a batch of empty files writes no chunk
+        written = batch.sparkSession.read.schema(fl.CHUNK_SCHEMA).parquet(chunk_dir)
+        files = (fl.uncompressed_length(b.drop("content"), written)
+                 .withColumn("chunk_batch", F.lit(str(batch_id)))
+                 .withColumn("app_bucket", fl.app_bucket(F.col("app"))))
+        (files.select(*[f.name for f in fl.FILE_TABLE_SCHEMA.fields])
          .coalesce(batch.sparkSession.sparkContext.defaultParallelism)
          .write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}"))
 
@@ -51,12 +54,16 @@ def _batch_writer(spark: SparkSession, home: str, out: str, chunk_bytes: int):
 
 def stream_rolled_files(spark: SparkSession, home: str, out: str, checkpoint: str,
                         chunk_bytes: int = 1 << 16, available_now: bool = True,
-                        processing_time: str | None = None):
-    """Start (and with ``available_now`` run to completion) the ingestion query."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", fl.ARROW_BATCH_BYTES)
-    src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-           .option("maxFilesPerTrigger", 1000)
-           .load(home.rstrip("/") + "/*"))
+                        processing_time: str | None = None, files_per_trigger: int | None = None):
+    """Start (and with ``available_now`` run to completion) the ingestion query.
+
+    Files are taken whatever their age; ``files_per_trigger`` splits a backlog into batches.
+    """
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("maxFileAge", "36500d"))
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    src = reader.load(fl.literal_path(home) + "/*")
     w = (src.writeStream.foreachBatch(_batch_writer(spark, home, out, chunk_bytes))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
@@ -68,8 +75,10 @@ def stream_rolled_files(spark: SparkSession, home: str, out: str, checkpoint: st
 
 def ingested_files(spark: SparkSession, out: str) -> DataFrame:
     """The file table built so far (all batches)."""
-    return spark.read.parquet(f"{out}/files")
+    return spark.read.schema(fl.FILE_TABLE_SCHEMA).parquet(f"{out}/files")
 
 
 def ingested_chunks(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/chunks")
+    """Chunks of all batches, with the batch that wrote them, as the batch path's chunk table has them."""
+    return (spark.read.parquet(f"{out}/chunks")
+            .withColumn("chunk_batch", F.col("batch_id").cast("string")).drop("batch_id"))
