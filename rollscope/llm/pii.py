@@ -30,7 +30,11 @@ _FIND = re.compile(
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w/-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})(?![\w/-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))", re.ASCII)
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<sep2>[ -])\d{6}(?P=sep2)\d{5})(?![\w-]))",
+    re.ASCII)
+
+
+_KINDS = ("email", "secret", "access", "phone", "ip", "date", "ssn", "card")
 
 
 def luhn(digits: str) -> bool:
@@ -172,7 +176,7 @@ def pseudonymise_text(text: str, keyed: Pseudonyms) -> tuple[str, list[tuple[str
         return text, []
     parts, spans, done, size = [], [], 0, 0
     for m in _FIND.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "value" else "secret"
+        kind = next(k for k in _KINDS if m.group(k))
         start, end = m.span("value") if kind == "secret" else m.span()
         value = text[start:end]
         if not _valid(kind, value):
