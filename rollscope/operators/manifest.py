@@ -11,7 +11,7 @@ so even a log with millions of rolled files is a modest window partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscope.functions.columns import strip_gz
@@ -24,36 +24,26 @@ def file_belongs(file_name, app, pod):
     return file_name.startswith(app) & file_name.contains(F.concat(F.lit("-"), pod, F.lit("_")))
 
 
-# --- Fixed values: pod names that executor log links can produce ---
-CANONICAL_POD = r"^(driver|exec-[0-9]+)$"
-CANONICAL_POD_IN_NAME = r"-(driver|exec-[0-9]+)_"
-# -------------------------------------------------------------------
+def pods_in_name(file_name: str) -> Column:
+    """Every pod a file name names: what stands between any '-' and any later '_'."""
+    return F.expr(f"""array_distinct(flatten(transform(split({file_name}, '-'), (x, i) ->
+        transform(split(array_join(slice(split({file_name}, '-'), i + 1, length({file_name}) + 1), '-'), '_'), (y, j) ->
+            IF(i = 0 OR j = 0, NULL, array_join(slice(split(array_join(slice(
+                split({file_name}, '-'), i + 1, length({file_name}) + 1), '-'), '_'), 1, j), '_'))))))""")
 
 
 def match_files(logs: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the files of each requested log.
-
-    Links only ever name ``driver`` or ``exec-<n>``; for those pods the pods a
-    file belongs to are read out of its name and the join is an equi join on
-    (app, pod), so an application with many executors and many rolled files
-    never pairs every requested pod with every file.  Any other pod string is
-    matched with the general rule (join on the directory, name test as a
-    residual), restricted to the requests that need it.  Both paths apply
-    the same rule: name starts with the app and contains ``-<pod>_``.
+    """Attach the files of each requested log: name starts with the app and contains ``-<pod>_``.
+
+    The pods a file can belong to are cut out of its name, so the join is an equi join on (app, pod)
+    for any pod string, and an application with many pods and many rolled files never pairs every
+    requested pod with every file.
     """
-    keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch", "app_bucket")
+    keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch", "app_bucket", "read_error")
             if c in files.columns]
-    f = files.select(*keep)
-    canonical = F.col("pod").rlike(CANONICAL_POD)
-    fast_logs = logs.where(canonical).select("app", "pod")
-    named = f.withColumn("pod", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("file_name"), F.lit(CANONICAL_POD_IN_NAME), 1))))
-    fast = (fast_logs.join(named, ["app", "pod"])
+    named = files.select(*keep).withColumn("pod", F.explode(pods_in_name("file_name")))
+    return (logs.select("app", "pod").join(named, ["app", "pod"])
             .where(F.col("file_name").startswith(F.col("app"))))
-    other = logs.where(~canonical).select(F.col("app").alias("_lapp"), "pod")
-    slow = other.join(f, (other["_lapp"] == f["app"]) & file_belongs(f["file_name"], f["app"], other["pod"]),
-                      "inner").drop("_lapp")
-    return fast.unionByName(slow)
 
 
 def rolled_order(order: str = "name"):
@@ -121,9 +111,10 @@ def with_rank_offsets_split(files: DataFrame, partitions: int, order: str = "nam
 
 
 def total_length(manifest: DataFrame) -> DataFrame:
-    """Total bytes of each logical log (0 when no file matches)."""
+    """Total bytes of each logical log (0 when no file matches); ``read_error`` where a file table tells it."""
+    broken = [F.coalesce(F.bool_or("read_error"), F.lit(False)).alias("read_error")] if "read_error" in manifest.columns else []
     return manifest.groupBy(*LOG_KEY).agg(
-        F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes"))
+        F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes"), *broken)
 
 
 # a log may hold this many rolled files before its window is split over tasks

@@ -13,6 +13,8 @@ STATUS_NEW = "new_bytes"
 STATUS_NO_NEW = "no_new"
 STATUS_TRUNCATED = "truncated"
 
+PAGE_BLOCK = 8192  # page numbers made from one row
+
 
 def tail_requests(logs: DataFrame, byte_length: int, log_type: str = "stderr") -> DataFrame:
     """The last ``byte_length`` bytes of every (app, pod): no offset."""
@@ -33,7 +35,7 @@ def prev_window(cursors: DataFrame, log_type: str = "stderr") -> DataFrame:
         F.concat_ws(":", "client", "app", "pod").alias("request_id"), "client", "app", "pod",
         F.lit(log_type).alias("log_type"),
         F.greatest(start - n, F.lit(0).cast("long")).alias("offset"),
-        F.least(n, start).cast("int").alias("byte_length"))
+        F.least(n, start).alias("byte_length"))
 
 
 def advance_prev(cursors: DataFrame, slices: DataFrame) -> DataFrame:
@@ -93,10 +95,14 @@ def page_plan(totals: DataFrame, byte_length: int) -> DataFrame:
     """
     n = F.lit(byte_length).cast("long")
     t = F.col("total_bytes").cast("long")
-    pages = totals.where(t > 0).select(
+    last = F.floor((t - 1) / n).cast("long")
+    # blocks of pages first: no row ever holds the page numbers of a whole log
+    step = F.lit(PAGE_BLOCK).cast("long")
+    blocks = totals.where(t > 0).select(
+        "app", "pod", "total_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / step).cast("long"))).alias("block"))
+    pages = blocks.select(
         "app", "pod", "total_bytes",
-        F.explode(F.sequence(F.lit(0).cast("long"),
-                             F.floor((t - 1) / n).cast("long"))).alias("page_no"))
+        F.explode(F.sequence(F.col("block") * step, F.least((F.col("block") + 1) * step - 1, last))).alias("page_no"))
     end = t - F.col("page_no") * n
     return pages.select("app", "pod", "page_no",
                         F.greatest(end - n, F.lit(0).cast("long")).alias("start_byte"),
@@ -107,4 +113,4 @@ def page_requests(plan: DataFrame, log_type: str = "stderr") -> DataFrame:
     return plan.select(
         F.concat_ws(":", "app", "pod", F.col("page_no").cast("string")).alias("request_id"),
         "app", "pod", F.lit(log_type).alias("log_type"), F.col("start_byte").alias("offset"),
-        (F.col("end_byte") - F.col("start_byte")).cast("int").alias("byte_length"))
+        (F.col("end_byte") - F.col("start_byte")).alias("byte_length"))

@@ -34,6 +34,7 @@ STATUS_OK = "ok"
 STATUS_BAD_REQUEST = "bad_request"
 STATUS_MISSING_DIR = "missing_dir"
 STATUS_NOT_A_DIRECTORY = "not_a_directory"
+STATUS_READ_ERROR = "read_error"
 STATUS_NEGATIVE_LENGTH = "negative_length"
 
 REQUEST_COLUMNS = ["request_id", "app", "pod", "log_type", "offset", "byte_length"]
@@ -74,9 +75,12 @@ def resolve_requests(requests: DataFrame, totals: DataFrame, dirs: DataFrame) ->
          .join(dirs.select("dir_app", "is_dir"), F.col("app") == F.col("dir_app"), "left"))
     total = F.coalesce(F.col("total_bytes"), F.lit(0).cast("long"))
     start, end = resolve_window(F.col("offset"), F.col("byte_length"), total)
+    # a file of the log cannot be unpacked: offsets on its byte axis are unknown
+    broken = F.coalesce(F.col("read_error"), F.lit(False)) if "read_error" in totals.columns else F.lit(False)
     status = (F.when(F.col("app").isNull() | F.col("pod").isNull(), F.lit(STATUS_BAD_REQUEST))
               .when(F.col("dir_app").isNull(), F.lit(STATUS_MISSING_DIR))
               .when(~F.col("is_dir"), F.lit(STATUS_NOT_A_DIRECTORY))
+              .when(broken, F.lit(STATUS_READ_ERROR))
               .when(end < start, F.lit(STATUS_NEGATIVE_LENGTH))
               .otherwise(F.lit(STATUS_OK)))
     ok = status == STATUS_OK

@@ -72,18 +72,15 @@ def tenant_key(tenant: Column) -> Column:
 def prefix_join(left: DataFrame, text: str, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Pairs (left row, right row) where ``right[key]`` is a prefix of ``left[text]``.
 
-    Each left row is exploded into its prefixes whose lengths lie between the
-    shortest and longest key (taken by scalar subqueries), then equi-joined.
-    Fan-out per row is bounded by the spread of key lengths, and the join is a
-    plain hash / sort-merge join that AQE may turn into a broadcast join when
-    the key side proves small at runtime.
+    Each left row is exploded into its prefixes of the lengths that keys have
+    (a scalar subquery: one short array), then equi-joined.  Fan-out per row is
+    bounded by the number of distinct key lengths, and the join is a plain hash
+    / sort-merge join that AQE may turn into a broadcast join when the key side
+    proves small at runtime.
     """
-    lens = right.select(F.length(key).alias("_l"))
-    lo = lens.select(F.min("_l")).scalar()
-    hi = lens.select(F.max("_l")).scalar()
+    lengths = right.select(F.collect_set(F.length(key))).scalar()
     n = F.length(F.col(text))
-    ex = (left.where(n >= lo)
-          .withColumn("_plen", F.explode(F.sequence(lo, F.least(hi, n))))
+    ex = (left.withColumn("_plen", F.explode(lengths)).where(F.col("_plen") <= n)
           .withColumn("_prefix", F.col(text).substr(F.lit(1), F.col("_plen"))))
     return ex.join(right, ex["_prefix"] == right[key], how).drop("_prefix", "_plen")
 

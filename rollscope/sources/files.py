@@ -4,8 +4,7 @@ Layout: ``<home>/<application name>/<files>``; a file belongs to log
 (app, pod) when its name starts with the app and contains ``-<pod>_``.
 Files ending in ``.gz`` are gzip streams (several members allowed).
 
-* listing -- ``binaryFile`` without its ``content`` column: a metadata-only job
-* names starting with ``_`` or ``.`` are not listed (Spark's readers skip them)
+* listing -- folders are listed in tasks: every name, empty files and empty folders too
 * chunk table -- one pass over each file's bytes, gunzipped as a stream and
   cut into fixed-size chunks (the one Python step, Arrow-batched
   ``mapInPandas``); stored in a fixed number of ``app_bucket`` folders so
@@ -30,6 +29,7 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("chunk_no", T.LongType()),
     T.StructField("bytes", T.BinaryType()),
 ])
+BROKEN_CHUNK = -1  # chunk number of the row that marks a file whose gzip stream cannot be unpacked
 
 
 def arrow_location(uri: str):
@@ -64,7 +64,64 @@ def _norm_home(spark: SparkSession, home: str) -> str:
     return str(fs.makeQualified(hpath).toString()).rstrip("/")
 
 
+LISTING_COLUMNS = ["app", "file_name", "path", "stored_length", "ms", "_top"]
+
+
+def _home_lister(home: str):
+    """Everything standing in the home: name, folder or file, size, time."""
+    opener = arrow_location
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        for pdf in batches:
+            for _ in range(len(pdf)):
+                fs, p = opener(home)
+                found = fs.get_file_info(pafs.FileSelector(p))
+                yield pd.DataFrame([(e.base_name, not e.is_file, e.size or 0, (e.mtime_ns or 0) // 1_000_000) for e in found],
+                                   columns=["name", "is_dir", "size", "ms"])
+    return run
+
+
+def _folder_lister(home: str):
+    """The files of each application folder, and one row without a name for the folder itself."""
+    opener, columns = arrow_location, LISTING_COLUMNS
+    top = home.rsplit("/", 1)[-1]
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        for pdf in batches:
+            for name, is_dir, size, ms in zip(pdf["name"], pdf["is_dir"], pdf["size"], pdf["ms"]):
+                path = f"{home}/{name}"
+                if not is_dir:
+                    yield pd.DataFrame([(top, name, path, size, ms, True)], columns=columns)
+                    continue
+                fs, p = opener(path)
+                rows = [(name, e.base_name, f"{path}/{e.base_name}", e.size, (e.mtime_ns or 0) // 1_000_000, False)
+                        for e in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)) if e.is_file]
+                yield pd.DataFrame([(name, None, None, 0, ms, False), *rows], columns=columns)
+    return run
+
+
 def _listing(spark: SparkSession, home: str) -> DataFrame:
+    """One row a file, listed in tasks (a folder is one task's work): every name, empty files too.
+
+    Each application folder also has a row without a file name. File systems that pyarrow cannot open
+    are listed by Spark's own reader, which skips empty files and names starting with ``_`` or ``.``.
+    """
+    top = _norm_home(spark, home)
+    try:
+        arrow_location(top)
+    except Exception:  # noqa: BLE001  no pyarrow file system for this scheme
+        return _reader_listing(spark, home)
+    found = spark.range(1, numPartitions=1).mapInPandas(_home_lister(top), "name string, is_dir boolean, size long, ms long")
+    rows = found.repartition(spark.sparkContext.defaultParallelism, "name").mapInPandas(
+        _folder_lister(top), "app string, file_name string, path string, stored_length long, ms long, _top boolean")
+    return rows.select("app", "file_name", "path", "stored_length", F.timestamp_millis("ms").alias("modified"), "_top")
+
+
+def _reader_listing(spark: SparkSession, home: str) -> DataFrame:
     b = _binary(spark, home).select("path", "length", "modificationTime")
     parent = F.regexp_replace("path", "/[^/]*$", "")
     top = F.lit(_norm_home(spark, home))
@@ -88,19 +145,13 @@ def list_home(spark: SparkSession, home: str) -> DataFrame:
 
 
 def scan_log_files(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
-    """Every non-empty, non-hidden file one level below ``home`` (not the file contents).
-
-    Names come from the ``path`` column, which is not percent-encoded.
-    """
+    """Every file one level below ``home`` (not the file contents); names are not percent-encoded."""
     lst = snapshot if snapshot is not None else _listing(spark, home)
-    return lst.where(~F.col("_top")).drop("_top")
+    return lst.where(~F.col("_top") & F.col("file_name").isNotNull()).drop("_top")
 
 
 def log_directories(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
-    """``dir_app, is_dir``: application directories seen, and plain files standing in home.
-
-    A directory without listable files cannot be told from a missing one.
-    """
+    """``dir_app, is_dir``: application directories (empty ones too), and plain files standing in home."""
     lst = snapshot if snapshot is not None else _listing(spark, home)
     dirs = lst.where(~F.col("_top")).select(F.col("app").alias("dir_app")).distinct() \
         .withColumn("is_dir", F.lit(True))
@@ -116,6 +167,7 @@ def _chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
     def run(batches):
         import gzip
         import io
+        import zlib
 
         import pandas as pd
 
@@ -135,7 +187,12 @@ def _chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
                 stream = gzip.GzipFile(fileobj=raw) if path.endswith(GZ) else raw
                 k = 0
                 while True:
-                    piece = stream.read(chunk_bytes)
+                    try:
+                        piece = stream.read(chunk_bytes)
+                    except (zlib.error, EOFError, gzip.BadGzipFile):
+                        for name, v in (("app", app), ("path", path), ("chunk_no", BROKEN), ("bytes", None)):
+                            cols[name].append(v)
+                        break
                     if not piece:
                         break
                     cols["app"].append(app)
@@ -149,13 +206,16 @@ def _chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
         if cols["path"]:
             yield take()
 
-    GZ = GZ_SUFFIX
+    GZ, BROKEN = GZ_SUFFIX, BROKEN_CHUNK
     return run
 
 
 def _path_chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
-    """Reads each listed path as a stream and cuts its uncompressed bytes; holds about ``flush_bytes``."""
-    unpack, opener, GZ = gunzip, arrow_location, GZ_SUFFIX
+    """Reads each listed path as a stream and cuts its uncompressed bytes; holds about ``flush_bytes``.
+
+    A gzip stream that cannot be unpacked ends with a row ``BROKEN_CHUNK``; a failed read fails the task.
+    """
+    unpack, opener, GZ, BROKEN = gunzip, arrow_location, GZ_SUFFIX, BROKEN_CHUNK
 
     def blocks(raw):
         while True:
@@ -165,6 +225,8 @@ def _path_chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
             yield block
 
     def run(batches):
+        import zlib
+
         import pandas as pd
         for pdf in batches:
             rows, held = [], 0
@@ -172,17 +234,20 @@ def _path_chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
                 fs, p = opener(path)
                 with fs.open_input_stream(p, compression=None) as raw:
                     k, rest = 0, b""
-                    for block in (unpack(raw) if path.endswith(GZ) else blocks(raw)):
-                        rest += block
-                        whole = len(rest) // chunk_bytes
-                        for i in range(whole):
-                            rows.append((app, path, k, rest[i * chunk_bytes:(i + 1) * chunk_bytes]))
-                            k += 1
-                        held += whole * chunk_bytes
-                        rest = rest[whole * chunk_bytes:]
-                        if held >= flush_bytes:
-                            yield pd.DataFrame(rows, columns=["app", "path", "chunk_no", "bytes"])
-                            rows, held = [], 0
+                    try:
+                        for block in (unpack(raw) if path.endswith(GZ) else blocks(raw)):
+                            rest += block
+                            whole = len(rest) // chunk_bytes
+                            for i in range(whole):
+                                rows.append((app, path, k, rest[i * chunk_bytes:(i + 1) * chunk_bytes]))
+                                k += 1
+                            held += whole * chunk_bytes
+                            rest = rest[whole * chunk_bytes:]
+                            if held >= flush_bytes:
+                                yield pd.DataFrame(rows, columns=["app", "path", "chunk_no", "bytes"])
+                                rows, held = [], 0
+                    except (zlib.error, EOFError):
+                        rows.append((app, path, BROKEN, None))
                     if rest:
                         rows.append((app, path, k, rest))
                         held += len(rest)
@@ -214,12 +279,14 @@ def build_chunks(spark: SparkSession, home: str, chunk_bytes: int = 1 << 16,
 
 
 def uncompressed_length(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Files with ``length`` = bytes after gunzip (gz) or the stored length (plain)."""
-    sizes = chunks.groupBy("path").agg(F.sum(F.octet_length("bytes")).cast("long").alias("_gz_len"))
+    """Files with ``length`` = bytes after gunzip (gz) or the stored length (plain), and ``read_error``."""
+    sizes = chunks.groupBy("path").agg(F.sum(F.octet_length("bytes")).cast("long").alias("_gz_len"),
+                                       F.bool_or(F.col("chunk_no") == BROKEN_CHUNK).alias("_broken"))
     gz = F.col("file_name").endswith(GZ_SUFFIX)
     j = files.join(sizes, "path", "left")
-    return j.withColumn("length", F.when(gz, F.coalesce(F.col("_gz_len"), F.lit(0).cast("long")))
-                        .otherwise(F.col("stored_length"))).drop("_gz_len")
+    return (j.withColumn("length", F.when(gz, F.coalesce(F.col("_gz_len"), F.lit(0).cast("long")))
+                         .otherwise(F.col("stored_length")))
+            .withColumn("read_error", F.coalesce("_broken", F.lit(False))).drop("_gz_len", "_broken"))
 
 
 TARGET_FILE_BYTES = 256 << 20
@@ -263,6 +330,7 @@ FILE_TABLE_SCHEMA = T.StructType([
     T.StructField("app", T.StringType()),
     T.StructField("chunk_batch", T.StringType()),
     T.StructField("app_bucket", T.IntegerType()),
+    T.StructField("read_error", T.BooleanType()),
 ])
 
 
@@ -327,32 +395,39 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
 
 
 def gunzip(raw, block: int = 1 << 20):
-    """Decompressed pieces of a gzip stream (several members allowed), read block by block."""
+    """Decompressed pieces of a gzip stream (several members allowed), read block by block.
+
+    A stream that ends within a member raises EOFError: a cut file is not taken for a whole one.
+    """
     import zlib
-    d = zlib.decompressobj(16 + zlib.MAX_WBITS)
+    d, within = zlib.decompressobj(16 + zlib.MAX_WBITS), False
     while True:
         buf = raw.read(block)
         if not buf:
             break
         buf = bytes(buf)
         while buf:
+            if not within:
+                buf = buf.lstrip(b"\0")  # padding between members
+                if not buf:
+                    break
+            within = True
             out = d.decompress(buf)
             if out:
                 yield out
+            buf = d.unused_data
             if d.eof:
-                buf = d.unused_data
-                d = zlib.decompressobj(16 + zlib.MAX_WBITS)
-            else:
-                buf = b""
-    tail = d.flush()
-    if tail:
-        yield tail
+                d, within = zlib.decompressobj(16 + zlib.MAX_WBITS), False
+    if within:
+        raise EOFError("gzip stream ends within a member")
 
 
 def _length_counter(batch_bytes: int = 1 << 20):
     gz_stream, opener = gunzip, arrow_location
 
     def run(batches):
+        import zlib
+
         import pandas as pd
 
         for pdf in batches:
@@ -360,7 +435,10 @@ def _length_counter(batch_bytes: int = 1 << 20):
             for path in pdf["path"]:
                 fs, p = opener(path)
                 with fs.open_input_stream(p, compression=None) as raw:
-                    out.append(sum(len(b) for b in gz_stream(raw, batch_bytes)))
+                    try:
+                        out.append(sum(len(b) for b in gz_stream(raw, batch_bytes)))
+                    except (zlib.error, EOFError):
+                        out.append(-1)
             yield pd.DataFrame({"path": pdf["path"], "_gz_len": out})
     return run
 
@@ -375,8 +453,9 @@ def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None
     gz = listing.where(F.col("file_name").endswith(GZ_SUFFIX)).select("path")
     sizes = gz.mapInPandas(_length_counter(), "path string, _gz_len long")
     j = listing.join(sizes, "path", "left")
-    return j.withColumn("length", F.when(F.col("file_name").endswith(GZ_SUFFIX), F.col("_gz_len"))
-                        .otherwise(F.col("stored_length"))).drop("_gz_len")
+    length = F.when(F.col("file_name").endswith(GZ_SUFFIX), F.greatest("_gz_len", F.lit(0).cast("long")))
+    return (j.withColumn("length", length.otherwise(F.col("stored_length")))
+            .withColumn("read_error", F.coalesce(F.col("_gz_len") < 0, F.lit(False))).drop("_gz_len"))
 
 
 def _range_reader(piece_cols: list[str]):

@@ -26,9 +26,11 @@ def build_home(root):
     put(home, "a/a-driver_10", b"ten|")                            # lexical order: _10 before _2
     put(home, "a/a-driver_1", b"one-plain|")
     put(home, "a/a-driver_1.gz", b"one-gz|", gz=True)              # gz twin: tie broken by full name
-    put(home, "a/a-driver_3", b"")                                 # empty: not listed, adds nothing
-    put(home, "a/_a-driver_4", b"hidden")
-    put(home, "a/.a-driver_5", b"hidden")
+    put(home, "a/a-driver_3", b"")                                 # empty: listed, adds nothing
+    put(home, "a/_a-driver_4", b"listed, but its name does not start with the application")
+    put(home, "a/.a-driver_5", b"the same")
+    put(home, "_job/_job-driver_1", b"an application that starts with _")
+    os.makedirs(os.path.join(home, "hollow"))                      # a folder without files
     os.makedirs(os.path.join(home, "a", "a-driver_dir"), exist_ok=True)
     put(home, "a/a-driver_dir/inner", b"not a log file")
     two = gzip.compress(b"member-1|", mtime=0) + gzip.compress(b"member-2", mtime=0)
@@ -44,6 +46,7 @@ EXPECTED = {
     ("a", "driver"): b"one-plain|one-gz|ten|two|",
     ("m", "driver"): b"member-1|member-2",
     ("a b", "driver"): b"blank name",
+    ("_job", "driver"): b"an application that starts with _",
 }
 
 
@@ -51,7 +54,7 @@ def test_listing_and_slices(spark, scratch):
     home = build_home(scratch)
     listing = fl.scan_log_files(spark, home)
     names = {(r.app, r.file_name) for r in listing.collect()}
-    assert ("a", "a-driver_3") not in names and ("a", "_a-driver_4") not in names
+    assert {("a", "a-driver_3"), ("a", "_a-driver_4"), ("a", ".a-driver_5"), ("_job", "_job-driver_1")} <= names
     assert ("a b", "a b-driver_1") in names
     assert all(app != "home" for app, _ in names)
     chunks = fl.build_chunks(spark, home, 4)
@@ -61,7 +64,7 @@ def test_listing_and_slices(spark, scratch):
     assert lengths["a-exec-1_1.gz"] == len(b"first \xc3")
     reqs = [(f"{a}|{p}", a, p, None, 10**6) for a, p in EXPECTED]
     reqs += [("missing", "zzz", "driver", None, 10), ("file", "plainapp", "driver", None, 10),
-             ("tail", "a", "exec-1", None, 5), ("mid", "a", "exec-1", 6, 3)]
+             ("hollow", "hollow", "driver", None, 10), ("tail", "a", "exec-1", None, 5), ("mid", "a", "exec-1", 6, 3)]
     rq = spark.createDataFrame(reqs, "request_id string, app string, pod string, offset long, byte_length int")
     out = sl.log_slices(rq, files, chunks, home=home, dirs=fl.log_directories(spark, home), chunk_bytes=4)
     got = {r.request_id: r for r in out.collect()}
@@ -70,6 +73,7 @@ def test_listing_and_slices(spark, scratch):
         assert r.status == "ok" and bytes(r.bytes) == data, (a, p, r.bytes)
     assert got["missing"].status == "missing_dir"
     assert got["file"].status == "not_a_directory"
+    assert (got["hollow"].status, got["hollow"].total_bytes) == ("ok", 0)
     full = EXPECTED[("a", "exec-1")]
     assert bytes(got["tail"].bytes) == full[-5:]
     assert bytes(got["mid"].bytes) == full[6:9]
@@ -143,6 +147,27 @@ def test_direct_range_reads(spark, scratch):
     assert got["gzmid"] == b"member-1|member-2"[4:13]
 
 
+def test_broken_gzip_concerns_its_log_only(spark, scratch):
+    home = os.path.join(scratch, "broken")
+    packed = gzip.compress(b"x" * 50 + os.urandom(200), mtime=0)
+    put(home, "a/a-driver_1", b"whole|")
+    put(home, "a/a-driver_2.gz", packed[:-20])                     # cut within the member
+    put(home, "a/a-exec-1_1.gz", b"healthy", gz=True)
+    put(home, "b/b-driver_1.gz", b"not gzip at all")
+    put(home, "c/c-driver_1.gz", gzip.compress(b"padded", mtime=0) + b"\0" * 512)
+    rq = spark.createDataFrame(
+        [(f"{a}|{p}", a, p, None, 100) for a, p in (("a", "driver"), ("a", "exec-1"), ("b", "driver"), ("c", "driver"))],
+        "request_id string, app string, pod string, offset long, byte_length int")
+    files = fl.refresh_file_table(spark, home, os.path.join(scratch, "ft"), os.path.join(scratch, "ct"), 16)
+    chunks = fl.read_chunks(spark, os.path.join(scratch, "ct"))
+    for out in (sl.log_slices(rq, files, chunks, home=home, chunk_bytes=16),
+                sl.log_slices(rq, fl.file_table(spark, home), None, home=home)):
+        got = {r.request_id: (r.status, r.total_bytes, r.bytes and bytes(r.bytes)) for r in out.collect()}
+        assert got["a|driver"] == got["b|driver"] == ("read_error", 0, None)
+        assert got["a|exec-1"] == ("ok", 7, b"healthy")
+        assert got["c|driver"] == ("ok", 6, b"padded")
+
+
 def test_text_per_file_piece(spark, scratch):
     home = build_home(scratch)
     listing = fl.scan_log_files(spark, home)
