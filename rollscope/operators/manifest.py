@@ -74,26 +74,34 @@ def with_offsets(ranked: DataFrame) -> DataFrame:
             .withColumn("file_end", F.col("file_start") + F.col("length").cast("long")))
 
 
-def with_rank_offsets_split(files: DataFrame, partitions: int, order: str = "name") -> DataFrame:
-    """File rank and offsets when a single log may hold a large share of all files.
-
-    Two-level prefix sum instead of one window per log:
-
-    1. range-partition the file rows by (app, pod, sort key) into ``partitions``
-       parts -- a hot log spreads over many parts -- and pin each row's part id
-       with a reliable checkpoint (so recomputation cannot move rows);
-    2. rank and sum within (part, log): groups are bounded by the part size;
-    3. per (log, part) totals, prefix-summed over parts with a window whose
-       groups hold at most ``partitions`` rows;
-    4. join the part offsets back.  Same result as ``with_file_rank`` +
-       ``with_offsets``.
+PART_CHARS = 7   # characters of the rolled suffix that name a part of a log
+
+
+def rolled_part(order: str = "name", part_chars: int = PART_CHARS) -> Column:
+    """The part of its log that a file falls in: a step function of the sort key, so parts follow the rolled order.
+
+    By name, parts are the sort key cut at one length for the whole log: what ``<app>-<pod>_`` takes and
+    ``part_chars`` more, so that 10-digit numbers make parts of 1000 files. By time, parts are hours.
+    """
+    if order == "modified":
+        return F.expr("coalesce(unix_seconds(modified) div 3600, -999999999999)")
+    width = F.length("app") + F.length("pod") + F.lit(2 + part_chars)
+    return F.left(strip_gz(F.col("file_name")), width)
+
+
+def with_rank_offsets(files: DataFrame, order: str = "name", part_chars: int = PART_CHARS) -> DataFrame:
+    """File rank and offsets by a two-level prefix sum, as one log may hold a large share of all files.
+
+    1. rank and sum within (log, part), see ``rolled_part``;
+    2. totals per (log, part), combined map-side, prefix-summed over the parts of each log;
+    3. join the part offsets back.
+
+    Same result as ``with_file_rank`` + ``with_offsets``, for any names; names decide only how many
+    parts there are. The same plan at every size: no job runs to choose it.
     """
-    from rollscope.session import reliable_checkpoint
     keys = rolled_order(order)
-    ranged = reliable_checkpoint(
-        files.repartitionByRange(partitions, F.col("app"), F.col("pod"), *keys)
-        .withColumn("_part", F.spark_partition_id()))
-    w_local = Window.partitionBy("_part", *LOG_KEY).orderBy(*keys)
+    ranged = files.withColumn("_part", rolled_part(order, part_chars))
+    w_local = Window.partitionBy(*LOG_KEY, "_part").orderBy(*keys)
     local = (ranged.withColumn("_lrank", F.row_number().over(w_local))
              .withColumn("_lstart", F.coalesce(
                  F.sum("length").over(w_local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
@@ -117,40 +125,9 @@ def total_length(manifest: DataFrame) -> DataFrame:
         F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_bytes"), *broken)
 
 
-# a log may hold this many rolled files before its window is split over tasks
-HOT_LOG_FILES = 1_000_000
-
-
-def plan_split(files: DataFrame, hot_log_files: int = HOT_LOG_FILES) -> int | None:
-    """Partitions for the two-level prefix sum, or None when one window per log is safe.
-
-    The number of files of an application bounds the group size of every
-    log in it; one aggregate over the file table (a single number to the
-    driver) decides.
-    """
-    bound = files.groupBy("app").count().agg(F.max("count")).first()[0]
-    if not bound or bound <= hot_log_files:
-        return None
-    sc = files.sparkSession.sparkContext
-    return max(sc.defaultParallelism, -(-int(bound) * 4 // hot_log_files))
-
-
-def build_manifest(logs: DataFrame, files: DataFrame, order: str = "name",
-                   split_partitions: int | str | None = None,
-                   hot_log_files: int = HOT_LOG_FILES) -> DataFrame:
-    """Match, rank and place the files of every requested log.
-
-    ``split_partitions``: None = one window per log; a number = two-level
-    prefix sum over that many parts (see ``with_rank_offsets_split``);
-    ``"auto"`` = check the largest application first and split only when it
-    exceeds ``hot_log_files`` files.
-    """
-    if split_partitions == "auto":
-        split_partitions = plan_split(files, hot_log_files)
-    matched = match_files(logs, files)
-    if split_partitions:
-        return with_rank_offsets_split(matched, int(split_partitions), order)
-    return with_offsets(with_file_rank(matched, order))
+def build_manifest(logs: DataFrame, files: DataFrame, order: str = "name") -> DataFrame:
+    """Match, rank and place the files of every requested log."""
+    return with_rank_offsets(match_files(logs, files), order)
 
 
 def log_directories(files: DataFrame) -> DataFrame:

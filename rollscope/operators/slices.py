@@ -41,8 +41,11 @@ REQUEST_COLUMNS = ["request_id", "app", "pod", "log_type", "offset", "byte_lengt
 WINDOW_COLUMNS = REQUEST_COLUMNS + ["start_byte", "end_byte", "total_bytes", "status"]
 
 
-def normalize_requests(requests: DataFrame) -> DataFrame:
-    """Fill optional request columns: log type label, default byte length."""
+CARRY = "_carry"  # further request columns on their way to the result, packed in one struct
+
+
+def normalize_requests(requests: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Fill optional request columns: log type label, default byte length; ``carry`` names further ones to keep."""
     r = requests
     if "log_type" not in r.columns:
         r = r.withColumn("log_type", F.lit(None).cast("string"))
@@ -53,7 +56,8 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     return r.select(
         "request_id", F.col("app").cast("string").alias("app"), F.col("pod").cast("string").alias("pod"),
         F.col("log_type").cast("string").alias("log_type"), F.col("offset").cast("long").alias("offset"),
-        F.coalesce(F.col("byte_length").cast("long"), F.lit(DEFAULT_BYTE_LENGTH)).alias("byte_length"))
+        F.coalesce(F.col("byte_length").cast("long"), F.lit(DEFAULT_BYTE_LENGTH)).alias("byte_length"),
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias(CARRY)] if carry else []))
 
 
 def requested_logs(requests: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def resolve_requests(requests: DataFrame, totals: DataFrame, dirs: DataFrame) ->
     ok = status == STATUS_OK
     zero = F.lit(0).cast("long")
     return j.select(
-        *REQUEST_COLUMNS,
+        *REQUEST_COLUMNS, *([CARRY] if CARRY in requests.columns else []),
         F.when(ok, start).otherwise(zero).alias("start_byte"),
         F.when(ok, end).otherwise(zero).alias("end_byte"),
         F.when(ok, total).otherwise(zero).alias("total_bytes"),
@@ -100,10 +104,12 @@ def _bucket_span(lo, hi, bucket_bytes: int):
 
 
 def overlap(windows: DataFrame, manifest: DataFrame,
-            bucket_bytes: int = DEFAULT_BUCKET_BYTES) -> DataFrame:
+            bucket_bytes: int = DEFAULT_BUCKET_BYTES, keep_empty: bool = False) -> DataFrame:
     """Range join: the files each window overlaps and the local range in each.
 
-    The window's own columns ride along, so no join back is needed later.
+    The window's own columns ride along, so no join back is needed later.  With ``keep_empty``,
+    windows without bytes stay too, with NULL file columns (a window may then also have such
+    rows beside its files), so that one pass answers every request.
 
     Intersection of [start, end) with [file_start, file_end) is non-empty iff
     ``greatest(start, file_start) < least(end, file_end)``.  Both sides are
@@ -112,9 +118,10 @@ def overlap(windows: DataFrame, manifest: DataFrame,
     appears once and the candidate set per key stays bounded by the bucket size.
     """
     carry = list(windows.columns)
-    w = (windows.where((F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte")))
-         .withColumn("bucket", F.explode(_bucket_span(F.col("start_byte"), F.col("end_byte"),
-                                                      bucket_bytes))))
+    filled = (F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte"))
+    span = F.when(filled, _bucket_span(F.col("start_byte"), F.col("end_byte"), bucket_bytes))
+    w = (windows.withColumn("bucket", F.explode_outer(span)) if keep_empty
+         else windows.where(filled).withColumn("bucket", F.explode(span)))
     extra = [c for c in ("chunk_batch", "app_bucket") if c in manifest.columns]
     m = (manifest.where(F.col("file_end") > F.col("file_start"))
          .select("app", "pod", "path", "file_rank", "file_start", "file_end", *extra)
@@ -122,24 +129,29 @@ def overlap(windows: DataFrame, manifest: DataFrame,
                                                       bucket_bytes))))
     lo = F.greatest(F.col("start_byte"), F.col("file_start"))
     hi = F.least(F.col("end_byte"), F.col("file_end"))
-    j = w.join(m, ["app", "pod", "bucket"]).where(
-        (lo < hi) & (F.floor(lo / F.lit(bucket_bytes)) == F.col("bucket")))
+    m = m.withColumnsRenamed({"app": "_app", "pod": "_pod", "bucket": "_bucket"})
+    j = w.join(m, (F.col("app") == F.col("_app")) & (F.col("pod") == F.col("_pod"))
+               & (F.col("bucket") == F.col("_bucket")) & (lo < hi)
+               & (F.floor(lo / F.lit(bucket_bytes)) == F.col("bucket")), "left" if keep_empty else "inner")
     return j.select(*carry, "path", "file_rank", *extra,
                     (lo - F.col("file_start")).alias("local_start"),
                     (hi - F.col("file_start")).alias("local_end"))
 
 
 def fetch_chunks(pieces: DataFrame, chunks: DataFrame,
-                 chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:
+                 chunk_bytes: int = DEFAULT_CHUNK_BYTES, keep_empty: bool = False) -> DataFrame:
     """Bytes of each (request, file, local range) from the chunk table.
 
     Local ranges become chunk numbers; only those chunks are joined, on
     ``(path, chunk_no)``, which also spreads one huge log over many tasks.
+    With ``keep_empty``, rows without a file stay, with a NULL piece.
     """
     C = F.lit(chunk_bytes)
-    p = pieces.where(F.col("local_end") > F.col("local_start")).withColumn(
-        "chunk_no", F.explode(F.sequence(F.floor(F.col("local_start") / C).cast("long"),
-                                         F.floor((F.col("local_end") - 1) / C).cast("long"))))
+    filled = F.col("local_end") > F.col("local_start")
+    numbers = F.when(filled, F.sequence(F.floor(F.col("local_start") / C).cast("long"),
+                                        F.floor((F.col("local_end") - 1) / C).cast("long")))
+    p = (pieces.withColumn("chunk_no", F.explode_outer(numbers)) if keep_empty
+         else pieces.where(filled).withColumn("chunk_no", F.explode(numbers)))
     keys = ["path", "chunk_no"]
     if "chunk_batch" in chunks.columns and "chunk_batch" in p.columns:
         # persisted chunk tables hold one folder per ingestion batch; the file
@@ -154,7 +166,7 @@ def fetch_chunks(pieces: DataFrame, chunks: DataFrame,
             p = p.withColumn("app_bucket", app_bucket(F.col("app")))
         keys = ["app_bucket"] + keys
     c = chunks.select(*keys[:-1], F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
-    j = p.join(c, keys)
+    j = p.join(c, keys, "left" if keep_empty else "inner")
     base = F.col("chunk_no") * C
     lo = F.greatest(F.col("local_start"), base) - base
     hi = F.least(F.col("local_end"), base + C) - base
@@ -202,22 +214,20 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
     file's piece on its own, as a reader going file by file does.
     """
     # equal requests are answered once and returned as often as they were asked
-    keys = [*WINDOW_COLUMNS, "_copies"]
-    windows = windows.groupBy(*WINDOW_COLUMNS).agg(F.count("*").alias("_copies"))
-    pieces = overlap(windows, manifest, bucket_bytes)
+    window = [c for c in (*WINDOW_COLUMNS, CARRY) if c in windows.columns]
+    keys = [*window, "_copies"]
+    windows = windows.groupBy(*window).agg(F.count("*").alias("_copies"))
+    # one pass: windows without bytes ride along with NULL pieces, and their slice is empty
+    pieces = overlap(windows, manifest, bucket_bytes, keep_empty=True)
     if chunks is None:
         from rollscope.sources.files import read_ranges
         fetched = read_ranges(pieces)
     else:
-        fetched = fetch_chunks(pieces, chunks, chunk_bytes)
+        fetched = fetch_chunks(pieces, chunks, chunk_bytes, keep_empty=True)
     per_file = with_text and text_mode == "per_file"
-    filled = assemble_per_file(fetched, keys) if per_file else assemble(fetched, keys)
-    needs_bytes = (F.col("status") == STATUS_OK) & (F.col("end_byte") > F.col("start_byte"))
-    empty = windows.where(~needs_bytes).withColumn(
-        "slice_hex", F.when(F.col("status") == STATUS_OK, F.lit("")).otherwise(F.lit(None).cast("string")))
-    if per_file:
-        empty = empty.withColumn("text", F.when(F.col("status") == STATUS_OK, F.lit("")))
-    out = filled.unionByName(empty)
+    out = assemble_per_file(fetched, keys) if per_file else assemble(fetched, keys)
+    for c in ("slice_hex", "text") if per_file else ("slice_hex",):
+        out = out.withColumn(c, F.when(F.col("status") == STATUS_OK, F.col(c)))
     out = out.withColumn("bytes", F.unhex("slice_hex"))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     out = out.withColumn("_copies", copies).drop("_copies")
@@ -226,26 +236,25 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
     header = slice_header(F.col("start_byte"), F.col("end_byte"), F.col("total_bytes"), log_dir(home, F.col("app")),
                           F.col("log_type"))
     refused = F.col("status").isin(STATUS_BAD_REQUEST, STATUS_MISSING_DIR)
-    return out.withColumn("header", F.when(~refused, header))
+    out = out.withColumn("header", F.when(~refused, header))
+    return out.select(*(c for c in out.columns if c != CARRY), f"{CARRY}.*") if CARRY in out.columns else out
 
 
 def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None, home: str = "",
                dirs: DataFrame | None = None, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, order: str = "name",
-               with_text: bool = True, split_partitions: int | str | None = "auto",
-               text_mode: str = "whole") -> DataFrame:
+               with_text: bool = True, text_mode: str = "whole", carry: list[str] | None = None) -> DataFrame:
     """Answer every byte-range request of ``requests`` in one Spark job.
 
     ``chunks`` is the chunk table, or None to read ranges straight from the
     files in ``files.path`` (no ingestion needed; see ``sources.files.file_table``).
 
-    ``split_partitions``: ``"auto"`` (default) checks the largest application
-    in the file table and uses the two-level prefix sum only for very large
-    ones; None forces one window per log, a number forces the split.
+    ``carry`` names further columns of ``requests`` to return with each answer.
     """
-    req = normalize_requests(requests)
-    manifest = mf.build_manifest(requested_logs(req), files, order, split_partitions)
-    totals = mf.total_length(manifest)
+    req = normalize_requests(requests, carry)
+    logs = requested_logs(req)
+    manifest = mf.build_manifest(logs, files, order)
+    totals = mf.total_length(mf.match_files(logs, files))
     if dirs is None:
         dirs = mf.log_directories(files)
     windows = resolve_requests(req, totals, dirs)

@@ -53,12 +53,12 @@ def _windows(spark, sf_dir, requests=None):
     return sl.resolve_requests(req, mf.total_length(manifest), mf.log_directories(files)), manifest
 
 
-def _slices(spark, sf_dir, requests=None, with_text=False):
+def _slices(spark, sf_dir, requests=None, with_text=False, carry=None):
     files = _files(spark, sf_dir)
     req = requests if requests is not None else _requests(spark, sf_dir)
     chunks = sl.chunks_from_content(files, fx.CHUNK_BYTES)
     return sl.log_slices(req, files, chunks, home=fx.LOG_HOME, chunk_bytes=fx.CHUNK_BYTES,
-                         with_text=with_text)
+                         with_text=with_text, carry=carry)
 
 
 SLICE_COLS = ["request_id", "app", "pod", "start_byte", "end_byte", "total_bytes", "status",
@@ -541,8 +541,7 @@ requests AS (SELECT c.client || ':' || c.app || ':' || c.pod AS request_id, c.ap
 SELECT request_id, app, pod, poll_status, start_byte, end_byte, total_bytes, slice_hex FROM winr""")
 def q_load_new(spark, sf_dir):
     reqs = pg.new_bytes(fx.log_cursors(spark, sf_dir), fx.log_totals(spark, sf_dir))
-    out = _slices(spark, sf_dir, requests=reqs)
-    return out.join(reqs.select("request_id", "poll_status"), "request_id").select(
+    return _slices(spark, sf_dir, requests=reqs, carry=["poll_status"]).select(
         "request_id", "app", "pod", "poll_status", "start_byte", "end_byte", "total_bytes", "slice_hex")
 
 

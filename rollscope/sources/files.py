@@ -311,14 +311,9 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append", buckets: in
      .write.mode(mode).partitionBy("app_bucket").parquet(path))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return None
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    fs, hpath = _folder(spark, path)
+    return spark.read.parquet(path) if fs.exists(hpath) else None
 
 
 FILE_TABLE_SCHEMA = T.StructType([
@@ -334,6 +329,45 @@ FILE_TABLE_SCHEMA = T.StructType([
 ])
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, as the driver's Hadoop sees them."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _versions(spark: SparkSession, table_path: str) -> list[int]:
+    """Whole versions of a file table, oldest first; one without its ``_SUCCESS`` mark was cut short."""
+    fs, marks = _folder(spark, f"{literal_path(table_path)}/version=*/_SUCCESS")
+    found = fs.globStatus(marks)
+    return sorted(int(str(s.getPath().getParent().getName()).split("=")[1]) for s in found or [])
+
+
+def _version_path(table_path: str, version: int) -> str:
+    return f"{table_path.rstrip('/')}/version={version}"
+
+
+def read_file_table(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The newest whole version of a file table, None where there is none."""
+    versions = _versions(spark, table_path)
+    return spark.read.schema(FILE_TABLE_SCHEMA).parquet(_version_path(table_path, versions[-1])) if versions else None
+
+
+def drop_superseded(spark: SparkSession, table_path: str, chunk_path: str) -> None:
+    """Delete all versions but the newest, and the chunk batches it does not name.
+
+    Call it when no reader holds an older version.
+    """
+    versions = _versions(spark, table_path)
+    if not versions:
+        return
+    named = {r[0] for r in read_file_table(spark, table_path).select("chunk_batch").distinct().collect()}  # one row a refresh
+    fs, batches = _folder(spark, f"{literal_path(chunk_path)}/batch=*")
+    old = [s.getPath() for s in fs.globStatus(batches) or [] if str(s.getPath().getName()).split("=", 1)[1] not in named]
+    old += [_folder(spark, _version_path(table_path, v))[1] for v in versions[:-1]]
+    for path in old:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _batch_token(files: DataFrame) -> str:
     """Deterministic name of an ingestion batch: a hash over the (path, length, mtime) set."""
     h = files.select(F.sum(F.xxhash64("path", "stored_length", "modified").cast("decimal(38,0)"))
@@ -362,13 +396,16 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     and slices join chunks on it, so superseded chunks are never read.  It
     also records each file's ``app_bucket``, so ``buckets`` (more buckets =
     finer pruning on very large tables) may differ between refreshes.
-    Returns the current file table.
+    Each refresh writes a whole new ``version=<n>`` folder below ``table_path``, which counts once
+    it is complete: readers (``read_file_table``) keep the version they opened, and a refresh that
+    dies leaves the one before it in place. ``drop_superseded`` removes what is no longer used.
+    One refresh of a table runs at a time. Returns the current file table.
     """
     if snapshot is None:
         snapshot = list_home(spark, home)  # list the tree once per refresh
     listing = scan_log_files(spark, home, snapshot)
     key = ["path", "stored_length", "modified"]
-    known = read_table(spark, table_path, FILE_TABLE_SCHEMA)
+    known = read_file_table(spark, table_path)
     fresh = listing if known is None else listing.join(known.select(*key), key, "left_anti")
     fresh = reliable_checkpoint(fresh)  # pin the set being ingested
     if known is not None and fresh.isEmpty() and known.join(listing.select(*key), key, "left_anti").isEmpty():
@@ -388,10 +425,10 @@ def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_pa
     if known is not None:
         still = known.join(listing.select(*key), key, "left_semi")
         current = still.unionByName(current)
-    current = reliable_checkpoint(current)
     # metadata only (one row per file): a few unpartitioned files
-    current.coalesce(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(table_path)
-    return read_table(spark, table_path, FILE_TABLE_SCHEMA)
+    version = _version_path(table_path, max(_versions(spark, table_path), default=0) + 1)
+    current.coalesce(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(version)
+    return read_file_table(spark, table_path)
 
 
 def gunzip(raw, block: int = 1 << 20):
@@ -467,6 +504,9 @@ def _range_reader(piece_cols: list[str]):
         for pdf in batches:
             pieces = []
             for path, lo, hi in zip(pdf["path"], pdf["local_start"], pdf["local_end"]):
+                if path is None:  # a window without bytes
+                    pieces.append(None)
+                    continue
                 fs, p = opener(path)
                 lo, hi = int(lo), int(hi)
                 if path.endswith(".gz"):

@@ -142,19 +142,22 @@ def test_split_prefix_sum_equals_window(spark):
     rows += [("b", "exec-1", f"b-exec-1_{i}", f"q{i}", i % 5) for i in range(30)]
     files = spark.createDataFrame(rows, "app string, pod string, file_name string, path string, length long")
     simple = mf.with_offsets(mf.with_file_rank(files))
-    split = mf.with_rank_offsets_split(files, 16)
     cols = ["app", "pod", "file_name", "file_rank", "file_start", "file_end"]
-    assert sorted(map(tuple, simple.select(*cols).collect())) == sorted(map(tuple, split.select(*cols).collect()))
-    fdf = spark.createDataFrame([(a, n, p, bytes([65 + (k % 26)]) * ln) for k, (a, _, n, p, ln) in enumerate(rows)],
-                                "app string, file_name string, path string, content binary") \
-        .withColumn("length", F.octet_length("content").cast("long"))
-    rq = spark.createDataFrame([("t", "a", "driver", None, 50), ("h", "b", "exec-1", 3, 20)],
-                               "request_id string, app string, pod string, offset long, byte_length int")
-    chunks = sl.chunks_from_content(fdf, 4)
-    one = {r.request_id: r.slice_hex for r in sl.log_slices(rq, fdf, chunks, chunk_bytes=4).collect()}
-    two = {r.request_id: r.slice_hex for r in
-           sl.log_slices(rq, fdf, chunks, chunk_bytes=4, split_partitions=8).collect()}
-    assert one == two and len(one["t"]) == 100
+    want = sorted(map(tuple, simple.select(*cols).collect()))
+    for chars in (0, 2, 3, 40):  # one part a log, a few, one a file
+        split = mf.with_rank_offsets(files, part_chars=chars)
+        assert split.select(mf.rolled_part(part_chars=chars)).distinct().count() >= 2
+        assert sorted(map(tuple, split.select(*cols).collect())) == want
+
+
+def test_prefix_sum_by_time_with_ties_and_nulls(spark):
+    rows = [("a", "driver", f"a-driver_{i}", None if i % 9 == 0 else 3600 * (i % 5) - 7200 + i % 2, i % 4) for i in range(60)]
+    files = spark.createDataFrame(rows, "app string, pod string, file_name string, s long, length long") \
+        .withColumn("modified", F.timestamp_seconds("s"))
+    cols = ["file_name", "file_rank", "file_start", "file_end"]
+    one = mf.with_offsets(mf.with_file_rank(files, "modified")).select(*cols)
+    two = mf.with_rank_offsets(files, "modified").select(*cols)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
 def test_fast_pod_path_equals_general_rule(spark):
@@ -186,14 +189,16 @@ def test_advance_new_cursor(spark):
     assert (nxt.start_byte, nxt.end_byte, nxt.total_bytes) == (0, total, total)
 
 
-def test_auto_split_decision(spark):
-    rows = [("a", f"a-driver_{i:03d}", f"p{i}", 1) for i in range(50)] + [("b", "b-driver_1", "q", 1)]
-    files = spark.createDataFrame(rows, "app string, file_name string, path string, length long")
-    assert mf.plan_split(files, hot_log_files=100) is None
-    parts = mf.plan_split(files, hot_log_files=10)
-    assert parts is not None and parts >= 2
-    logs = spark.createDataFrame([("a", "driver"), ("b", "driver")], "app string, pod string")
-    auto = mf.build_manifest(logs, files, split_partitions="auto", hot_log_files=10)
-    plain = mf.build_manifest(logs, files)
-    cols = ["app", "pod", "file_name", "file_rank", "file_start", "file_end"]
-    assert sorted(map(tuple, auto.select(*cols).collect())) == sorted(map(tuple, plain.select(*cols).collect()))
+def test_carried_columns_and_equal_requests(spark):
+    files, logs = make_logs()
+    fdf = files_df(spark, files)
+    (app, pod), data = max(logs.items(), key=lambda x: len(x[1]))
+    rq = spark.createDataFrame(
+        [("r", app, pod, None, 6, "x"), ("r", app, pod, None, 6, "x"), ("r", app, pod, None, 6, None),
+         ("none", app, pod, 0, 0, "empty"), ("bad", None, pod, 0, 5, "refused")],
+        "request_id string, app string, pod string, offset long, byte_length int, bucket string")
+    out = sl.log_slices(rq, fdf, sl.chunks_from_content(fdf, 4), chunk_bytes=4, bucket_bytes=2, carry=["bucket"])
+    got = [(r.request_id, r.bucket, None if r.bytes is None else bytes(r.bytes)) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(
+        [("r", "x", data[-6:]), ("r", "x", data[-6:]), ("r", None, data[-6:]), ("none", "empty", b""),
+         ("bad", "refused", None)], key=str)
