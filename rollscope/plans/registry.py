@@ -197,7 +197,7 @@ SELECT app, pod, file_name, CAST(file_rank AS INTEGER) AS file_rank FROM manifes
 def q_file_rank(spark, sf_dir):
     files = _files(spark, sf_dir)
     logs = files.select("app", "pod").distinct()
-    return mf.with_file_rank(mf.match_files(logs, files)).select("app", "pod", "file_name", "file_rank")
+    return mf.with_rank_offsets(mf.match_files(logs, files)).select("app", "pod", "file_name", "file_rank")
 
 
 @register("file_offsets", osql.with_ctes(osql.LOG_FILES, osql.LOGS, osql.MANIFEST) + """
