@@ -175,11 +175,13 @@ def pseudonymise_text(text: str, keyed: Pseudonyms) -> tuple[str, list[tuple[str
     if not _HINT.search(text):
         return text, []
     parts, spans, done, size = [], [], 0, 0
-    for m in _FIND.finditer(text):
+    m = _FIND.search(text)
+    while m:
         kind = next(k for k in _KINDS if m.group(k))
         start, end = m.span("value") if kind == "secret" else m.span()
         value = text[start:end]
         if not _valid(kind, value):
+            m = _FIND.search(text, m.start() + 1)  # a valid value may begin within the rejected one
             continue
         if kind == "email":
             local, _, domain = value.rpartition("@")
@@ -195,6 +197,7 @@ def pseudonymise_text(text: str, keyed: Pseudonyms) -> tuple[str, list[tuple[str
         spans.append((kind, size, size + len(new)))
         size += len(new)
         done = end
+        m = _FIND.search(text, m.end())
     return ("".join([*parts, text[done:]]), spans) if spans else (text, [])
 
 

@@ -255,6 +255,13 @@ def test_pii_kind_alone_in_a_text(text, kind):
     assert [k for k, _, _ in spans] == [kind] and new != text
 
 
+@pytest.mark.parametrize("before", ["paid in 2024 ", "2023 2024 ", "4111 2023 2024 "])
+def test_pii_valid_value_behind_a_rejected_one(before):
+    card, k = "4111 1111 1111 1111", pii.Pseudonyms(b"key")
+    new, spans = pii.pseudonymise_text(f"{before}{card} today", k)
+    assert new == f"{before}{k.card(card)} today" and spans == [("card", len(before), len(before) + len(card))]
+
+
 def test_permutation_is_one_to_one():
     k = pii.Pseudonyms(b"x")
     images = {tuple(k.permute([a, b, c], [5, 4, 3], "t")) for a in range(5) for b in range(4) for c in range(3)}
