@@ -5,7 +5,8 @@ pieces fill a sequence alone.  The others are dealt into random groups of a few
 a task packs one group: best fit by descending length, then local search that moves single
 pieces, or exchanges one for one and two for one, between underfull sequences so that the sum of
 squared fills grows, until the emptiest sequences are empty.  Sequences a group leaves open are
-packed again, with those of other groups, in the next and much smaller round.
+packed again, with those of other groups, in the next and smaller round; a round that closes few
+of its pieces is the last, since another one would do no better.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from rollscope.llm.tokens import table
 CAPACITY = 4096
 GROUP = 8192       # pieces packed together in one task (expected number)
 OPEN = 0.02        # a sequence with more than this share free is open: packed again in the next round
+AGAIN = 0.1        # a round that closes less than this share of its pieces is the last: what it left open stays as packed
 SEARCH = 20_000    # exchanges tried in one group; what is left is a valid packing all the same
 
 
@@ -154,7 +156,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
     full = pieces.where(F.col("length") == capacity).select(
         "uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("uid", "length")
-    done, round_no, count = [full], 0, rest.count()
+    done, round_no, first, count = [full], 0, 0, rest.count()
     while count:
         groups = max(1, -(-count // group))
 
@@ -168,11 +170,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
         result = cut(dealt.groupBy("g").applyInPandas(
             packed, "uid long, length long, g long, bin long, offset long, free long"), "packed")
         left = result.where(F.col("free") > OPEN * capacity)
-        n_left = left.count() if groups > 1 else 0
-        again = 0 < n_left < count
+        width, n_left = result.agg(F.max("bin") + 1, F.count_if(F.col("free") > OPEN * capacity)).first()
+        n_left = n_left if groups > 1 else 0
+        again = 0 < n_left <= (1 - AGAIN) * count  # so the rounds are few: the pieces shrink by a factor
         closed = result.where(F.col("free") <= OPEN * capacity) if again else result
-        number = (F.col("g") * (2 * group + 4096) + F.col("bin")) * 64 + round_no
+        # each round numbers its sequences behind those of the rounds before
+        number = F.col("g") * width + F.col("bin") + first
         done.append(closed.select("uid", number.alias("sequence_id"), "offset"))
+        first += groups * width
         rest, count, round_no = left.select("uid", "length"), n_left if again else 0, round_no + 1
     out = done[0]
     for d in done[1:]:

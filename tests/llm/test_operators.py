@@ -87,6 +87,24 @@ def test_packing(spark, group):
     assert packing.pack_documents(df.where("false"), VOCAB).count() == 0
 
 
+@pytest.mark.parametrize("again, least, most", [(None, 1, 2), (1e-9, 70, 80)])
+def test_packing_a_band_of_lengths(spark, monkeypatch, again, least, most):
+    """A middling band of which each group closes one sequence a round: few rounds, and however many, ids of their own."""
+    def one_closes(lengths, capacity):
+        return np.arange(len(lengths)), np.zeros(len(lengths), np.int64), np.where(np.arange(len(lengths)) < len(lengths) - 1, capacity - lengths, 0)
+
+    monkeypatch.setattr(packing, "pack_group", one_closes)
+    if again:
+        monkeypatch.setattr(packing, "AGAIN", again, raising=False)
+    rounds = []
+    monkeypatch.setattr(packing, "cut", lambda df, name, f=packing.cut: rounds.append(name) or f(df, name))
+    length = {i: int(n) for i, n in enumerate(np.random.default_rng(4).integers(1000, 1366, 300))}
+    out = packing.place(spark.createDataFrame(list(length.items()), "uid long, length long"), 4096, 150).collect()
+    assert sorted(r.uid for r in out) == sorted(length)
+    assert len({r.sequence_id for r in out}) == len(length)  # here every piece has a sequence of its own
+    assert least <= len(rounds) <= most
+
+
 def test_packed_sequences_hold_the_ids(spark):
     df = frame(spark, extra=[]).where("doc_id < 20")
     placed = packing.pack_documents(df, VOCAB, capacity=256)
