@@ -181,6 +181,28 @@ def test_quality_rules(spark):
     assert quality.keep_good(df.where("false"), quality.trusted_ids(labels)).count() == 0
 
 
+def test_quality_scores_brute_force_on_many_ngrams(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.15, 150) % 10**9), "s") for i in range(1000)]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 1000, 3)], "doc_id long, quality int")
+    trusted = {r.doc_id for r in labels.collect()}
+    raw, own = collections.Counter(), collections.Counter()
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return words + list(zip(words, words[1:]))
+
+    for r in df.collect():
+        raw.update(grams(r.text))
+        own.update(grams(r.text) if r.doc_id in trusted else [])
+    assert len(raw) > 2 * quality.SLOTS  # more than any fixed number of buckets or slots here
+    scale = raw.total() / own.total()
+    for r in quality.judged(df, quality.trusted_ids(labels)).select("row.doc_id", "row.text", "score").collect():
+        want = [math.log((own[g] * scale + quality.SMOOTHING) / (raw[g] + quality.SMOOTHING)) for g in grams(r.text)]
+        assert abs(r.score - (sum(want) / len(want) if want else 0.0)) < 1e-9, r.doc_id
+
+
 def test_repeat_windows_brute_force(spark):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(rng.choice(list("abc"), int(rng.integers(0, 60)))), "s") for i in range(80)]
