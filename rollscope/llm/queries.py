@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscope.llm import archive, embeddings, language, minhash, mixing, packing, pii, quality, sharding, tokens
+from rollscope.llm import (
+    archive,
+    collocation,
+    embeddings,
+    fingerprints,
+    language,
+    minhash,
+    mixing,
+    packing,
+    pii,
+    quality,
+    sharding,
+    tokens,
+    whitening,
+)
 from rollscope.llm.common import read_table
 
 
@@ -61,8 +75,24 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_digest(archive.page_archive(read_table(spark, sf_dir, "pages")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit = whitening.whiten_vectors(read_table(spark, sf_dir, "embeddings"))
+    rows = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, fit.explained.tolist())).cast("array<double>"), F.col("at") + 1)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation",
+                       "whitened", explained.alias("explained"), F.lit(fit.identity_error).alias("identity_error"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_sampled_sharding, op3_best_fit_packing, op4_quality_rules, op5_pii_pseudonyms,
-    op6_token_counts, op7_embedding_dedup, op8_temperature_mixing, op9_language_id, op10_arc_to_warc)}
-# none has SQL that yields the same rows: see the README, section "What SQL cannot check"
-ORACLES: dict[str, str] = {}
+    op6_token_counts, op7_embedding_dedup, op8_temperature_mixing, op9_language_id, op10_arc_to_warc, op11_embedding_whitening, op12_phrase_collocations, op13_document_fingerprints)}
+# the others have no SQL that yields the same rows: see the README, section "What SQL cannot check"
+ORACLES: dict[str, str] = {"op12_phrase_collocations": collocation.SQL}
