@@ -171,7 +171,9 @@ def test_quality_rules(spark):
     assert len(out) == len(rows) + len(ODD)
     for r in out:
         assert tuple(r[2:8]) == base_rules(r.text), r.doc_id
-        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    passed = [r for r in out if not r.base_failed]
+    assert not any(r.kept for r in out if r.base_failed)
+    assert max(r.score for r in passed if not r.kept) < min(r.score for r in passed if r.kept)  # one threshold for all
     main = [r for r in out if r.doc_id is not None and r.doc_id < 200]
     assert all(r.kept == (r.doc_id % 5 != 0) for r in main)
     kept = quality.keep_good(df, quality.trusted_ids(labels))
@@ -182,25 +184,30 @@ def test_quality_rules(spark):
 
 
 def test_quality_scores_brute_force_on_many_ngrams(spark):
+    """Every n-gram counts, in its bucket of the table; trusted documents take the other fold's weights."""
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.15, 150) % 10**9), "s") for i in range(1000)]
     df = frame(spark, rows)
-    labels = spark.createDataFrame([(i, 1) for i in range(0, 1000, 3)], "doc_id long, quality int")
-    trusted = {r.doc_id for r in labels.collect()}
-    raw, own = collections.Counter(), collections.Counter()
-
-    def grams(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        return words + list(zip(words, words[1:]))
-
-    for r in df.collect():
-        raw.update(grams(r.text))
-        own.update(grams(r.text) if r.doc_id in trusted else [])
-    assert len(raw) > 2 * quality.SLOTS  # more than any fixed number of buckets or slots here
-    scale = raw.total() / own.total()
-    for r in quality.judged(df, quality.trusted_ids(labels)).select("row.doc_id", "row.text", "score").collect():
-        want = [math.log((own[g] * scale + quality.SMOOTHING) / (raw[g] + quality.SMOOTHING)) for g in grams(r.text)]
-        assert abs(r.score - (sum(want) / len(want) if want else 0.0)) < 1e-9, r.doc_id
+    trusted = quality.trusted_ids(spark.createDataFrame([(i, 1) for i in range(0, 1000, 3)], "doc_id long, quality int"))
+    hashed = quality.marked(quality.gram_rows(df), trusted).select("id", "text", "grams", "fold").collect()
+    raw, own = collections.Counter(), [collections.Counter(), collections.Counter()]
+    for r in hashed:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        assert len(r.grams) == len(words + list(zip(words, words[1:])))
+        raw.update(g % quality.LEAST_BUCKETS for g in r.grams)
+        if r.fold is not None:
+            own[r.fold].update(g % quality.LEAST_BUCKETS for g in r.grams)
+    assert sum(r.fold is not None for r in hashed) == 334 and len(raw) > 100_000
+
+    def mean(grams, fold):
+        scale = raw.total() / own[fold].total()
+        want = [math.log((own[fold][b] * scale + quality.SMOOTHING) / (raw[b] + quality.SMOOTHING))
+                for b in (g % quality.LEAST_BUCKETS for g in grams)]
+        return sum(want) / len(want) if want else 0.0
+
+    want = {(r.id, r.text): mean(r.grams, 1 - r.fold) if r.fold is not None else (mean(r.grams, 0) + mean(r.grams, 1)) / 2 for r in hashed}
+    for r in quality.judged(df, trusted).select("row.doc_id", "row.text", "score").collect():
+        assert abs(r.score - want[(r.doc_id, r.text or "")]) < 1e-5, r.doc_id
 
 
 def test_repeat_windows_brute_force(spark):
