@@ -153,3 +153,20 @@ def test_rotations_keep_angles():
     x = np.random.default_rng(4).normal(size=(5, 48))
     r = embeddings.rotations(x, 3)
     assert np.allclose(r @ r.T, x @ x.T)
+
+
+@pytest.mark.parametrize("hashes", sorted(embeddings.SETTINGS))
+@pytest.mark.parametrize("cosine", [0.98, 0.985, 0.99])
+def test_planted_pairs_share_a_bucket(hashes, cosine):
+    rng = np.random.default_rng(hashes)
+    x, o = rng.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    o -= (o * x).sum(1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine ** 2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    salt = np.zeros(1000, np.uint64)
+    a, b = (embeddings.bucket_keys(v, salt, hashes) for v in (x, y))
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())]) >= 0.99
+
+
+def test_hashes_follow_the_largest_label():
+    assert [embeddings.hashes_for(n, 64) for n in (1, 10 ** 6, 10 ** 7, 10 ** 8, 10 ** 12)] == [3, 3, 4, 4, 5]
