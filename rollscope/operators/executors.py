@@ -38,12 +38,19 @@ def executors_of(executors: DataFrame, active_only: bool = False) -> DataFrame:
     return executors.where(F.col("isActive")) if active_only else executors
 
 
-def executor(executors: DataFrame, executor_id: str) -> DataFrame:
-    return executors.where(F.col("id") == F.lit(executor_id))
-
-
 def executor_links(executors: DataFrame, apps: DataFrame, proxy_base: str = "",
                    active_only: bool = False, encode: bool = False) -> DataFrame:
     """Executors of every application with links pointing at the log service."""
     chosen = executors_of(executors, active_only)
     return replace_executor_logs(with_log_url(with_app(chosen, apps), proxy_base, encode))
+
+
+def executor_by_id(requests: DataFrame, executors: DataFrame, apps: DataFrame, proxy_base: str = "",
+                   encode: bool = False) -> DataFrame:
+    """One executor of one application for each request (app_id, executor_id), its link pointing at the log service.
+
+    Executor ids repeat between applications, so both keys are joined; a request that names none keeps NULLs.
+    """
+    linked = executor_links(executors, apps, proxy_base, encode=encode)
+    linked = linked.select(F.col("app_id").alias("_app"), *(c for c in linked.columns if c != "app_id"))
+    return requests.join(linked, (F.col("app_id") == F.col("_app")) & (F.col("executor_id") == F.col("id")), "left").drop("_app")

@@ -39,7 +39,7 @@ def match_files(logs: DataFrame, files: DataFrame) -> DataFrame:
     for any pod string, and an application with many pods and many rolled files never pairs every
     requested pod with every file.
     """
-    keep = [c for c in ("app", "file_name", "path", "length", "modified", "chunk_batch", "app_bucket", "read_error")
+    keep = [c for c in ("app", "file_name", "path", "length", "modified", "segments", "app_bucket", "read_error")
             if c in files.columns]
     named = files.select(*keep).withColumn("pod", F.explode(pods_in_name("file_name")))
     return (logs.select("app", "pod").join(named, ["app", "pod"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollscope.functions import columns as fc
@@ -56,9 +56,8 @@ def _windows(spark, sf_dir, requests=None):
 def _slices(spark, sf_dir, requests=None, with_text=False, carry=None):
     files = _files(spark, sf_dir)
     req = requests if requests is not None else _requests(spark, sf_dir)
-    chunks = sl.chunks_from_content(files, fx.CHUNK_BYTES)
-    return sl.log_slices(req, files, chunks, home=fx.LOG_HOME, chunk_bytes=fx.CHUNK_BYTES,
-                         with_text=with_text, carry=carry)
+    return sl.log_slices(req, files, fx.chunk_locators(spark, sf_dir), home=fx.LOG_HOME, chunk_bytes=fx.CHUNK_BYTES,
+                         bucket_bytes=fx.BUCKET_BYTES, with_text=with_text, carry=carry)
 
 
 SLICE_COLS = ["request_id", "app", "pod", "start_byte", "end_byte", "total_bytes", "status",
@@ -157,7 +156,7 @@ FROM winr w JOIN manifest_x m ON m.app = w.app AND m.pod = w.pod
 WHERE w.status = 'ok' AND greatest(w.start_byte, m.file_start) < least(w.end_byte, m.file_end)""")
 def q_slice_overlap(spark, sf_dir):
     w, manifest = _windows(spark, sf_dir)
-    return sl.overlap(w, manifest).select("request_id", "path", "file_rank", "local_start", "local_end")
+    return sl.overlap(w, manifest, fx.BUCKET_BYTES).select("request_id", "path", "file_rank", "local_start", "local_end")
 
 
 @register("slice_chunks", osql.LOG_BASE + f"""
@@ -178,9 +177,8 @@ SELECT request_id, path, chunk_no,
 FROM ck""")
 def q_slice_chunks(spark, sf_dir):
     w, manifest = _windows(spark, sf_dir)
-    chunks = sl.chunks_from_content(_files(spark, sf_dir), fx.CHUNK_BYTES)
-    pieces = sl.overlap(w, manifest)
-    return sl.fetch_chunks(pieces, chunks, fx.CHUNK_BYTES).select(
+    pieces = sl.overlap(w, manifest, fx.BUCKET_BYTES)
+    return sl.fetch_located(pieces, fx.chunk_locators(spark, sf_dir), fx.CHUNK_BYTES).select(
         "request_id", "path", "chunk_no", F.hex("piece").alias("piece_hex"))
 
 
@@ -210,9 +208,9 @@ def q_file_offsets(spark, sf_dir):
 SELECT request_id, slice_hex FROM winr WHERE status = 'ok' AND end_byte > start_byte""")
 def q_slice_assemble(spark, sf_dir):
     w, manifest = _windows(spark, sf_dir)
-    chunks = sl.chunks_from_content(_files(spark, sf_dir), fx.CHUNK_BYTES)
-    fetched = sl.fetch_chunks(sl.overlap(w, manifest), chunks, fx.CHUNK_BYTES)
-    return sl.assemble(fetched, ["request_id"])
+    pieces = sl.overlap(w, manifest, fx.BUCKET_BYTES)
+    out = sl.assemble_located(pieces, fx.chunk_locators(spark, sf_dir), ["request_id"], fx.CHUNK_BYTES)
+    return out.select("request_id", F.hex("bytes").alias("slice_hex"))
 
 
 # ------------------------------------------------------------ sorts / limits
@@ -500,6 +498,21 @@ def q_executor_lookup(spark, sf_dir):
     return j.select("app_id", "id", F.explode("executorLogs").alias("log_key", "log_value"))
 
 
+@register("executor_by_id", EXEC_SQL + f"""
+, asked AS (SELECT CAST(o_custkey AS VARCHAR) AS app_id, k.id FROM orders,
+            (SELECT unnest(['driver', '1', 'none']) AS id) k)
+SELECT a.app_id, a.id AS executor_id, e.id IS NOT NULL AS found,
+       CASE WHEN e.id IS NOT NULL THEN {URL_SQL} END AS log_value
+FROM asked a LEFT JOIN executors_t e ON e.app_id = a.app_id AND e.id = a.id LEFT JOIN app_summary s ON s.id = e.app_id""")
+def q_executor_by_id(spark, sf_dir):
+    asked = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("app_id"),
+        F.explode(F.array(F.lit("driver"), F.lit("1"), F.lit("none"))).alias("executor_id"))
+    found = ex.executor_by_id(asked, _executors(spark, sf_dir), _apps(spark, sf_dir), PROXY_BASE)
+    return found.select("app_id", "executor_id", F.col("id").isNotNull().alias("found"),
+                        F.element_at("executorLogs", "logs").alias("log_value"))
+
+
 @register("executor_links", EXEC_SQL + f"""
 SELECT e.app_id, s.name AS app_name, e.id, {POD_SQL} AS pod, e.isActive, 'logs' AS log_key,
        {URL_SQL} AS log_value {EXEC_FROM}""")
@@ -588,7 +601,7 @@ FROM log_files, LATERAL (SELECT unnest(range(0, CAST(ceil(length / {fx.CHUNK_BYT
 WHERE length > 0""")
 def q_log_chunks(spark, sf_dir):
     c = _file_chunks(spark, sf_dir)
-    return c.select("app", F.element_at(F.split("path", "/"), -1).alias("file_name"), "chunk_no",
+    return c.where("chunk_no >= 0").select("app", F.element_at(F.split("path", "/"), -1).alias("file_name"), "chunk_no",
                     F.octet_length("bytes").cast("long").alias("n_bytes"), F.hex("bytes").alias("chunk_hex"))
 
 
@@ -620,9 +633,9 @@ def q_log_slices_files(spark, sf_dir):
     base = f"{shared_dir(spark)}/fixture_tables/{data_key(sf_dir)}"
     snap = fl.list_home(spark, home)
     files = fl.refresh_file_table(spark, home, base + "/files", base + "/chunks", fx.CHUNK_BYTES, snapshot=snap)
-    chunks = fl.read_chunks(spark, base + "/chunks")
-    out = sl.log_slices(_requests(spark, sf_dir), files, chunks, home="<home>",
-                        dirs=fl.log_directories(spark, home, snap), chunk_bytes=fx.CHUNK_BYTES, with_text=False)
+    out = sl.log_slices(_requests(spark, sf_dir), files, fl.read_locators(spark, base + "/chunks"), home="<home>",
+                        dirs=fl.log_directories(spark, home, snap), chunk_bytes=fx.CHUNK_BYTES,
+                        bucket_bytes=fx.BUCKET_BYTES, with_text=False)
     return out.select(*SLICE_COLS, "header")
 
 
@@ -656,15 +669,22 @@ def q_event_log_tables(spark, sf_dir):
     return _flat(apps).where(F.col("attempt_idx").isNotNull())
 
 
-@register("event_log_export", osql.with_ctes(osql.APPS, osql.EXECUTORS) + """
-, n_exec AS (SELECT app_id, count(*) AS n FROM executors_t GROUP BY app_id)
-SELECT f.id AS app_id, f.attemptId AS attempt_id,
-       CAST(1 + CASE WHEN f.completed THEN 1 ELSE 0 END
-              + CASE WHEN f.attempt_idx = 0 THEN coalesce(x.n, 0) ELSE 0 END AS BIGINT) AS n_lines
-FROM app_flat f LEFT JOIN n_exec x ON x.app_id = f.id
-WHERE f.attempt_idx IS NOT NULL
-  AND f.id IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')""")
+@register("event_log_executors", osql.with_ctes(osql.APPS, osql.EXECUTORS, osql.EXECUTOR_URLS) + """
+SELECT x.app_id, f.attemptId, x.id, x.hostPort AS host, x.totalTasks AS totalCores,
+       date_trunc('millisecond', x.addTime) AS addTime, true AS isActive, x.log_name, x.log_url
+FROM executor_urls x JOIN app_flat f ON f.id = x.app_id AND f.attempt_idx = 0""")
+def q_event_log_executors(spark, sf_dir):
+    _, ex_ = evl.event_logs_to_tables(_event_lines(spark, sf_dir))
+    return ex_.select("app_id", "attemptId", "id", "host", "totalCores", "addTime", "isActive",
+                      F.explode("executorLogs").alias("log_name", "log_url"))
+
+
+@register("event_log_export", osql.with_ctes(osql.APPS, osql.EXECUTORS, osql.EVENT_LINES) + """
+SELECT app_id, attempt_id, row_number() OVER (PARTITION BY app_id, attempt_id ORDER BY line) - 1 AS position,
+       md5(value) AS line_md5
+FROM event_lines WHERE app_id IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')""")
 def q_event_log_export(spark, sf_dir):
+    """Every exported line, at its place in the attempt's part files."""
     from rollscope.session import data_key, shared_dir
     lines = _event_lines(spark, sf_dir)
     wanted = (fx.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
@@ -672,10 +692,11 @@ def q_event_log_export(spark, sf_dir):
               .withColumn("attempt_id", F.lit(None).cast("string")))
     out = f"{shared_dir(spark)}/fixture_export/{data_key(sf_dir)}"
     evl.export_event_logs(lines, wanted, out)
-    back = spark.read.text(out)
-    return back.groupBy(F.col("app_id").cast("string").alias("app_id"),
-                        F.col("attempt_id").cast("string").alias("attempt_id")).agg(
-        F.count("*").alias("n_lines"))
+    back = spark.read.text(out).select("app_id", "attempt_id", "value", F.col("_metadata.file_name").alias("part"),
+                                       F.monotonically_increasing_id().alias("at"))
+    place = Window.partitionBy("app_id", "attempt_id").orderBy("part", "at")
+    return back.select(F.col("app_id").cast("string").alias("app_id"), F.col("attempt_id").cast("string").alias("attempt_id"),
+                       (F.row_number().over(place) - 1).cast("long").alias("position"), F.md5("value").alias("line_md5"))
 
 
 @register("stream_rolled_files", FILE_NAMES_SQL + "SELECT app, file_name, length FROM log_files")

@@ -9,7 +9,7 @@ log never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,15 +37,40 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+LISTED_OUT = 10_000  # superseded files left out of the scan by name; more are joined away
+
+
+def superseded_files(spark: SparkSession, root: str) -> DataFrame:
+    """``file_path`` of the rolled files that a newer compacted file replaces.
+
+    ``events_<n>_<app>.compact`` holds what matters of the files up to n of its log; those may still be there.
+    Names only: no line is read.
+    """
+    files = spark.read.format("binaryFile").load(root.rstrip("/") + "/*").select(F.col("_metadata.file_path").alias("file_path"))
+    folder, name = F.regexp_extract("file_path", r"^(.*)/[^/]+$", 1), F.regexp_extract("file_path", r"/([^/]+)$", 1)
+    rolled = files.select("file_path", folder.alias("folder"), F.regexp_extract(name, r"^events_(\d+)_", 1).try_cast("int").alias("n"),
+                          name.endswith(".compact").alias("compact")).where(
+        F.regexp_extract("folder", r"([^/]+)$", 1).rlike("(^|=)eventlog_v2_") & F.col("n").isNotNull())
+    newest = rolled.where("compact").groupBy("folder").agg(F.max("n").alias("upto"))
+    return rolled.join(newest, "folder").where((F.col("n") < F.col("upto")) | ((F.col("n") == F.col("upto")) & ~F.col("compact"))).select("file_path")
+
+
 def read_event_lines(spark: SparkSession, root: str) -> DataFrame:
     """``log, value, file_no, block, line``: every line of the event logs below ``root``, its log and place.
 
-    A rolled log is a folder ``eventlog_v2_...`` of files ``events_<n>_...``; any other file is a log of
-    its own, named by its file name without compression suffixes.  Works for plain, gz and zstd files.
+    A rolled log is a folder ``eventlog_v2_...`` of files ``events_<n>_...``, of which the newest compacted one
+    replaces all up to its number (`superseded_files`); any other file is a log of its own, named by its file
+    name without compression suffixes.  Works for plain, gz and zstd files.
     Other sources of (log, value) rows -- e.g. a shipped line table -- can be passed to the parsers too;
     for an ordered export they carry a ``line`` number.
     """
-    lines = spark.read.text(root.rstrip("/") + "/*").select(
+    text, old = spark.read.text(root.rstrip("/") + "/*"), superseded_files(spark, root)
+    some = [r[0] for r in old.limit(LISTED_OUT + 1).collect()]
+    if len(some) <= LISTED_OUT:  # a condition on the file's name alone keeps the file from being opened
+        text = text.where(~F.col("_metadata.file_path").isin(some)) if some else text
+    else:
+        text = text.withColumn("_path", F.col("_metadata.file_path")).join(old, F.col("_path") == F.col("file_path"), "left_anti")
+    lines = text.select(
         F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"))
     folder, name = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"/([^/]+)$", 1)
@@ -136,7 +161,7 @@ def export_event_logs(lines: DataFrame, requests: DataFrame, out: str) -> None:
 def event_lines_of(apps_flat: DataFrame, executors: DataFrame) -> DataFrame:
     """Event-log lines ``(log, value, line)`` of a flat application table (one row per attempt).
 
-    One log per attempt; executors are added in the newest attempt's log.
+    One log per attempt; executors are added in the newest attempt's log, in the order of their ids.
     """
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     a = apps_flat.where(F.col("attempt_idx").isNotNull()).withColumn(
@@ -148,13 +173,14 @@ def event_lines_of(apps_flat: DataFrame, executors: DataFrame) -> DataFrame:
     end = a.where(F.col("completed")).select("log", F.to_json(F.struct(
         F.lit(EV_APP_END).alias("Event"), ms("endTime").alias("Timestamp"))).alias("value"))
     head = a.where(F.col("attempt_idx") == 0).select(F.col("id").alias("head_app"), "log")
-    ex = executors.join(head, F.col("app_id") == F.col("head_app")).select("log", F.to_json(F.struct(
+    nth = F.row_number().over(Window.partitionBy("log").orderBy("id"))
+    ex = executors.join(head, F.col("app_id") == F.col("head_app")).select("log", nth.alias("line"), F.to_json(F.struct(
         F.lit(EV_EXEC_ADDED).alias("Event"), ms("addTime").alias("Timestamp"),
         F.col("id").alias("Executor ID"),
         F.struct(F.col("hostPort").alias("Host"), F.col("totalTasks").alias("Total Cores"),
                  F.col("executorLogs").alias("Log Urls")).alias("Executor Info"))).alias("value"))
-    return (start.withColumn("line", F.lit(0)).unionByName(end.withColumn("line", F.lit(2)))
-            .unionByName(ex.withColumn("line", F.lit(1))))
+    return (start.withColumn("line", F.lit(0)).unionByName(end.withColumn("line", F.lit(1_000_000_000)))
+            .unionByName(ex))
 
 
 def write_event_logs(lines: DataFrame, out: str, layout: str = "table") -> None:

@@ -1,228 +1,92 @@
-"""Rolled log files on any Hadoop file system: listing, chunk table, lengths, manifest.
+"""Contents of rolled log files: chunk table, chunk locators, lengths, positioned reads.
 
 Layout: ``<home>/<application name>/<files>``; a file belongs to log
 (app, pod) when its name starts with the app and contains ``-<pod>_``.
 Files ending in ``.gz`` are gzip streams (several members allowed).
 
-* listing -- folders are listed in tasks: every name, empty files and empty folders too
-* chunk table -- one pass over each file's bytes, gunzipped as a stream and
-  cut into fixed-size chunks (the one Python step, Arrow-batched
-  ``mapInPandas``); stored in a fixed number of ``app_bucket`` folders so
-  later slice jobs read only the buckets of the applications they ask for
+* chunk table -- one pass over each file's bytes, gunzipped as a stream and cut into fixed-size chunks
+  (the one Python step); stored in a fixed number of ``app_bucket`` folders.  A file that has grown is read
+  from where the last pass ended: its new bytes are chunks of a further segment
+* chunk locators -- one row for each run of a file's chunks in a data file: slices join these, and tasks
+  read the located rows, so chunk bytes are never shuffled
 * lengths -- plain files: listed length; gz files: sum of their chunk sizes
+
+The listing is in ``sources.storage``, the file table in ``sources.filetable``.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollscope.functions.columns import GZ_SUFFIX
-from rollscope.session import reliable_checkpoint
+from rollscope.session import reliable_checkpoint  # noqa: F401
+from rollscope.sources.storage import (  # noqa: F401  the listing is part of this module's interface
+    _listing,
+    arrow_location,
+    list_home,
+    literal_path,
+    log_directories,
+    readable_home,
+    scan_log_files,
+)
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("app", T.StringType()),
     T.StructField("path", T.StringType()),
     T.StructField("chunk_no", T.LongType()),
+    T.StructField("n_bytes", T.LongType()),
     T.StructField("bytes", T.BinaryType()),
+    # on the last row of a file: was it read on from the known end, and the digest of its stored bytes
+    T.StructField("appended", T.BooleanType()),
+    T.StructField("digest", T.BinaryType()),
 ])
-BROKEN_CHUNK = -1  # chunk number of the row that marks a file whose gzip stream cannot be unpacked
-
-
-def arrow_location(uri: str):
-    """(pyarrow filesystem, path) for a Hadoop-style URI or plain path."""
-    from pyarrow import fs as pafs
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
-
-
-def _segment(path, k: int):
-    return F.element_at(F.split(path, "/"), k)
-
-
-def literal_path(home: str) -> str:
-    """``home`` as a path in which no character is a wildcard."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", home.rstrip("/"))
-
-
-def _binary(spark: SparkSession, home: str) -> DataFrame:
-    """Files below ``home`` without partition discovery (a subfolder ``day=1`` is only a name)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal_path(home))
-
-
-def _norm_home(spark: SparkSession, home: str) -> str:
-    """The home as the listing spells it in ``path`` (qualified URI, no trailing slash)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(home)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return str(fs.makeQualified(hpath).toString()).rstrip("/")
-
-
-LISTING_COLUMNS = ["app", "file_name", "path", "stored_length", "ms", "_top"]
-
-
-def _home_lister(home: str):
-    """Everything standing in the home: name, folder or file, size, time."""
-    opener = arrow_location
-
-    def run(batches):
-        import pandas as pd
-        from pyarrow import fs as pafs
-        for pdf in batches:
-            for _ in range(len(pdf)):
-                fs, p = opener(home)
-                found = fs.get_file_info(pafs.FileSelector(p))
-                yield pd.DataFrame([(e.base_name, not e.is_file, e.size or 0, (e.mtime_ns or 0) // 1_000_000) for e in found],
-                                   columns=["name", "is_dir", "size", "ms"])
-    return run
+BROKEN_CHUNK = -1  # chunk number of the row that marks a file whose bytes cannot be had
+NO_CHUNK = -2      # chunk number of the last row of a file without content
+DIGEST_BYTES = 1 << 16       # of the beginning and of the end of a file, as a mark of its generation
+ROW_GROUP_BYTES = 8 << 20    # of the chunk table: what is read to get at a chunk
 
 
-def _folder_lister(home: str):
-    """The files of each application folder, and one row without a name for the folder itself."""
-    opener, columns = arrow_location, LISTING_COLUMNS
-    top = home.rsplit("/", 1)[-1]
-
-    def run(batches):
-        import pandas as pd
-        from pyarrow import fs as pafs
-        for pdf in batches:
-            for name, is_dir, size, ms in zip(pdf["name"], pdf["is_dir"], pdf["size"], pdf["ms"]):
-                path = f"{home}/{name}"
-                if not is_dir:
-                    yield pd.DataFrame([(top, name, path, size, ms, True)], columns=columns)
-                    continue
-                fs, p = opener(path)
-                rows = [(name, e.base_name, f"{path}/{e.base_name}", e.size, (e.mtime_ns or 0) // 1_000_000, False)
-                        for e in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)) if e.is_file]
-                yield pd.DataFrame([(name, None, None, 0, ms, False), *rows], columns=columns)
-    return run
-
-
-def _listing(spark: SparkSession, home: str) -> DataFrame:
-    """One row a file, listed in tasks (a folder is one task's work): every name, empty files too.
-
-    Each application folder also has a row without a file name. File systems that pyarrow cannot open
-    are listed by Spark's own reader, which skips empty files and names starting with ``_`` or ``.``.
-    """
-    top = _norm_home(spark, home)
-    try:
-        arrow_location(top)
-    except Exception:  # noqa: BLE001  no pyarrow file system for this scheme
-        return _reader_listing(spark, home)
-    found = spark.range(1, numPartitions=1).mapInPandas(_home_lister(top), "name string, is_dir boolean, size long, ms long")
-    rows = found.repartition(spark.sparkContext.defaultParallelism, "name").mapInPandas(
-        _folder_lister(top), "app string, file_name string, path string, stored_length long, ms long, _top boolean")
-    return rows.select("app", "file_name", "path", "stored_length", F.timestamp_millis("ms").alias("modified"), "_top")
-
-
-def _reader_listing(spark: SparkSession, home: str) -> DataFrame:
-    b = _binary(spark, home).select("path", "length", "modificationTime")
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    top = F.lit(_norm_home(spark, home))
-    b = b.where((parent == top) | (F.regexp_replace(parent, "/[^/]*$", "") == top))  # no deeper level
-    return b.select(
-        _segment(F.col("path"), -2).alias("app"),
-        _segment(F.col("path"), -1).alias("file_name"),
-        "path",
-        F.col("length").alias("stored_length"),
-        F.col("modificationTime").alias("modified"),
-        (parent == F.lit(_norm_home(spark, home))).alias("_top"))
-
-
-def list_home(spark: SparkSession, home: str) -> DataFrame:
-    """One listing of ``home``, pinned with a reliable checkpoint.
-
-    Pass it to ``scan_log_files`` / ``log_directories`` / ``refresh_file_table``
-    so one request batch lists the storage once.
-    """
-    return reliable_checkpoint(_listing(spark, home))
+def prefix_digest(file, length: int) -> bytes:
+    """Digest of the first and the last bytes of the first ``length`` stored bytes."""
+    import hashlib
+    n = min(DIGEST_BYTES, length)
+    return hashlib.blake2b(file.read_at(n, 0) + file.read_at(n, length - n) + str(length).encode(), digest_size=16).digest()
 
 
-def scan_log_files(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
-    """Every file one level below ``home`` (not the file contents); names are not percent-encoded."""
-    lst = snapshot if snapshot is not None else _listing(spark, home)
-    return lst.where(~F.col("_top") & F.col("file_name").isNotNull()).drop("_top")
+class _Span:
+    """Stored bytes [start, end) of an open file as a stream."""
 
+    def __init__(self, file, start: int, end: int):
+        self.file, self.left = file, end - start
+        file.seek(start)
 
-def log_directories(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
-    """``dir_app, is_dir``: application directories (empty ones too), and plain files standing in home."""
-    lst = snapshot if snapshot is not None else _listing(spark, home)
-    dirs = lst.where(~F.col("_top")).select(F.col("app").alias("dir_app")).distinct() \
-        .withColumn("is_dir", F.lit(True))
-    plain = lst.where(F.col("_top")).select(F.col("file_name").alias("dir_app")) \
-        .withColumn("is_dir", F.lit(False))
-    return dirs.unionByName(plain)
+    def read(self, n: int) -> bytes:
+        out = self.file.read(min(n, self.left))
+        self.left -= len(out)
+        if not out and self.left > 0:
+            raise EOFError("the file is shorter than it was listed")
+        return out
 
 
-def _chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
-    """Per-partition gunzip + cut; memory stays around one input batch plus
-    ``flush_bytes`` of output chunks."""
-
-    def run(batches):
-        import gzip
-        import io
-        import zlib
-
-        import pandas as pd
-
-        cols = {"app": [], "path": [], "chunk_no": [], "bytes": []}
-        held = [0]
-
-        def take():
-            out = pd.DataFrame(cols)
-            for v in cols.values():
-                v.clear()
-            held[0] = 0
-            return out
-
-        for pdf in batches:
-            for app, path, content in zip(pdf["app"], pdf["path"], pdf["content"]):
-                raw = io.BytesIO(bytes(content))
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(GZ) else raw
-                k = 0
-                while True:
-                    try:
-                        piece = stream.read(chunk_bytes)
-                    except (zlib.error, EOFError, gzip.BadGzipFile):
-                        for name, v in (("app", app), ("path", path), ("chunk_no", BROKEN), ("bytes", None)):
-                            cols[name].append(v)
-                        break
-                    if not piece:
-                        break
-                    cols["app"].append(app)
-                    cols["path"].append(path)
-                    cols["chunk_no"].append(k)
-                    cols["bytes"].append(piece)
-                    k += 1
-                    held[0] += len(piece)
-                    if held[0] >= flush_bytes:
-                        yield take()
-        if cols["path"]:
-            yield take()
-
-    GZ, BROKEN = GZ_SUFFIX, BROKEN_CHUNK
-    return run
+def _plain_blocks(stream):
+    while True:
+        block = stream.read(1 << 20)
+        if not block:
+            return
+        yield block
 
 
 def _path_chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
-    """Reads each listed path as a stream and cuts its uncompressed bytes; holds about ``flush_bytes``.
+    """Reads each path's stored bytes [known, stored_length) as a stream, unpacks and cuts them; holds about ``flush_bytes``.
 
-    A gzip stream that cannot be unpacked ends with a row ``BROKEN_CHUNK``; a failed read fails the task.
+    ``known`` counts only while the digest of that many bytes is what it was; else the file is another
+    generation and is read from its beginning. Bytes that cannot be unpacked, or a file that has shrunk
+    since the listing, end with a row ``BROKEN_CHUNK``; a failed read fails the task.
     """
-    unpack, opener, GZ, BROKEN = gunzip, arrow_location, GZ_SUFFIX, BROKEN_CHUNK
-
-    def blocks(raw):
-        while True:
-            block = raw.read(1 << 20)
-            if not block:
-                return
-            yield block
+    unpack, plain, opener, digest_of, span = gunzip, _plain_blocks, arrow_location, prefix_digest, _Span
+    GZ, BROKEN, NONE, columns = GZ_SUFFIX, BROKEN_CHUNK, NO_CHUNK, CHUNK_SCHEMA.names
 
     def run(batches):
         import zlib
@@ -230,66 +94,118 @@ def _path_chunker(chunk_bytes: int, flush_bytes: int = 16 << 20):
         import pandas as pd
         for pdf in batches:
             rows, held = [], 0
-            for app, path in zip(pdf["app"], pdf["path"]):
+            for app, path, stored, known, digest in zip(*(pdf[c] for c in ("app", "path", "stored_length", "known", "digest"))):
                 fs, p = opener(path)
-                with fs.open_input_stream(p, compression=None) as raw:
-                    k, rest = 0, b""
+                with fs.open_input_file(p) as file:
+                    k, rest, last, broken = 0, b"", None, file.size() < stored
+                    appended = bool(known) and not broken and digest_of(file, int(known)) == bytes(digest)
                     try:
-                        for block in (unpack(raw) if path.endswith(GZ) else blocks(raw)):
+                        stream = span(file, int(known) if appended else 0, int(stored))
+                        for block in () if broken else (unpack(stream) if path.endswith(GZ) else plain(stream)):
                             rest += block
                             whole = len(rest) // chunk_bytes
                             for i in range(whole):
-                                rows.append((app, path, k, rest[i * chunk_bytes:(i + 1) * chunk_bytes]))
+                                if last is not None:
+                                    rows.append(last)
+                                last = (app, path, k, chunk_bytes, rest[i * chunk_bytes:(i + 1) * chunk_bytes], None, None)
                                 k += 1
                             held += whole * chunk_bytes
                             rest = rest[whole * chunk_bytes:]
-                            if held >= flush_bytes:
-                                yield pd.DataFrame(rows, columns=["app", "path", "chunk_no", "bytes"])
+                            if held >= flush_bytes and rows:
+                                yield pd.DataFrame(rows, columns=columns)
                                 rows, held = [], 0
                     except (zlib.error, EOFError):
-                        rows.append((app, path, BROKEN, None))
+                        broken = True
                     if rest:
-                        rows.append((app, path, k, rest))
+                        if last is not None:
+                            rows.append(last)
+                        last = (app, path, k, len(rest), rest, None, None)
                         held += len(rest)
+                    if broken:
+                        rows += [last] if last is not None else []
+                        last = (app, path, BROKEN, 0, None, None, None)
+                    elif stored:
+                        last = last or (app, path, NONE, 0, None, None, None)
+                        last = (*last[:5], appended, digest_of(file, int(stored)))
+                    if last is not None:
+                        rows.append(last)
             if rows:
-                yield pd.DataFrame(rows, columns=["app", "path", "chunk_no", "bytes"])
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
+def _content_chunker(chunk_bytes: int):
+    """The same rows from contents that Spark has read; a stored file without content is broken."""
+    GZ, BROKEN, NONE, columns, unpack = GZ_SUFFIX, BROKEN_CHUNK, NO_CHUNK, CHUNK_SCHEMA.names, gunzip
+
+    def run(batches):
+        import io
+        import zlib
+
+        import pandas as pd
+        for pdf in batches:
+            for app, path, stored, content in zip(*(pdf[c] for c in ("app", "path", "stored_length", "content"))):
+                rows, data = [], b""
+                try:
+                    if content is None and stored:
+                        raise EOFError("not read")
+                    raw = bytes(content or b"")
+                    data = b"".join(unpack(io.BytesIO(raw))) if path.endswith(GZ) else raw
+                    end = (app, path, NONE, 0, None, False, None) if stored and not data else None
+                except (zlib.error, EOFError):
+                    end = (app, path, BROKEN, 0, None, None, None)
+                for k in range(0, len(data), chunk_bytes):
+                    piece = data[k:k + chunk_bytes]
+                    rows.append((app, path, k // chunk_bytes, len(piece), piece, None, None))
+                rows += [end] if end else []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
+    return run
+
+
 def build_chunks(spark: SparkSession, home: str, chunk_bytes: int = 1 << 16,
                  files: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
-    """Chunk table ``(app, path, chunk_no, bytes)`` of uncompressed bytes.
+    """Chunk table (`CHUNK_SCHEMA`) of uncompressed bytes.
 
     ``files`` (a listing) names exactly the paths to read, whatever their times; by default all files
-    of ``home``. Only paths are shuffled (into ``tasks`` tasks); each task opens its paths and
-    reads them as streams, so a file may be larger than a row can be. File systems that pyarrow
-    cannot open are read through Spark's own reader instead, joined with the paths.
+    of ``home``. With ``known`` and ``digest`` (stored bytes of an earlier pass and their digest), a grown
+    file is read from there and its chunks are numbered from there. Only paths are shuffled (into
+    ``tasks`` tasks); each task opens its paths and reads them as streams, so a file may be larger than a
+    row can be. Where pyarrow cannot open the home, Spark's own reader gives the contents; files that it
+    does not read (names starting with ``_`` or ``.``) are marked broken, not left out.
     """
     if files is None:
         files = scan_log_files(spark, home)
-    paths = files.select("app", "path")
-    try:
-        arrow_location(_norm_home(spark, home))
-    except Exception:  # noqa: BLE001  no pyarrow file system for this scheme
-        content = _binary(spark, home).select("path", "content").join(paths, "path")
-        return content.select("app", "path", "content").mapInPandas(_chunker(chunk_bytes), CHUNK_SCHEMA)
+    for name, kind in (("known", "long"), ("digest", "binary")):
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(None).cast(kind))
+    paths = files.select("app", "path", "stored_length", F.coalesce("known", F.lit(0)).cast("long").alias("known"), "digest")
+    if readable_home(spark, home, arrow_location) is None:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal_path(home))
+        content = paths.join(read.select("path", "content"), "path", "left")
+        return content.select("app", "path", "stored_length", "content").mapInPandas(_content_chunker(chunk_bytes), CHUNK_SCHEMA)
     return paths.repartition(tasks or spark.sparkContext.defaultParallelism).mapInPandas(
         _path_chunker(chunk_bytes), CHUNK_SCHEMA)
 
 
+def chunk_sums(chunks: DataFrame) -> DataFrame:
+    """(path, n_bytes, read_error, appended, digest) of each file with a row in the chunk table; no bytes are read."""
+    return chunks.groupBy("path").agg(
+        F.sum("n_bytes").alias("n_bytes"), F.bool_or(F.col("chunk_no") == BROKEN_CHUNK).alias("read_error"),
+        F.coalesce(F.bool_or("appended"), F.lit(False)).alias("appended"), F.max("digest").alias("digest"))
+
+
 def uncompressed_length(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Files with ``length`` = bytes after gunzip (gz) or the stored length (plain), and ``read_error``."""
-    sizes = chunks.groupBy("path").agg(F.sum(F.octet_length("bytes")).cast("long").alias("_gz_len"),
-                                       F.bool_or(F.col("chunk_no") == BROKEN_CHUNK).alias("_broken"))
+    sums = chunk_sums(chunks).select("path", F.col("n_bytes").alias("_n"), F.col("read_error").alias("_broken"))
     gz = F.col("file_name").endswith(GZ_SUFFIX)
-    j = files.join(sizes, "path", "left")
-    return (j.withColumn("length", F.when(gz, F.coalesce(F.col("_gz_len"), F.lit(0).cast("long")))
+    j = files.join(sums, "path", "left")
+    return (j.withColumn("length", F.when(gz, F.coalesce(F.col("_n"), F.lit(0).cast("long")))
                          .otherwise(F.col("stored_length")))
-            .withColumn("read_error", F.coalesce("_broken", F.lit(False))).drop("_gz_len", "_broken"))
+            .withColumn("read_error", F.coalesce("_broken", F.lit(False))).drop("_n", "_broken"))
 
 
-TARGET_FILE_BYTES = 256 << 20
 CHUNK_BUCKETS = 32
 
 
@@ -304,131 +220,26 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append", buckets: in
     Bucketing the folders (not one folder per application) keeps the folder
     count fixed as applications grow; slice jobs join on the bucket too, so
     dynamic partition pruning skips buckets no request touches.  A local sort
-    only: the chunker already emits each file's chunks together.
+    only: the chunker already emits each file's chunks together.  Row groups are
+    small, as a task that wants one chunk reads the row group that holds it.
     """
     (chunks.withColumn("app_bucket", app_bucket(F.col("app"), buckets))
      .sortWithinPartitions("app_bucket", "path", "chunk_no")
-     .write.mode(mode).partitionBy("app_bucket").parquet(path))
-
+     .write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("app_bucket").parquet(path))
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    fs, hpath = _folder(spark, path)
-    return spark.read.parquet(path) if fs.exists(hpath) else None
 
+def locate_chunks(stored: DataFrame) -> DataFrame:
+    """(path, data_file, first_chunk, last_chunk, shift): chunk ``n`` of the path is row ``n + shift`` of the data file.
 
-FILE_TABLE_SCHEMA = T.StructType([
-    T.StructField("file_name", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("stored_length", T.LongType()),
-    T.StructField("modified", T.TimestampType()),
-    T.StructField("length", T.LongType()),
-    T.StructField("app", T.StringType()),
-    T.StructField("chunk_batch", T.StringType()),
-    T.StructField("app_bucket", T.IntegerType()),
-    T.StructField("read_error", T.BooleanType()),
-])
-
-
-def _folder(spark: SparkSession, path: str):
-    """(file system, path) of a folder, as the driver's Hadoop sees them."""
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
-
-
-def _versions(spark: SparkSession, table_path: str) -> list[int]:
-    """Whole versions of a file table, oldest first; one without its ``_SUCCESS`` mark was cut short."""
-    fs, marks = _folder(spark, f"{literal_path(table_path)}/version=*/_SUCCESS")
-    found = fs.globStatus(marks)
-    return sorted(int(str(s.getPath().getParent().getName()).split("=")[1]) for s in found or [])
-
-
-def _version_path(table_path: str, version: int) -> str:
-    return f"{table_path.rstrip('/')}/version={version}"
-
-
-def read_file_table(spark: SparkSession, table_path: str) -> DataFrame | None:
-    """The newest whole version of a file table, None where there is none."""
-    versions = _versions(spark, table_path)
-    return spark.read.schema(FILE_TABLE_SCHEMA).parquet(_version_path(table_path, versions[-1])) if versions else None
-
-
-def drop_superseded(spark: SparkSession, table_path: str, chunk_path: str) -> None:
-    """Delete all versions but the newest, and the chunk batches it does not name.
-
-    Call it when no reader holds an older version.
-    """
-    versions = _versions(spark, table_path)
-    if not versions:
-        return
-    named = {r[0] for r in read_file_table(spark, table_path).select("chunk_batch").distinct().collect()}  # one row a refresh
-    fs, batches = _folder(spark, f"{literal_path(chunk_path)}/batch=*")
-    old = [s.getPath() for s in fs.globStatus(batches) or [] if str(s.getPath().getName()).split("=", 1)[1] not in named]
-    old += [_folder(spark, _version_path(table_path, v))[1] for v in versions[:-1]]
-    for path in old:
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _batch_token(files: DataFrame) -> str:
-    """Deterministic name of an ingestion batch: a hash over the (path, length, mtime) set."""
-    h = files.select(F.sum(F.xxhash64("path", "stored_length", "modified").cast("decimal(38,0)"))
-                     .alias("h"), F.count(F.lit(1)).alias("n")).first()
-    return f"r{int(h['h'] or 0) & ((1 << 63) - 1):x}n{h['n']}"
-
-
-def read_chunks(spark: SparkSession, chunk_path: str) -> DataFrame | None:
-    """Chunk table of ``refresh_file_table``: app, path, chunk_no, bytes, chunk_batch, app_bucket."""
-    t = read_table(spark, chunk_path)
-    return None if t is None else t.withColumnRenamed("batch", "chunk_batch")
-
-
-def refresh_file_table(spark: SparkSession, home: str, table_path: str, chunk_path: str,
-                       chunk_bytes: int = 1 << 16, buckets: int = CHUNK_BUCKETS,
-                       snapshot: DataFrame | None = None) -> DataFrame:
-    """Bring the persisted file table + chunk table up to date with the listing.
-
-    Only files whose (path, stored length, modification time) is new are
-    decompressed and chunked; the uncompressed lengths of known files are
-    reused, never recomputed.  Files that vanished or changed leave the file
-    table.  Chunks of one refresh go to their own folder ``batch=<token>``,
-    the token being a hash of the ingested file set, written with overwrite:
-    a refresh that failed half way and is run again rewrites the same folder
-    instead of adding duplicates.  The file table names each file's batch,
-    and slices join chunks on it, so superseded chunks are never read.  It
-    also records each file's ``app_bucket``, so ``buckets`` (more buckets =
-    finer pruning on very large tables) may differ between refreshes.
-    Each refresh writes a whole new ``version=<n>`` folder below ``table_path``, which counts once
-    it is complete: readers (``read_file_table``) keep the version they opened, and a refresh that
-    dies leaves the one before it in place. ``drop_superseded`` removes what is no longer used.
-    One refresh of a table runs at a time. Returns the current file table.
+    One row for each run of a path's chunks, from the stored chunk table's row positions; no bytes are read.
     """
-    if snapshot is None:
-        snapshot = list_home(spark, home)  # list the tree once per refresh
-    listing = scan_log_files(spark, home, snapshot)
-    key = ["path", "stored_length", "modified"]
-    known = read_file_table(spark, table_path)
-    fresh = listing if known is None else listing.join(known.select(*key), key, "left_anti")
-    fresh = reliable_checkpoint(fresh)  # pin the set being ingested
-    if known is not None and fresh.isEmpty() and known.join(listing.select(*key), key, "left_anti").isEmpty():
-        return known  # nothing arrived, changed or vanished
-    token = _batch_token(fresh)
-    batch_dir = f"{chunk_path.rstrip('/')}/batch={token}"
-    stored = fresh.select(F.sum("stored_length")).first()[0]  # one scalar, NULL when nothing is new
-    written = spark.createDataFrame([], CHUNK_SCHEMA)  # a deletion only: no chunk to write
-    if stored is not None:
-        tasks = max(spark.sparkContext.defaultParallelism, -(-int(stored) // TARGET_FILE_BYTES))
-        write_chunks(build_chunks(spark, home, chunk_bytes, fresh, tasks), batch_dir, mode="overwrite", buckets=buckets)
-        written = spark.read.schema(CHUNK_SCHEMA).parquet(batch_dir)
-    new_rows = (uncompressed_length(fresh, written)
-                .withColumn("chunk_batch", F.lit(token))
-                .withColumn("app_bucket", app_bucket(F.col("app"), buckets)))
-    current = new_rows.select(*[f.name for f in FILE_TABLE_SCHEMA.fields])
-    if known is not None:
-        still = known.join(listing.select(*key), key, "left_semi")
-        current = still.unionByName(current)
-    # metadata only (one row per file): a few unpartitioned files
-    version = _version_path(table_path, max(_versions(spark, table_path), default=0) + 1)
-    current.coalesce(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(version)
-    return read_file_table(spark, table_path)
+    rows = stored.where("chunk_no >= 0").select(
+        "path", "chunk_no", F.col("_metadata.file_path").alias("data_file"),
+        (F.col("_metadata.row_index") - F.col("chunk_no")).alias("shift"))
+    return rows.groupBy("path", "data_file", "shift").agg(
+        F.min("chunk_no").alias("first_chunk"), F.max("chunk_no").alias("last_chunk")).select(
+        "path", "data_file", "first_chunk", "last_chunk", "shift")
+
 
 
 def gunzip(raw, block: int = 1 << 20):
@@ -495,55 +306,117 @@ def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None
             .withColumn("read_error", F.coalesce(F.col("_gz_len") < 0, F.lit(False))).drop("_gz_len"))
 
 
-def _range_reader(piece_cols: list[str]):
-    gz_stream, opener = gunzip, arrow_location
+class _DataFiles:
+    """Rows of chunk data files; keeps the last row group, as a unit's rows stand together."""
+
+    def __init__(self):
+        self.place, self.file, self.starts, self.group, self.rows = None, None, [], None, []
+
+    def row(self, place: str, number: int) -> bytes:
+        import bisect
+        from urllib.parse import unquote
+
+        import pyarrow.parquet as pq
+        if place != self.place:
+            fs, p = arrow_location(unquote(place))
+            self.file, self.place, self.group = pq.ParquetFile(fs.open_input_file(p)), place, None
+            self.starts, at = [], 0
+            for g in range(self.file.metadata.num_row_groups):
+                self.starts.append(at)
+                at += self.file.metadata.row_group(g).num_rows
+        group = bisect.bisect_right(self.starts, number) - 1
+        if group != self.group:
+            self.rows, self.group = self.file.read_row_group(group, columns=["bytes"]).column("bytes"), group
+        return self.rows[number - self.starts[group]].as_py()
+
+
+def _chunk_piece(data: _DataFiles, piece: dict, chunk_bytes: int) -> bytes:
+    """Bytes [lo, hi) counted from the beginning of chunk row ``row``."""
+    lo, hi = piece["lo"], piece["hi"]
+    first, last = lo // chunk_bytes, (hi - 1) // chunk_bytes
+    got = b"".join(data.row(piece["place"], piece["row"] + k) for k in range(first, last + 1))
+    out = got[lo - first * chunk_bytes:hi - first * chunk_bytes]
+    if len(out) != hi - lo:
+        raise OSError(f"{piece['place']}: {len(out)} of {hi - lo} bytes from row {piece['row']}")
+    return out
+
+
+def _file_piece(path: str, lo: int, hi: int) -> bytes:
+    """Uncompressed bytes [lo, hi) of a file: one positioned read of a plain file, a streamed skip in a gzip file."""
+    fs, p = arrow_location(path)
+    if not path.endswith(GZ_SUFFIX):
+        with fs.open_input_file(p) as f:
+            piece = f.read_at(hi - lo, lo)
+        if len(piece) < hi - lo:
+            raise OSError(f"{path}: {len(piece)} of {hi - lo} bytes at {lo}; the file has shrunk")
+        return piece
+    got, pos = [], 0
+    with fs.open_input_stream(p, compression=None) as raw:
+        for b in gunzip(raw):
+            end = pos + len(b)
+            if end > lo:
+                got.append(b[max(lo - pos, 0):hi - pos])
+            pos = end
+            if pos >= hi:
+                break
+    return b"".join(got)
+
+
+def _unit_reader(chunk_bytes: int, per_file: bool, flush_bytes: int = 32 << 20):
+    data_files, chunk_piece, file_piece = _DataFiles, _chunk_piece, _file_piece
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            pieces = []
-            for path, lo, hi in zip(pdf["path"], pdf["local_start"], pdf["local_end"]):
-                if path is None:  # a window without bytes
-                    pieces.append(None)
-                    continue
-                fs, p = opener(path)
-                lo, hi = int(lo), int(hi)
-                if path.endswith(".gz"):
-                    # no random access into gzip: stream and skip, as a sequential reader must
-                    got, pos = [], 0
-                    with fs.open_input_stream(p, compression=None) as raw:
-                        for b in gz_stream(raw):
-                            end = pos + len(b)
-                            if end > lo:
-                                got.append(b[max(lo - pos, 0):hi - pos])
-                            pos = end
-                            if pos >= hi:
-                                break
-                    pieces.append(b"".join(got))
-                else:
-                    with fs.open_input_file(p) as f:
-                        piece = f.read_at(hi - lo, lo)
-                    if len(piece) < hi - lo:
-                        raise OSError(f"{path}: {len(piece)} of {hi - lo} bytes at {lo}; the file has shrunk")
-                    pieces.append(piece)
-            out = pdf[piece_cols].copy()
-            out["chunk_no"] = 0
-            out["piece"] = pieces
-            yield out
+        import pyarrow as pa
+        data = data_files()
+        for batch in batches:
+            at = batch.schema.get_field_index("pieces")
+            columns, names = [c for i, c in enumerate(batch.columns) if i != at], [n for n in batch.schema.names if n != "pieces"]
+            start, held, out = 0, 0, []
+
+            def take(end):
+                made = pa.array(out, pa.list_(pa.binary()) if per_file else pa.binary())
+                return pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in columns] + [made],
+                                                  [*names, "by_file" if per_file else "bytes"])
+
+            for i, pieces in enumerate(batch.column(at)):
+                by_file, ranks = [], []
+                for piece in pieces.as_py():
+                    got = (file_piece(piece["place"], piece["lo"], piece["hi"]) if piece["row"] is None
+                           else chunk_piece(data, piece, chunk_bytes))
+                    held += len(got)
+                    if ranks[-1:] == [piece["file_rank"]]:
+                        by_file[-1].append(got)
+                    else:
+                        ranks.append(piece["file_rank"])
+                        by_file.append([got])
+                by_file = [b"".join(x) for x in by_file]
+                out.append(by_file if per_file else b"".join(by_file))
+                if held >= flush_bytes:
+                    yield take(i + 1)
+                    start, held, out = i + 1, 0, []
+            if out:
+                yield take(batch.num_rows)
     return run
 
 
-def read_ranges(pieces: DataFrame) -> DataFrame:
-    """Bytes of each (request, file, local range) read straight from the file.
+def read_units(units: DataFrame, chunk_bytes: int, per_file: bool = False) -> DataFrame:
+    """``units`` with ``pieces`` replaced by their ``bytes`` in order (``per_file``: ``by_file``, one value a file).
 
-    Plain files are read with one positioned read of exactly the requested
-    bytes -- the cost follows the bytes asked for, not the size of the logs.
-    Rows are clustered by path within each task so a file's pieces are read
-    together.
+    A piece names rows of a chunk data file (``place``, ``row``) or, with ``row`` null, a byte range of a log
+    file. Units are dealt by their first place, so that a data file's row groups are read by few tasks; a
+    place that many ask for is split by the adaptive rebalance. Only places and ranges are shuffled.
     """
-    cols = [c for c in pieces.columns]
-    schema = T.StructType([f for f in pieces.schema.fields]
-                          + [T.StructField("chunk_no", T.LongType()), T.StructField("piece", T.BinaryType())])
-    return (pieces.sortWithinPartitions("path", "local_start")
-            .mapInPandas(_range_reader(cols), schema))
+    placed = units.withColumn("_place", F.get("pieces", F.lit(0))["place"]).hint("rebalance", "_place").drop("_place")
+    schema = T.StructType([f for f in units.schema.fields if f.name != "pieces"]
+                          + [T.StructField("by_file", T.ArrayType(T.BinaryType())) if per_file else T.StructField("bytes", T.BinaryType())])
+    return placed.mapInArrow(_unit_reader(chunk_bytes, per_file), schema)
+
+
+from rollscope.sources.filetable import (  # noqa: E402, F401  the file table is part of this module's interface
+    FILE_TABLE_SCHEMA,
+    drop_superseded,
+    read_chunks,
+    read_file_table,
+    read_locators,
+    refresh_file_table,
+)

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_HOME = "logs"
-CHUNK_BYTES = 1 << 16
+CHUNK_BYTES = 512      # small against the fixture files, so that they have many chunks and blocks
+BUCKET_BYTES = 1 << 12
 
 # --- Fixed values of the fixture requests: (offset, byte_length) per log ---
 REQUEST_SHAPES = [
@@ -86,6 +87,19 @@ def log_chunks(spark: SparkSession, sf_dir: str, chunk_bytes: int = CHUNK_BYTES)
     return chunks_from_content(log_files(spark, sf_dir), chunk_bytes)
 
 
+def chunk_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locators of the fixture logs' chunks; the chunk table is written once per shared folder."""
+    from rollscope.session import data_key, shared_dir
+    from rollscope.sources.files import locate_chunks, write_chunks
+    from rollscope.sources.storage import hadoop_folder
+    base = f"{shared_dir(spark)}/fixture_chunks/{data_key(sf_dir)}"
+    fs, done = hadoop_folder(spark, base + "/at/_SUCCESS")
+    if not fs.exists(done):
+        write_chunks(log_chunks(spark, sf_dir), base + "/chunks", mode="overwrite")
+        locate_chunks(spark.read.parquet(base + "/chunks")).write.mode("overwrite").parquet(base + "/at")
+    return spark.read.parquet(base + "/at")
+
+
 def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven request shapes for every log (tail, head, negative, far, empty, bad, big)."""
     logs = log_files(spark, sf_dir).select("app", "pod").distinct()

@@ -123,19 +123,20 @@ def test_refresh_rerun_after_failure_adds_no_duplicates(spark, scratch):
     assert bytes(got.bytes) == EXPECTED[("a", "exec-1")] + b"+more"
 
 
-def test_versions_of_the_file_table(spark, scratch):
+def test_states_of_the_file_table(spark, scratch):
     home = os.path.join(scratch, "home")
     table, chunk_dir = os.path.join(scratch, "files_t"), os.path.join(scratch, "chunks_t")
     put(home, "a/a-driver_1", b"one|")
     old = fl.refresh_file_table(spark, home, table, chunk_dir, 4)
     put(home, "a/a-driver_1", b"changed|")                          # the first batch is superseded
     new = fl.refresh_file_table(spark, home, table, chunk_dir, 4)
-    assert (old.first().length, new.first().length) == (4, 8)      # a reader keeps the version it opened
-    os.makedirs(os.path.join(table, "version=3"))                  # a refresh that was cut short
+    assert (old.first().length, new.first().length) == (4, 8)      # a reader keeps the state it opened
+    os.makedirs(os.path.join(table, "delta", "seq=3"))             # a refresh that was cut short
     assert fl.read_file_table(spark, table).first().length == 8
     fl.drop_superseded(spark, table, chunk_dir)
-    assert sorted(os.listdir(table)) == ["version=2", "version=3"] and len(os.listdir(chunk_dir)) == 1
-    assert fl.read_chunks(spark, chunk_dir).count() == 2
+    assert os.listdir(os.path.join(table, "base")) == ["seq=2"] and len(os.listdir(chunk_dir)) == 1
+    assert os.listdir(os.path.join(table, "delta")) == ["seq=3"]
+    assert fl.read_chunks(spark, chunk_dir).count() == 2 and fl.read_file_table(spark, table).first().length == 8
     assert fl.read_file_table(spark, os.path.join(scratch, "none")) is None
 
 
