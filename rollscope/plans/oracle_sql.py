@@ -185,16 +185,16 @@ event_types(id, t) AS (VALUES ('driver', 'error'), ('1', 'click'), ('2', 'purcha
 event_lines AS (
   SELECT id AS app_id, attemptId AS attempt_id, 0 AS line,
          '{"Event":"SparkListenerApplicationStart","App Name":"' || name || '","App ID":"' || id || '","Timestamp":'
-         || CAST(epoch_ms(CAST(startTime AS TIMESTAMP)) AS VARCHAR) || ',"User":"rollscope","App Attempt ID":"' || attemptId || '"}' AS value
+         || CAST(epoch_us(CAST(startTime AS TIMESTAMP)) // 1000 AS VARCHAR) || ',"User":"rollscope","App Attempt ID":"' || attemptId || '"}' AS value
   FROM app_flat WHERE attempt_idx IS NOT NULL
   UNION ALL
   SELECT f.id, f.attemptId, row_number() OVER (PARTITION BY f.id ORDER BY e.id),
-         '{"Event":"SparkListenerExecutorAdded","Timestamp":' || CAST(epoch_ms(CAST(e.addTime AS TIMESTAMP)) AS VARCHAR)
+         '{"Event":"SparkListenerExecutorAdded","Timestamp":' || CAST(epoch_us(CAST(e.addTime AS TIMESTAMP)) // 1000 AS VARCHAR)
          || ',"Executor ID":"' || e.id || '","Executor Info":{"Host":"' || e.hostPort || '","Total Cores":' || CAST(e.totalTasks AS VARCHAR)
          || ',"Log Urls":{"stdout":"http://worker/logs/' || e.app_id || '/' || t.t || '/stdout","stderr":"http://worker/logs/'
          || e.app_id || '/' || t.t || '/stderr"}}}'
   FROM executors_t e JOIN event_types t ON t.id = e.id JOIN app_flat f ON f.id = e.app_id AND f.attempt_idx = 0
   UNION ALL
   SELECT id, attemptId, 1000000000,
-         '{"Event":"SparkListenerApplicationEnd","Timestamp":' || CAST(epoch_ms(CAST(endTime AS TIMESTAMP)) AS VARCHAR) || '}'
+         '{"Event":"SparkListenerApplicationEnd","Timestamp":' || CAST(epoch_us(CAST(endTime AS TIMESTAMP)) // 1000 AS VARCHAR) || '}'
   FROM app_flat WHERE attempt_idx IS NOT NULL AND completed)"""
