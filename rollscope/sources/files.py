@@ -307,12 +307,13 @@ def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None
 
 
 class _DataFiles:
-    """Rows of chunk data files; keeps the last row group, as a unit's rows stand together."""
+    """Rows of chunk data files; keeps the last file and row group, as units come in the order of their places."""
 
     def __init__(self):
-        self.place, self.file, self.starts, self.group, self.rows = None, None, [], None, []
+        self.place, self.file, self.starts, self.group, self.rows = None, None, [], None, None
 
-    def row(self, place: str, number: int) -> bytes:
+    def joined(self, place: str, first: int, count: int) -> bytes:
+        """The bytes of ``count`` rows from row ``first`` on."""
         import bisect
         from urllib.parse import unquote
 
@@ -324,17 +325,24 @@ class _DataFiles:
             for g in range(self.file.metadata.num_row_groups):
                 self.starts.append(at)
                 at += self.file.metadata.row_group(g).num_rows
-        group = bisect.bisect_right(self.starts, number) - 1
-        if group != self.group:
-            self.rows, self.group = self.file.read_row_group(group, columns=["bytes"]).column("bytes"), group
-        return self.rows[number - self.starts[group]].as_py()
+        out = []
+        while count > 0:
+            group = bisect.bisect_right(self.starts, first) - 1
+            if group != self.group:
+                self.rows, self.group = self.file.read_row_group(group, columns=["bytes"]).column("bytes"), group
+            some = self.rows.slice(first - self.starts[group], count).to_pylist()
+            if not some:
+                raise OSError(f"{place}: no row {first}")
+            out += some
+            first, count = first + len(some), count - len(some)
+        return b"".join(out)
 
 
 def _chunk_piece(data: _DataFiles, piece: dict, chunk_bytes: int) -> bytes:
     """Bytes [lo, hi) counted from the beginning of chunk row ``row``."""
     lo, hi = piece["lo"], piece["hi"]
     first, last = lo // chunk_bytes, (hi - 1) // chunk_bytes
-    got = b"".join(data.row(piece["place"], piece["row"] + k) for k in range(first, last + 1))
+    got = data.joined(piece["place"], piece["row"] + first, last - first + 1)
     out = got[lo - first * chunk_bytes:hi - first * chunk_bytes]
     if len(out) != hi - lo:
         raise OSError(f"{piece['place']}: {len(out)} of {hi - lo} bytes from row {piece['row']}")
@@ -406,7 +414,9 @@ def read_units(units: DataFrame, chunk_bytes: int, per_file: bool = False) -> Da
     file. Units are dealt by their first place, so that a data file's row groups are read by few tasks; a
     place that many ask for is split by the adaptive rebalance. Only places and ranges are shuffled.
     """
-    placed = units.withColumn("_place", F.get("pieces", F.lit(0))["place"]).hint("rebalance", "_place").drop("_place")
+    first = F.get("pieces", F.lit(0))
+    placed = units.withColumn("_place", first["place"]).withColumn("_row", first["row"]).hint("rebalance", "_place")
+    placed = placed.sortWithinPartitions("_place", "_row").drop("_place", "_row")
     schema = T.StructType([f for f in units.schema.fields if f.name != "pieces"]
                           + [T.StructField("by_file", T.ArrayType(T.BinaryType())) if per_file else T.StructField("bytes", T.BinaryType())])
     return placed.mapInArrow(_unit_reader(chunk_bytes, per_file), schema)
