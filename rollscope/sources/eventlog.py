@@ -9,6 +9,8 @@ log never lands whole in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +87,8 @@ def _ms_to_ts(col):
     return F.timestamp_millis(col).cast("timestamp_ntz")
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
-    """Parse the lines of the four events used here.
+def parse_events(lines: DataFrame, by: Sequence[str] = ("log",)) -> DataFrame:
+    """Parse the lines of the four events used here; the columns ``by`` are kept.
 
     Real event logs are dominated by task and stage events; a plain substring
     test (code-generated, no JSON work) drops those lines before ``from_json``.
@@ -94,15 +96,15 @@ def parse_events(lines: DataFrame) -> DataFrame:
     wanted = F.lit(False)
     for name in (EV_APP_START, EV_APP_END, EV_EXEC_ADDED, EV_EXEC_REMOVED):
         wanted = wanted | F.col("value").contains(name)
-    e = lines.where(wanted).select("log", F.from_json("value", EVENT_SCHEMA).alias("e"))
-    return e.select("log", "e.*")
+    e = lines.where(wanted).select(*by, F.from_json("value", EVENT_SCHEMA).alias("e"))
+    return e.select(*by, "e.*")
 
 
-def attempts_of(events: DataFrame) -> DataFrame:
+def attempts_of(events: DataFrame, by: Sequence[str] = ("log",)) -> DataFrame:
     """One row per log = per attempt: ids, name, start, end (NULL while running)."""
     ev = F.col("Event")
     is_start, is_end = ev == EV_APP_START, ev == EV_APP_END
-    return events.groupBy("log").agg(
+    return events.groupBy(*by).agg(
         F.max(F.when(is_start, F.col("App ID"))).alias("id"),
         F.max(F.when(is_start, F.col("App Name"))).alias("name"),
         F.max(F.when(is_start, F.col("App Attempt ID"))).alias("attemptId"),
@@ -111,10 +113,28 @@ def attempts_of(events: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(is_end), F.lit(False)).alias("completed"))
 
 
+def executors_added(events: DataFrame, by: Sequence[str] = ("log",)) -> DataFrame:
+    """One row per added executor."""
+    return events.where(F.col("Event") == EV_EXEC_ADDED).select(
+        *by, F.col("Executor ID").alias("id"), F.col("Timestamp").alias("add_ms"), F.col("Executor Info.Host").alias("host"),
+        F.col("Executor Info.Total Cores").alias("totalCores"), F.col("Executor Info.Log Urls").alias("executorLogs"))
+
+
+def executors_removed(events: DataFrame, by: Sequence[str] = ("log",)) -> DataFrame:
+    """The last removal of each executor of a log."""
+    return events.where(F.col("Event") == EV_EXEC_REMOVED).groupBy(*by, F.col("Executor ID").alias("id")).agg(
+        F.max("Timestamp").alias("remove_ms"), F.max("Removed Reason").alias("removeReason"))
+
+
 def event_logs_to_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(applications with nested attempts newest first, executors with log URLs)."""
     events = parse_events(lines)
-    att = attempts_of(events).where(F.col("id").isNotNull())
+    return tables_of(attempts_of(events), executors_added(events), executors_removed(events))
+
+
+def tables_of(attempts: DataFrame, added: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applications, executors) from rows per log, parsed at once or merged from earlier parses."""
+    att = attempts.where(F.col("id").isNotNull())
     # newest first: later start, then the larger attempt id (numeric ids compare by length first)
     a = att.select("id", "name", F.struct(
         _ms_to_ts(F.col("start_ms")).alias("startTime"), F.length("attemptId").alias("_idlen"),
@@ -126,13 +146,8 @@ def event_logs_to_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     apps = apps.select("id", "name", F.transform("s", lambda x: F.struct(
         x["attemptId"].alias("attemptId"), x["startTime"].alias("startTime"),
         x["endTime"].alias("endTime"), x["completed"].alias("completed"))).alias("attempts"))
-    ev = F.col("Event")
-    added = events.where(ev == EV_EXEC_ADDED).select(
-        "log", F.col("Executor ID").alias("id"), _ms_to_ts(F.col("Timestamp")).alias("addTime"),
-        F.col("Executor Info.Host").alias("host"), F.col("Executor Info.Total Cores").alias("totalCores"),
-        F.col("Executor Info.Log Urls").alias("executorLogs"))
-    removed = events.where(ev == EV_EXEC_REMOVED).groupBy("log", F.col("Executor ID").alias("id")).agg(
-        _ms_to_ts(F.max("Timestamp")).alias("removeTime"), F.max("Removed Reason").alias("removeReason"))
+    added = added.withColumn("add_ms", _ms_to_ts(F.col("add_ms"))).withColumnRenamed("add_ms", "addTime")
+    removed = removed.withColumn("remove_ms", _ms_to_ts(F.col("remove_ms"))).withColumnRenamed("remove_ms", "removeTime")
     execs = (added.join(removed, ["log", "id"], "left")
              .join(att.select("log", F.col("id").alias("app_id"), "attemptId"), "log")
              .withColumn("isActive", F.col("removeTime").isNull()))
