@@ -292,19 +292,25 @@ def fetch_located(pieces: DataFrame, locators: DataFrame, chunk_bytes: int = DEF
 
 
 def assemble_located(pieces: DataFrame, locators: DataFrame | None, keys: list[str],
-                     chunk_bytes: int = DEFAULT_CHUNK_BYTES, per_file: bool = False) -> DataFrame:
+                     chunk_bytes: int = DEFAULT_CHUNK_BYTES, per_file: bool = False,
+                     files: DataFrame | None = None, restarts: DataFrame | None = None) -> DataFrame:
     """Slices by ``keys``: ``bytes`` (with ``per_file``: ``by_file``, the bytes of each file's piece).
 
     The places of a slice's pieces are gathered in order, then read by one task; no bytes are shuffled.
-    ``locators`` None: the pieces are read from the log files themselves.
+    ``locators`` None: the pieces are read from the log files themselves; with ``restarts`` (the restart index of
+    ``files``) a gzip file is unpacked from the point next before the piece.
     """
     from rollscope.sources.files import read_units
+    columns = _PIECE
     if locators is None:
         found = pieces.withColumnsRenamed({"path": "place", "local_start": "lo", "local_end": "hi"}).withColumn(
             "at", F.col("lo")).withColumn("row", F.lit(None).cast("long"))
+        if restarts is not None:
+            from rollscope.sources.gzindex import with_restart
+            found, columns = with_restart(found, files, restarts), [*_PIECE, "restart"]
     else:
         found = locate(pieces, locators, chunk_bytes)
-    piece = F.when(F.col("place").isNotNull(), F.struct(*_PIECE))
+    piece = F.when(F.col("place").isNotNull(), F.struct(*columns))
     units = found.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     return read_units(units, chunk_bytes, per_file)
 
@@ -341,7 +347,8 @@ def _in_parts(windows: DataFrame, part_bytes: int) -> DataFrame:
 def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None, home: str = "",
                chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, with_text: bool = True,
-               text_mode: str = "whole", part_bytes: int = PART_BYTES) -> DataFrame:
+               text_mode: str = "whole", part_bytes: int = PART_BYTES,
+               files: DataFrame | None = None, restarts: DataFrame | None = None) -> DataFrame:
     """Bytes, text and header for resolved windows; one row a window, or one for each ``part`` of a large one.
 
     ``chunks`` None = read the byte ranges directly from the files (positioned reads for plain files); chunk
@@ -360,7 +367,7 @@ def slices_for(windows: DataFrame, manifest: DataFrame, chunks: DataFrame | None
     if chunks is not None and "bytes" in chunks.columns:
         out = assemble_joined(fetch_chunks(pieces, chunks, chunk_bytes, keep_empty=True), keys, per_file)
     else:
-        out = assemble_located(pieces, chunks, keys, chunk_bytes, per_file)
+        out = assemble_located(pieces, chunks, keys, chunk_bytes, per_file, files, restarts)
     if per_file:
         out = out.withColumn("bytes", F.aggregate("by_file", F.lit(b""), lambda a, x: F.concat(a, x)))
     ok = F.col("status") == STATUS_OK
@@ -383,11 +390,12 @@ def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None,
                dirs: DataFrame | None = None, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                bucket_bytes: int = DEFAULT_BUCKET_BYTES, order: str = "name",
                with_text: bool = True, text_mode: str = "whole", carry: list[str] | None = None,
-               part_bytes: int = PART_BYTES) -> DataFrame:
+               part_bytes: int = PART_BYTES, restarts: DataFrame | None = None) -> DataFrame:
     """Answer every byte-range request of ``requests`` in one Spark job.
 
     ``chunks`` are the chunk locators (``sources.files.read_locators``), a chunk table with bytes, or None to
-    read ranges straight from the files in ``files.path`` (no ingestion needed; see ``sources.files.file_table``).
+    read ranges straight from the files in ``files.path`` (no ingestion needed; see ``sources.files.file_table``);
+    then ``restarts`` (``sources.gzindex.refresh_restarts``) lets gzip files be unpacked from near the range.
     A slice of more than ``part_bytes`` comes as rows ``part`` 0, 1, ...; nothing is cut off.
 
     ``carry`` names further columns of ``requests`` to return with each answer.
@@ -400,7 +408,7 @@ def log_slices(requests: DataFrame, files: DataFrame, chunks: DataFrame | None,
         dirs = mf.log_directories(files)
     windows = resolve_requests(req, totals, dirs)
     return slices_for(windows, manifest, chunks, home, chunk_bytes, bucket_bytes, with_text, text_mode,
-                      part_bytes)
+                      part_bytes, files, restarts)
 
 
 def chunks_from_content(files: DataFrame, chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:

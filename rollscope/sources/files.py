@@ -291,15 +291,21 @@ def _length_counter(batch_bytes: int = 1 << 20):
     return run
 
 
-def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None) -> DataFrame:
+def file_table(spark: SparkSession, home: str, snapshot: DataFrame | None = None,
+               restarts: DataFrame | None = None) -> DataFrame:
     """File table without a chunk table, for direct range reads.
 
     Plain files take their listed length (no byte is read); gz files are
-    streamed once in tasks to count their uncompressed bytes.
+    streamed once in tasks to count their uncompressed bytes, or take their length from the restart index
+    (``gzindex.refresh_restarts``), which must then be as new as the listing.
     """
     listing = scan_log_files(spark, home, snapshot)
-    gz = listing.where(F.col("file_name").endswith(GZ_SUFFIX)).select("path")
-    sizes = gz.mapInPandas(_length_counter(), "path string, _gz_len long")
+    gz = listing.where(F.col("file_name").endswith(GZ_SUFFIX))
+    if restarts is None:
+        sizes = gz.select("path").mapInPandas(_length_counter(), "path string, _gz_len long")
+    else:
+        known = restarts.where("length IS NOT NULL").groupBy("path", "stored_length", "modified").agg(F.max("length").alias("_gz_len"))
+        sizes = gz.join(known, ["path", "stored_length", "modified"], "left").select("path", F.coalesce("_gz_len", F.lit(-1)).alias("_gz_len"))
     j = listing.join(sizes, "path", "left")
     length = F.when(F.col("file_name").endswith(GZ_SUFFIX), F.greatest("_gz_len", F.lit(0).cast("long")))
     return (j.withColumn("length", length.otherwise(F.col("stored_length")))
@@ -370,8 +376,16 @@ def _file_piece(path: str, lo: int, hi: int) -> bytes:
     return b"".join(got)
 
 
+def _point_piece(data: _DataFiles, piece: dict) -> bytes:
+    """Uncompressed bytes [lo, hi) of a gzip file from a point of its restart index."""
+    from rollscope.sources.gzindex import read_from_point
+    point = piece["restart"]
+    window = None if point["place"] is None else data.joined(point["place"], point["row"], 1)
+    return read_from_point(piece["place"], piece["lo"], piece["hi"], point["stored_at"], point["raw_at"], window)
+
+
 def _unit_reader(chunk_bytes: int, per_file: bool, flush_bytes: int = 32 << 20):
-    data_files, chunk_piece, file_piece = _DataFiles, _chunk_piece, _file_piece
+    data_files, chunk_piece, file_piece, point_piece = _DataFiles, _chunk_piece, _file_piece, _point_piece
 
     def run(batches):
         import pyarrow as pa
@@ -389,8 +403,12 @@ def _unit_reader(chunk_bytes: int, per_file: bool, flush_bytes: int = 32 << 20):
             for i, pieces in enumerate(batch.column(at)):
                 by_file, ranks = [], []
                 for piece in pieces.as_py():
-                    got = (file_piece(piece["place"], piece["lo"], piece["hi"]) if piece["row"] is None
-                           else chunk_piece(data, piece, chunk_bytes))
+                    if piece["row"] is not None:
+                        got = chunk_piece(data, piece, chunk_bytes)
+                    elif piece.get("restart"):
+                        got = point_piece(data, piece)
+                    else:
+                        got = file_piece(piece["place"], piece["lo"], piece["hi"])
                     held += len(got)
                     if ranks[-1:] == [piece["file_rank"]]:
                         by_file[-1].append(got)
