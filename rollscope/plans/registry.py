@@ -622,10 +622,13 @@ def q_log_manifest_sink(spark, sf_dir):
     return table.select("app", "file_name", "length")
 
 
-@register("log_slices_files", osql.LOG_BASE + f"""
+SLICES_OF_FILES_SQL = osql.LOG_BASE + f"""
 SELECT request_id, app, pod, start_byte, end_byte, total_bytes, status, slice_hex,
        printf('==== Bytes %d-%d of %d of %s%s ====', start_byte, end_byte, total_bytes,
-              '<home>/' || app || '/', log_type) || chr(10) AS header FROM winr""")
+              '<home>/' || app || '/', log_type) || chr(10) AS header FROM winr"""
+
+
+@register("log_slices_files", SLICES_OF_FILES_SQL)
 def q_log_slices_files(spark, sf_dir):
     """Q1 on the real files: listing, gunzip-chunking, lengths, then the slice plan."""
     from rollscope.session import data_key, shared_dir
@@ -639,6 +642,21 @@ def q_log_slices_files(spark, sf_dir):
     return out.select(*SLICE_COLS, "header")
 
 
+@register("log_slices_direct", SLICES_OF_FILES_SQL)
+def q_log_slices_direct(spark, sf_dir):
+    """Q1 without a chunk table: ranges of plain files by position, of gzip files from their restart points."""
+    from rollscope.session import data_key, shared_dir
+    from rollscope.sources import gzindex as gi
+    home = _home(spark, sf_dir)
+    snap = fl.list_home(spark, home)
+    restarts = gi.refresh_restarts(spark, home, f"{shared_dir(spark)}/fixture_tables/{data_key(sf_dir)}/restarts",
+                                   fx.CHUNK_BYTES, snapshot=snap)
+    out = sl.log_slices(_requests(spark, sf_dir), fl.file_table(spark, home, snap, restarts), None, home="<home>",
+                        dirs=fl.log_directories(spark, home, snap), bucket_bytes=fx.BUCKET_BYTES, with_text=False,
+                        restarts=restarts)
+    return out.select(*SLICE_COLS, "header")
+
+
 # ================================================================ event logs
 
 from rollscope.sources import eventlog as evl  # noqa: E402
@@ -706,17 +724,3 @@ def q_stream_rolled_files(spark, sf_dir):
     base = f"{shared_dir(spark)}/fixture_stream/{data_key(sf_dir)}"
     stream_rolled_files(spark, home, base + "/out", base + "/checkpoint", fx.CHUNK_BYTES)
     return ingested_files(spark, base + "/out").select("app", "file_name", "length")
-
-
-def direct_slices(spark, sf_dir):
-    """Q1 over the staged files without ingestion: listing + gz lengths, positioned reads.
-
-    Not a separate operator (it is ``log_slices`` with ``chunks=None``); used by
-    the benchmark to compare the direct path with the chunk-table path.
-    """
-    home = _home(spark, sf_dir)
-    snap = fl.list_home(spark, home)
-    files = fl.file_table(spark, home, snap)
-    out = sl.log_slices(_requests(spark, sf_dir), files, None, home="<home>",
-                        dirs=fl.log_directories(spark, home, snap), with_text=False)
-    return out.select(*SLICE_COLS, "header")

@@ -1,8 +1,8 @@
 """Write the fixture logs out as real rolled files, in parallel tasks.
 
 ``<shared>/fixture_logs/<sf>/<app>/<file_name>``: names ending in ``.gz``
-are written gzip-compressed (fixed mtime, so reruns give identical bytes),
-the rest plain.  Each task writes through a temporary name and renames, so a
+are written gzip-compressed (fixed mtime, so reruns give identical bytes) and
+flushed now and then, as by a program that logs through a gzip stream, the rest plain.  Each task writes through a temporary name and renames, so a
 retried task leaves whole files only.  The folder lives below the cluster's
 shared ``spark.checkpoint.dir``.
 """
@@ -17,11 +17,15 @@ from rollscope.sources import fixtures as fx
 from rollscope.sources.files import arrow_location
 
 _DONE = "_SUCCESS"
+FLUSH_BYTES = 512  # written between two flushes
 
 
 def _writer(home: str):
+    flush_bytes = FLUSH_BYTES
+
     def run(batches):
         import gzip
+        import io
         import os
 
         import pandas as pd
@@ -43,7 +47,12 @@ def _writer(home: str):
                     made.add(d)
                 data = bytes(content)
                 if name.endswith(".gz"):
-                    data = gzip.compress(data, mtime=0)
+                    stored = io.BytesIO()
+                    with gzip.GzipFile(fileobj=stored, mode="wb", mtime=0) as gz:
+                        for i in range(0, len(data), flush_bytes):
+                            gz.write(data[i:i + flush_bytes])
+                            gz.flush()
+                    data = stored.getvalue()
                 tmp = f"{d}/.{name}.{os.getpid()}.tmp"
                 with fs.open_output_stream(tmp) as out:
                     out.write(data)

@@ -7,7 +7,7 @@ folders of their range.
 
 ``foreachBatch`` hands the listing to ``refresh_file_table``, which finds what is new, grown, changed or gone:
 so the streamed table is that of the batch path, growing files included, and a batch that is replayed after a
-failure changes nothing twice.  Ranks and offsets of the touched logs are written beside it.
+failure changes nothing twice.  Ranks, offsets and totals of the touched logs are written beside it.
 """
 
 from __future__ import annotations
@@ -79,14 +79,35 @@ class ListingSource(DataSource):
         return ListingReader(self.options["home"], int(self.options.get("ranges", RANGES)))
 
 
+def _touched_logs(delta: DataFrame) -> DataFrame:
+    return (delta.select("app", "file_name", F.explode(mf.pods_in_name("file_name")).alias("pod"))
+            .where(F.col("file_name").startswith(F.col("app"))).select("app", "pod").distinct())
+
+
 def touched_offsets(spark: SparkSession, table_path: str) -> DataFrame | None:
     """Ranks and offsets (`manifest.build_manifest`) of the logs whose files the newest refresh changed."""
     delta, files = ft.read_delta(spark, table_path), ft.read_file_table(spark, table_path)
     if delta is None:
         return None
-    logs = (delta.select("app", "file_name", F.explode(mf.pods_in_name("file_name")).alias("pod"))
-            .where(F.col("file_name").startswith(F.col("app"))).select("app", "pod").distinct())
-    return mf.build_manifest(logs, files).select("app", "pod", "file_name", "path", "file_rank", "file_start", "file_end")
+    return mf.build_manifest(_touched_logs(delta), files).select("app", "pod", "file_name", "path", "file_rank", "file_start", "file_end")
+
+
+def write_totals(spark: SparkSession, table_path: str, out: str) -> int | None:
+    """Total bytes of the logs that changed since the last call, as ``<out>/totals/seq=<delta>``; returns the number.
+
+    One row a log (app, pod, total_bytes; 0 for a log that is gone). Deltas are taken until their totals are
+    complete, so a call that died is made up for by the next one.
+    """
+    done = max(ft._whole(spark, out, "totals"), default=0)
+    fresh = [n for n in ft._whole(spark, table_path, "delta") if n > done]
+    if not fresh:
+        return None
+    logs = _touched_logs(ft._read(spark, table_path, "delta", fresh))
+    totals = mf.total_length(mf.build_manifest(logs, ft.read_file_table(spark, table_path)))
+    rows = logs.join(totals.select("app", "pod", "total_bytes"), ["app", "pod"], "left").withColumn(
+        "total_bytes", F.coalesce("total_bytes", F.lit(0)).cast("long"))
+    rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/totals/seq={fresh[-1]}")
+    return fresh[-1]
 
 
 def _batch_writer(home: str, out: str, chunk_bytes: int):
@@ -97,6 +118,7 @@ def _batch_writer(home: str, out: str, chunk_bytes: int):
         fl.refresh_file_table(spark, home, f"{out}/files", f"{out}/chunks", chunk_bytes, snapshot=listing)
         if ft._whole(spark, f"{out}/files", "delta") != before:
             touched_offsets(spark, f"{out}/files").write.mode("overwrite").parquet(f"{out}/offsets/batch_id={batch_id}")
+        write_totals(spark, f"{out}/files", out)
 
     return write
 
