@@ -28,6 +28,8 @@ REASON_EXCLUSION = "exclusion"
 REASON_PATTERN = "pattern"
 REASON_UNFILTERED = "filtering_disabled"
 
+INLINE_PATTERNS = 64  # up to so many patterns are tested in the row, more are joined
+
 DECISION_OK = "ok"
 DECISION_FORBIDDEN = "forbidden"
 DECISION_NOT_FOUND = "not_found"
@@ -59,6 +61,15 @@ class TenantPolicy:
             return self.patterns.select(F.col(self.patterns.columns[0]).cast("string").alias("pattern"))
         return spark.createDataFrame([(p,) for p in self.patterns], "pattern string")
 
+    def short_patterns(self, spark: SparkSession) -> list[str] | None:
+        """The distinct patterns when there are at most ``INLINE_PATTERNS``, else None; no more than that is collected."""
+        if isinstance(self.patterns, DataFrame):
+            few = self.patterns_df(spark).where("pattern IS NOT NULL").distinct().limit(INLINE_PATTERNS + 1).collect()
+            found = sorted(r.pattern for r in few)
+        else:
+            found = sorted({p for p in self.patterns if p is not None})
+        return found if len(found) <= INLINE_PATTERNS else None
+
     def exclusions_df(self, spark: SparkSession) -> DataFrame:
         if isinstance(self.exclusions, DataFrame):
             return self.exclusions.select(F.col(self.exclusions.columns[0]).cast("string").alias("name"))
@@ -85,6 +96,14 @@ def prefix_join(left: DataFrame, text: str, right: DataFrame, key: str, how: str
     return ex.join(right, ex["_prefix"] == right[key], how).drop("_prefix", "_plen")
 
 
+def _starts_with_any(text: Column, patterns: list[str], suffix: Column) -> Column:
+    """Does ``text`` start with one of the patterns followed by ``suffix``?"""
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | text.startswith(F.concat(F.lit(p), suffix))
+    return hit
+
+
 def exclusion_split(apps: DataFrame, policy: TenantPolicy, spark: SparkSession | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """(exempt, subject): applications named in the exclusions, and the others."""
@@ -104,6 +123,11 @@ def tenant_listing(apps: DataFrame, tenant: str | None, policy: TenantPolicy) ->
         return apps
     spark = apps.sparkSession
     exempt, subject = exclusion_split(apps, policy, spark)
+    short = policy.short_patterns(spark)
+    if short is not None:
+        key = tenant_key(F.lit(tenant).cast("string"))
+        hits = subject.where(_exclusions_nonempty(policy, spark) & _starts_with_any(F.col("name"), short, key))
+        return exempt.unionByName(hits)
     keys = policy.patterns_df(spark).select(
         F.concat(F.col("pattern"), tenant_key(F.lit(tenant).cast("string"))).alias("k")).distinct()
     hits = prefix_join(subject.where(_exclusions_nonempty(policy, spark)), "name", keys, "k", "left_semi")
@@ -132,19 +156,25 @@ def _marked(j: DataFrame, policy: TenantPolicy, spark: SparkSession) -> DataFram
     """``j`` with ``_excluded`` and ``_hit``: exclusion and pattern test of each row's own name and tenant.
 
     Decided per (tenant, name), never per request id, so repeated or NULL ids cannot share a decision.
-    Rows without a name (unknown applications) skip the joins instead of meeting on one NULL key.
+    A short list of patterns is tested in the row. Rows without a name (unknown applications) are dealt by
+    their id instead of meeting on one NULL key.
     """
-    ex = policy.exclusions_df(spark).distinct().withColumn("_excluded", F.lit(True))
-    named = j.where(F.col("name").isNotNull()).join(ex, "name", "left")
-    pairs = named.select("tenant_id", "name").distinct()
+    nameless = F.when(F.col("name").isNull(), F.pmod(F.xxhash64("app_id"), F.lit(1024))).otherwise(F.lit(0)).cast("int")
+    ex = policy.exclusions_df(spark).distinct().select(
+        F.col("name").alias("_ex_name"), F.lit(0).alias("_ex_deal"), F.lit(True).alias("_excluded"))
+    named = j.withColumn("_deal", nameless)
+    named = named.join(ex, (F.col("name") == F.col("_ex_name")) & (F.col("_deal") == F.col("_ex_deal")), "left").drop("_ex_name", "_ex_deal")
+    short = policy.short_patterns(spark)
+    if short is not None:
+        return named.drop("_deal").withColumn("_hit", _starts_with_any(F.col("name"), short, tenant_key(F.col("tenant_id"))))
+    pairs = named.where(F.col("name").isNotNull()).select("tenant_id", "name").distinct()
     cand = prefix_join(pairs, "name", policy.patterns_df(spark).distinct(), "pattern")
     hits = (cand.where(F.col("name").startswith(F.concat(F.col("pattern"), tenant_key(F.col("tenant_id")))))
             .select(F.col("tenant_id").alias("_tenant"), F.col("name").alias("_name")).distinct()
-            .withColumn("_hit", F.lit(True)))
-    named = named.join(hits, (F.col("name") == F.col("_name")) & F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left")
-    unknown = j.where(F.col("name").isNull()).withColumns(
-        {"_excluded": F.lit(None).cast("boolean"), "_hit": F.lit(None).cast("boolean")})
-    return named.drop("_tenant", "_name").unionByName(unknown)
+            .withColumns({"_hit": F.lit(True), "_hit_deal": F.lit(0)}))
+    on = ((F.col("name") == F.col("_name")) & (F.col("_deal") == F.col("_hit_deal"))
+          & F.col("tenant_id").eqNullSafe(F.col("_tenant")))
+    return named.join(hits, on, "left").drop("_tenant", "_name", "_deal", "_hit_deal")
 
 
 def tenant_access(requests: DataFrame, apps: DataFrame, policy: TenantPolicy) -> DataFrame:
@@ -185,9 +215,14 @@ def access_matrix(apps: DataFrame, tenants: DataFrame, policy: TenantPolicy) ->
     """
     spark = apps.sparkSession
     _, subject = exclusion_split(apps, policy, spark)
-    pats = policy.patterns_df(spark).distinct()
-    hits = (prefix_join(subject.select(F.col("id").alias("app_id"), "name")
-                        .where(_exclusions_nonempty(policy, spark)), "name", pats, "pattern")
+    subject = subject.select(F.col("id").alias("app_id"), "name").where(_exclusions_nonempty(policy, spark))
+    short = policy.short_patterns(spark)
+    if short is not None:
+        listed = F.array(*map(F.lit, short)) if short else F.array().cast("array<string>")
+        hits = subject.withColumn("pattern", F.explode(F.filter(listed, lambda p: F.col("name").startswith(p))))
+    else:
+        hits = prefix_join(subject, "name", policy.patterns_df(spark).distinct(), "pattern")
+    hits = (hits
             .withColumn("rest", F.expr("substring(name, length(pattern) + 1)")))
     t = tenants.select("tenant_id", tenant_key(F.col("tenant_id")).alias("tkey")).distinct()
     pairs = prefix_join(hits, "rest", t, "tkey").withColumn("tlen", F.length(tenant_key(F.col("tenant_id"))))

@@ -558,6 +558,37 @@ def q_load_new(spark, sf_dir):
         "request_id", "app", "pod", "poll_status", "start_byte", "end_byte", "total_bytes", "slice_hex")
 
 
+@register("poll_requests", osql.with_ctes(osql.LOG_FILES, CURSORS_SQL) + """
+SELECT c.client || ':' || c.app || ':' || c.pod AS request_id, 'new_bytes' AS poll_status, total_bytes_seen AS req_offset,
+       t.total_bytes - total_bytes_seen AS byte_length
+FROM cursors c JOIN totals t ON t.app = c.app AND t.pod = c.pod WHERE t.total_bytes > total_bytes_seen
+UNION ALL
+SELECT client || ':' || app || ':' || pod, 'more', greatest(start_byte - byte_length, 0), least(byte_length, start_byte)
+FROM cursors WHERE start_byte > 0""")
+def q_poll_requests(spark, sf_dir):
+    """G1 and G2 as a stream: clients open every log and page back, its newest file arrives after a restart."""
+    import uuid
+
+    from rollscope.session import shared_dir
+    from rollscope.streaming import cursors as cu
+    base = f"{shared_dir(spark)}/fixture_polls/{uuid.uuid4().hex}"
+    seen, shown = fx.log_totals(spark, sf_dir), fx.log_cursors(spark, sf_dir)
+    zero = F.lit(0).cast("long")
+    for kind, seq in ((cu.OPEN, 1), (cu.MORE, 2)):
+        shown.select(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), "client", "app", "pod", "start_byte", "end_byte",
+                     "total_bytes", F.col("byte_length").cast("long").alias("byte_length")).write.mode("append").parquet(base + "/clients")
+    first = seen.withColumn("total_bytes", F.col("total_bytes") - F.col("last_file_bytes"))
+    for seq, totals in ((1, first), (2, seen)):
+        totals.select("app", "pod", F.col("total_bytes") + zero, F.lit(seq).cast("long").alias("seq")).toDF(
+            "app", "pod", "total_bytes", "seq").write.mode("append").parquet(base + "/totals")
+        requests = cu.poll_requests(spark.readStream.schema(cu.TOTALS).parquet(base + "/totals"),
+                                    spark.readStream.schema(cu.CLIENT_EVENTS).parquet(base + "/clients"))
+        (requests.writeStream.format("parquet").option("path", base + "/requests").option("checkpointLocation", base + "/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(cu.REQUESTS).parquet(base + "/requests").select(
+        "request_id", "poll_status", F.col("offset").alias("req_offset"), "byte_length")
+
+
 PAGE_BYTES = 1024
 
 

@@ -88,3 +88,28 @@ def test_policy_settings_absent():
     assert (pol.enabled, pol.patterns, pol.exclusions) == ("true", [""], [""])
     assert pol.filtering
     assert not TenantPolicy.from_settings(" true").filtering
+
+
+def test_long_pattern_lists_give_what_short_ones_give(spark, monkeypatch):
+    """Up to INLINE_PATTERNS patterns are tested in the row, more are joined: the same rows, odd values included."""
+    from rollscope.operators import tenant as tn
+    names = ["seg-1-a", "seg-10-b", "seg-1", "seg", "", None, "x-null-y", "open", "seg-1-a"]
+    apps = spark.createDataFrame([(str(i), n, []) for i, n in enumerate(names)],
+                                 "id string, name string, attempts array<struct<attemptId:string>>")
+    tenants = ["1", "10", "", None]
+    asked = [(f"r{i}-{t}", t, str(i)) for i in range(len(names) + 1) for t in tenants]
+    pairs = spark.createDataFrame(asked + asked[:3], "request_id string, tenant_id string, app_id string")
+    some = spark.createDataFrame([(t,) for t in tenants], "tenant_id string")
+    relation = spark.createDataFrame([("seg-",), ("x-",), (None,), ("seg-",)], "p string")
+
+    def answers(patterns, exclusions):
+        p = tn.TenantPolicy("true", patterns, exclusions)
+        out = [tn.tenant_match(pairs, apps, p), tn.tenant_access(pairs, apps, p), tn.access_audit(apps, some, p)]
+        out += [tn.tenant_listing(apps, t, p).select("id", "name") for t in ("1", None)]
+        return [sorted(map(repr, d.collect())) for d in out]
+
+    cases = [(["seg-", "x-"], ["open"]), (relation, ["open"]), ([""], []), ([], ["open"])]
+    short = [answers(*c) for c in cases]
+    monkeypatch.setattr(tn, "INLINE_PATTERNS", -1)
+    assert [answers(*c) for c in cases] == short
+    assert short[0] == short[1]
