@@ -143,7 +143,9 @@ def identify(items: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     joined, levels = rows, [("suffix", "s"), ("domain", "d"), ("host", "h")]
     for level, p in levels:
         counts = rows.where(F.col(level).isNotNull()).groupBy("kind", level).agg(*_votes(p, langs))
-        joined = joined.join(counts, ["kind", level], "left")
+        # rows without this level match nothing: dealt by their id, they do not meet on one key
+        deal = F.when(F.col(level).isNull(), F.pmod(F.xxhash64("id", "text_log"), F.lit(4096))).otherwise(F.lit(0)).cast("int")
+        joined = joined.withColumn("deal", deal).join(counts.withColumn("deal", F.lit(0)), ["kind", level, "deal"], "left").drop("deal")
     everything = cut(rows.groupBy("kind", "declared").agg(*_votes("n", langs)), "declared").collect()  # one row a declared code
     total = [sum(r[f"n{i}"] for r in everything) for i in range(k)]
     prior = [F.lit((t + 1) / (sum(total) + k)) for t in total]

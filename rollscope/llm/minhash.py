@@ -204,9 +204,8 @@ def _exact_rest(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     2 * block sets, and m + m * k / block rows: in proportion to m while the others are few.
     Buckets with the same members are looked at once.
     """
-    h = F.xxhash64("id")
     shape = members.groupBy("key").agg(
-        F.count("*").alias("m"), F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("h2"))
+        F.count("*").alias("m"), *(F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)))
     shape = shape.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
     largest = (members.join(shape.select("key"), "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("n"))
                .groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")))
@@ -237,11 +236,14 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(sketches(docs), "sketch")
     named = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi")).where("hub < hi")
-    cand = cut(keyed.join(shared.select("key", "hub"), "key").distinct(), "buckets")
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))  # equal words, equal keys
+    # a bucket is dealt to as many parts as it has members, up to 64: the mask says which parts there are
+    keyed = classes.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("key")).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi"),
+                                      F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts")).where("hub < hi")
+    shared = shared.select("key", "hub", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(parts, i) & 1L) = 1L)")).alias("part"))
+    cand = cut(keyed.join(shared, ["key", "part"]).select("key", "id", "hub"), "buckets")
     sets = cut(docs.join(cand.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
                .select("doc_id", "text").mapInArrow(_set_batches, "id long, shingles array<long>"), "sets")
 
