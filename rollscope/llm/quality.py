@@ -4,7 +4,7 @@ Words and word pairs are hashed into a table whose size follows the bytes of the
 the table is fitted to trusted documents, another to the raw corpus (all documents); a document's score is the
 mean over its n-grams of log(p_trusted / p_raw).  Trusted documents fall into two folds, and a trusted document
 is scored by the other fold only, so its score is that of a document the target has not seen: the threshold is
-a low quantile of these scores.  The weights of the whole table are looked up within the row: no text, and no
+a low quantile of these scores.  Every trusted document is fitted on and scored.  The weights of the whole table are looked up within the row: no text, and no
 n-gram after counting, is shuffled.
 """
 
@@ -23,8 +23,7 @@ TASK_BYTES = 256 << 20   # text counted by one task: a task writes one row a buc
 STEP = 0.001             # weights are kept in this unit
 SMOOTHING = 4.0          # prior count of every bucket, so that one seen once or twice says little
 HELD_OUT = 0.005         # quantile of the held-out trusted documents' scores that is the threshold
-TRUSTED_SAMPLE = 50_000  # trusted documents the target is fitted on, at most (the first by hashed id)
-CALIBRATION = 10_000     # of these, held-out documents that set the threshold, at most
+BROADCAST_IDS = 2_000_000  # trusted ids sent to the executors, counted first; more are joined by shuffle
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -83,16 +82,20 @@ def base_rules(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
-def trusted_ids(labels: DataFrame, sample: int = TRUSTED_SAMPLE) -> DataFrame:
-    """Ids of at most ``sample`` trusted documents (label quality 1), the first by hashed id."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
-    return ids.orderBy(F.xxhash64("trusted"), "trusted").limit(sample)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents (label quality 1)."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
+
+
+def sent(trusted: DataFrame) -> DataFrame:
+    """``trusted`` (stored), to be broadcast if it holds at most `BROADCAST_IDS`; no text is shuffled then."""
+    return F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
 
 
 def marked(rows: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``rows`` with ``fold``: 0 or 1 for a trusted document, else null; ``trusted`` is bounded by the sample size, so it is broadcast."""
+    """``rows`` with ``fold``: 0 or 1 for a trusted document, else null."""
     folds = trusted.select("trusted", F.pmod(F.xxhash64("trusted", F.lit(7)), F.lit(2)).cast("int").alias("fold"))
-    return rows.join(F.broadcast(folds), F.col("id") == F.col("trusted"), "left").drop("trusted")
+    return rows.join(sent(folds), F.col("id") == F.col("trusted"), "left").drop("trusted")
 
 
 def table_size(docs: DataFrame) -> tuple[int, int]:
@@ -172,15 +175,18 @@ def scored(docs: DataFrame, trusted: DataFrame, weights: dict[str, DataFrame] |
 
 
 def held_out_threshold(docs: DataFrame, trusted: DataFrame, weights: dict[str, DataFrame] | None, buckets: int,
-                       share: float = HELD_OUT, sample: int = CALIBRATION) -> float:
-    """The ``share`` quantile of the held-out scores of trusted documents that pass the base rules."""
+                       share: float = HELD_OUT) -> float:
+    """The ``share`` quantile of the held-out scores of all trusted documents that pass the base rules.
+
+    Exact: of n scores the one of rank ceil(share * n), counted and taken from the lowest ones.
+    """
     if weights is None:
         return -math.inf
-    some = trusted.orderBy(F.xxhash64("trusted", F.lit(3)), "trusted").limit(sample)
-    mine = docs.join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("trusted"), "left_semi")
+    mine = docs.join(sent(trusted), F.col("doc_id").cast("long") == F.col("trusted"), "left_semi")
     scores = closed(scored(mine, trusted, weights, buckets).select("base_failed", "score")).where("NOT base_failed")
-    found = scores.agg(F.percentile_approx("score", share, 10_000)).first()[0]
-    return -math.inf if found is None else found
+    scores = cut(scores.select("score"), "held_out")
+    rank = math.ceil(share * scores.count())
+    return scores.orderBy("score").limit(rank).agg(F.max("score")).first()[0] if rank else -math.inf
 
 
 def closed(rows: DataFrame) -> DataFrame:
