@@ -38,6 +38,11 @@ def executors_of(executors: DataFrame, active_only: bool = False) -> DataFrame:
     return executors.where(F.col("isActive")) if active_only else executors
 
 
+def executor(executors: DataFrame, executor_id: str) -> DataFrame:
+    """The rows of one executor id."""
+    return executors.where(F.col("id") == F.lit(executor_id))
+
+
 def executor_links(executors: DataFrame, apps: DataFrame, proxy_base: str = "",
                    active_only: bool = False, encode: bool = False) -> DataFrame:
     """Executors of every application with links pointing at the log service."""
