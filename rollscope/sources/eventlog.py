@@ -9,12 +9,16 @@ log never lands whole in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollscope.sources.files import gunzip
+from rollscope.sources.storage import arrow_location, hadoop_folder, readable_home
+
 # --- Fixed values: event names and JSON field names of the event-log format ---
 EV_APP_START = "SparkListenerApplicationStart"
 EV_APP_END = "SparkListenerApplicationEnd"
@@ -39,6 +43,12 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+PARTS = "app_id string, attempt_id string, part string, path string"          # of an export's part files
+EXPORTED = "app_id string, attempt_id string, value string, part string, at long"
+PART_COLUMNS, LINE_COLUMNS = ([c.split(" ")[0] for c in x.split(", ")] for x in (PARTS, EXPORTED))
+PARTS_FOLDER = "_parts"
+HELD_BYTES = 1 << 20    # of a part file, held before they are packed
+LINES_AT_ONCE = 10_000  # of one output frame
 LISTED_OUT = 10_000  # superseded files left out of the scan by name; more are joined away
 
 
@@ -154,13 +164,63 @@ def tables_of(attempts: DataFrame, added: DataFrame, removed: DataFrame) -> tupl
     return apps, execs.drop("log")
 
 
+def partition_value(value: str) -> str:
+    """``value`` as it stands in the name of a partition folder."""
+    return re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value) or "__HIVE_DEFAULT_PARTITION__"
+
+
+def _part_writer(out: str):
+    opener, escaped, held_bytes = arrow_location, partition_value, HELD_BYTES
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        fs, root = opener(out)
+        part, key, stream, held, size = TaskContext.get().partitionId(), None, None, [], 0
+
+        def close():
+            stream.write("".join(held).encode())
+            stream.close()
+            fs.move(tmp, place)
+            return *key, name, f"{out}/{folder}/{name}"
+
+        for pdf in batches:
+            done = []
+            for app, attempt, value in zip(pdf["app_id"], pdf["attempt_id"], pdf["value"]):
+                if (app, attempt) != key:
+                    if stream is not None:
+                        done.append(close())
+                    key, held, size = (app, attempt), [], 0
+                    folder, name = f"app_id={escaped(app)}/attempt_id={escaped(attempt)}", f"part-{part:05d}.txt.gz"
+                    fs.create_dir(f"{root}/{folder}", recursive=True)
+                    tmp, place = f"{root}/{folder}/.{name}.{os.getpid()}.tmp", f"{root}/{folder}/{name}"
+                    stream = fs.open_output_stream(tmp, compression="gzip")
+                line = f"{value or ''}\n"
+                held.append(line)
+                size += len(line)
+                if size >= held_bytes:
+                    stream.write("".join(held).encode())
+                    held, size = [], 0
+            yield pd.DataFrame(done, columns=PART_COLUMNS)
+        if stream is not None:
+            yield pd.DataFrame([close()], columns=PART_COLUMNS)
+    return run
+
+
 def export_event_logs(lines: DataFrame, requests: DataFrame, out: str) -> None:
     """Write the raw lines of the requested applications as gzip text, one folder
     per (app_id, attempt_id).  A request without attempt exports every attempt.
 
     ``requests``: app_id, attempt_id (nullable).  Lines keep their order: an attempt's lines are cut
-    by range into ordered part files, so a very large log is written by many tasks.
+    by range into ordered part files, so a very large log is written by many tasks.  Tasks put their part
+    files in place themselves, each under a temporary name first, and list them in ``<out>/_parts``: with a
+    folder per attempt, a commit that renames the folders one by one in the driver takes longer than the work.
+    Where pyarrow cannot open ``out``, Spark's own writer is used.
     """
+    spark = lines.sparkSession
     keys = attempts_of(parse_events(lines)).select("log", F.col("id").alias("app_id"),
                                       F.coalesce(F.col("attemptId"), F.lit("none")).alias("attempt_id"))
     r = requests.select("app_id", F.col("attempt_id").alias("want"))
@@ -169,8 +229,49 @@ def export_event_logs(lines: DataFrame, requests: DataFrame, out: str) -> None:
     place = [c for c in ("file_no", "block", "line") if c in lines.columns]
     picked = lines.join(chosen, "log").select("app_id", "attempt_id", *place, "value")
     order = ["app_id", "attempt_id", *place]
-    (picked.repartitionByRange(*order).sortWithinPartitions(*order).drop(*place)
-     .write.mode("overwrite").partitionBy("app_id", "attempt_id").option("compression", "gzip").text(out))
+    rows = picked.repartitionByRange(*order).sortWithinPartitions(*order).drop(*place)
+    top = readable_home(spark, out)
+    if top is None:
+        rows.write.mode("overwrite").partitionBy("app_id", "attempt_id").option("compression", "gzip").text(out)
+        return
+    fs, old = hadoop_folder(spark, out)
+    fs.delete(old, True)
+    rows.mapInPandas(_part_writer(top), PARTS).write.parquet(f"{out.rstrip('/')}/{PARTS_FOLDER}")
+
+
+def _part_reader():
+    opener, lines_at_once = arrow_location, LINES_AT_ONCE
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for app, attempt, part, path in zip(*(pdf[c] for c in PART_COLUMNS)):
+                fs, place = opener(path)
+                with fs.open_input_stream(place, compression=None) as raw:
+                    at, rest = 0, b""
+                    for block in gunzip(raw):
+                        *whole, rest = (rest + block).split(b"\n")
+                        for line in whole:
+                            rows.append((app, attempt, line.decode(), part, at))
+                            at += 1
+                            if len(rows) >= lines_at_once:
+                                yield pd.DataFrame(rows, columns=LINE_COLUMNS)
+                                rows = []
+            yield pd.DataFrame(rows, columns=LINE_COLUMNS)
+    return run
+
+
+def read_exported(spark: SparkSession, out: str) -> DataFrame:
+    """``app_id, attempt_id, value, part, at``: every exported line, its part file and its place there; parts are in the order of their names."""
+    fs, listed = hadoop_folder(spark, f"{out.rstrip('/')}/{PARTS_FOLDER}/_SUCCESS")
+    if not fs.exists(listed):
+        return spark.read.text(out).select(
+            F.col("app_id").cast("string").alias("app_id"), F.col("attempt_id").cast("string").alias("attempt_id"), "value",
+            F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = spark.read.schema(PARTS).parquet(f"{out.rstrip('/')}/{PARTS_FOLDER}")
+    return parts.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_part_reader(), EXPORTED)
 
 
 def event_lines_of(apps_flat: DataFrame, executors: DataFrame) -> DataFrame:
