@@ -111,10 +111,14 @@ def parse_events(lines: DataFrame, by: Sequence[str] = ("log",)) -> DataFrame:
 
 
 def attempts_of(events: DataFrame, by: Sequence[str] = ("log",)) -> DataFrame:
-    """One row per log = per attempt: ids, name, start, end (NULL while running)."""
+    """One row per log = per attempt: ids, name, start, end (NULL while running); none for a log with neither.
+
+    Maxima of strings are aggregated over sorted rows.  So the few start and end events are dealt by log first:
+    they are sorted once, in partitions of bounded size, and not as much of them as a scan's split holds.
+    """
     ev = F.col("Event")
     is_start, is_end = ev == EV_APP_START, ev == EV_APP_END
-    return events.groupBy(*by).agg(
+    return events.where(is_start | is_end).repartition(*by).groupBy(*by).agg(
         F.max(F.when(is_start, F.col("App ID"))).alias("id"),
         F.max(F.when(is_start, F.col("App Name"))).alias("name"),
         F.max(F.when(is_start, F.col("App Attempt ID"))).alias("attemptId"),

@@ -89,3 +89,15 @@ def test_exported_parts_are_listed_and_read_back(spark, scratch):
     plain = spark.read.text(out)  # Spark's own reader finds the same lines
     assert plain.count() == sum(map(len, want.values()))
     assert not [f for _, _, names in os.walk(out) for f in names if f.endswith(".tmp")]
+
+
+def test_attempts_are_sorted_after_the_shuffle_only(spark, scratch):
+    rows = [("a", '{"Event":"SparkListenerApplicationStart","App ID":"1","App Name":"n","Timestamp":1}'),
+            ("a", '{"Event":"SparkListenerApplicationEnd","Timestamp":9}'), ("b", '{"Event":"SparkListenerApplicationEnd","Timestamp":2}')]
+    path = os.path.join(scratch, "lines")
+    spark.createDataFrame(rows, "log string, value string").write.parquet(path)
+    found = evl.attempts_of(evl.parse_events(spark.read.parquet(path)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "SortAggregate" not in plan[plan.rindex("Exchange"):]
+    got = {r.log: (r.id, r.start_ms, r.end_ms, r.completed) for r in found.collect()}
+    assert got == {"a": ("1", 1, 9, True), "b": (None, None, 2, True)}
