@@ -226,10 +226,15 @@ def access_matrix(apps: DataFrame, tenants: DataFrame, policy: TenantPolicy) ->
             .withColumn("rest", F.expr("substring(name, length(pattern) + 1)")))
     t = tenants.select("tenant_id", tenant_key(F.col("tenant_id")).alias("tkey")).distinct()
     pairs = prefix_join(hits, "rest", t, "tkey").withColumn("tlen", F.length(tenant_key(F.col("tenant_id"))))
+    # dealt once, by application; both steps then run over sorted rows, as nearly every pair is a group of its own
+    # and a hash table of them would hold a task's whole share
+    pairs = pairs.select("app_id", "name", "pattern", "tenant_id", "tlen").repartition("app_id")
     longest = F.max("tlen").over(Window.partitionBy("app_id", "pattern"))
-    pairs = pairs.withColumn("shared", F.col("tlen") < longest)
-    return (pairs.groupBy("app_id", "name", "tenant_id")
-            .agg(F.bool_or("shared").alias("shared_prefix")))
+    pairs = pairs.select("app_id", "name", "tenant_id", (F.col("tlen") < longest).alias("shared"))
+    one = Window.partitionBy("app_id", "name", "tenant_id")
+    pairs = pairs.select("app_id", "name", "tenant_id", F.bool_or("shared").over(one).alias("shared_prefix"),
+                         F.row_number().over(one.orderBy("tenant_id")).alias("_n"))
+    return pairs.where("_n = 1").drop("_n")
 
 
 def access_audit(apps: DataFrame, tenants: DataFrame, policy: TenantPolicy) -> DataFrame:

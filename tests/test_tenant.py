@@ -113,3 +113,21 @@ def test_long_pattern_lists_give_what_short_ones_give(spark, monkeypatch):
     monkeypatch.setattr(tn, "INLINE_PATTERNS", -1)
     assert [answers(*c) for c in cases] == short
     assert short[0] == short[1]
+
+
+def test_matrix_of_repeated_and_null_ids_without_a_table_of_pairs(spark):
+    schema = "id string, name string, attempts array<struct<attemptId:string, startTime:timestamp_ntz, endTime:timestamp_ntz, completed:boolean>>"
+    names = [("1", "p10-a"), ("1", "p10-a"), ("1", "p1-b"), (None, "p100"), (None, "q1"), ("2", "pp1"), ("3", "keep")]
+    apps = spark.createDataFrame([(i, n, []) for i, n in names], schema)
+    tenants = spark.createDataFrame([(t,) for t in ("1", "10", "100", None, "p1", "1")], "tenant_id string")
+    found = tn.access_matrix(apps, tenants, TenantPolicy.from_settings("true", "p,,q", "keep"))
+    pairs = [(i, n, p, t) for i, n in set(names) if n != "keep" for p in ("p", "q", "") for t in ("1", "10", "100", None, "p1")
+             if n.startswith(p + ("null" if t is None else t))]
+    size = lambda t: len("null" if t is None else t)
+    want = {}
+    for i, n, p, t in pairs:
+        shared = size(t) < max(size(u) for j, _, q, u in pairs if (j, q) == (i, p))
+        want[i, n, t] = want.get((i, n, t), False) or shared
+    rows = found.collect()
+    assert {(r.app_id, r.name, r.tenant_id): r.shared_prefix for r in rows} == want and len(rows) == len(want)
+    assert "HashAggregate(keys=[app_id" not in found._jdf.queryExecution().executedPlan().toString()
