@@ -197,3 +197,32 @@ def test_text_per_file_piece(spark, scratch):
     assert bytes(whole.bytes) == bytes(split.bytes) == b"t \xc3\xa9 s"
     assert whole.text == "t é s"
     assert split.text == "t �� s"  # "é" cut by the file border, each half decoded alone
+
+
+def test_files_of_a_log_are_chunked_together(spark, scratch):
+    home = os.path.join(scratch, "home")
+    for app in "abcd":
+        for k in range(20):
+            put(home, f"{app}/{app}-driver_{k:010d}", b"x" * 50)
+    fl.refresh_file_table(spark, home, f"{scratch}/files", f"{scratch}/chunks", 16)
+    places = fl.read_locators(spark, f"{scratch}/chunks").groupBy(F.regexp_extract("path", "/([a-d])-driver", 1)).agg(
+        F.countDistinct("data_file").alias("n"), F.countDistinct("path").alias("paths")).collect()
+    assert [(r.n, r.paths) for r in places] == [(1, 20)] * 4  # a slice opens one data file, not one for each log file
+
+
+def test_listing_of_a_large_folder_comes_in_blocks(scratch):
+    import pandas as pd
+
+    from rollscope.sources import storage as st
+    os.makedirs(f"{scratch}/a/folder")
+    names = [f"f{k}" for k in range(10_050)]
+    for name in names:
+        open(f"{scratch}/a/{name}", "w").close()
+    os.symlink(f"{scratch}/nowhere", f"{scratch}/a/broken")
+    one = pd.DataFrame([("a", True, 0, 1)], columns=["name", "is_dir", "size", "ms"])
+    frames = list(st._folder_lister(scratch)([one]))
+    assert max(map(len, frames)) <= 10_000
+    rows = pd.concat(frames)
+    assert sorted(rows["file_name"].dropna()) == sorted(names) and rows["file_name"].isna().sum() == 1
+    assert sorted(n for n, is_dir, _, _ in st.entries_of(f"{scratch}/a") if is_dir) == ["broken", "folder"]
+    assert [len(f) for f in st._home_lister(f"{scratch}/a")([one])] == [10_000, 52]
