@@ -227,8 +227,9 @@ def access_matrix(apps: DataFrame, tenants: DataFrame, policy: TenantPolicy) ->
     t = tenants.select("tenant_id", tenant_key(F.col("tenant_id")).alias("tkey")).distinct()
     pairs = prefix_join(hits, "rest", t, "tkey").withColumn("tlen", F.length(tenant_key(F.col("tenant_id"))))
     # dealt once, by application; both steps then run over sorted rows, as nearly every pair is a group of its own
-    # and a hash table of them would hold a task's whole share
-    pairs = pairs.select("app_id", "name", "pattern", "tenant_id", "tlen").repartition("app_id")
+    # and a hash table of them would hold a task's whole share. By number: coalesced partitions would be sorted whole
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("app_id", "name", "pattern", "tenant_id", "tlen").repartition(parts, "app_id")
     longest = F.max("tlen").over(Window.partitionBy("app_id", "pattern"))
     pairs = pairs.select("app_id", "name", "tenant_id", (F.col("tlen") < longest).alias("shared"))
     one = Window.partitionBy("app_id", "name", "tenant_id")
