@@ -46,7 +46,7 @@ EVENT_SCHEMA = T.StructType([
 PARTS = "app_id string, attempt_id string, part string, path string"          # of an export's part files
 EXPORTED = "app_id string, attempt_id string, value string, part string, at long"
 PART_COLUMNS, LINE_COLUMNS = ([c.split(" ")[0] for c in x.split(", ")] for x in (PARTS, EXPORTED))
-PARTS_FOLDER = "_parts"
+PARTS_SUFFIX = "_parts"  # of the folder beside an export that lists its part files
 HELD_BYTES = 1 << 20    # of a part file, held before they are packed
 LINES_AT_ONCE = 10_000  # of one output frame
 LISTED_OUT = 10_000  # superseded files left out of the scan by name; more are joined away
@@ -220,7 +220,7 @@ def export_event_logs(lines: DataFrame, requests: DataFrame, out: str) -> None:
 
     ``requests``: app_id, attempt_id (nullable).  Lines keep their order: an attempt's lines are cut
     by range into ordered part files, so a very large log is written by many tasks.  Tasks put their part
-    files in place themselves, each under a temporary name first, and list them in ``<out>/_parts``: with a
+    files in place themselves, each under a temporary name first, and list them in ``<out>_parts``: with a
     folder per attempt, a commit that renames the folders one by one in the driver takes longer than the work.
     Where pyarrow cannot open ``out``, Spark's own writer is used.
     """
@@ -234,13 +234,14 @@ def export_event_logs(lines: DataFrame, requests: DataFrame, out: str) -> None:
     picked = lines.join(chosen, "log").select("app_id", "attempt_id", *place, "value")
     order = ["app_id", "attempt_id", *place]
     rows = picked.repartitionByRange(*order).sortWithinPartitions(*order).drop(*place)
-    top = readable_home(spark, out)
+    out, top = out.rstrip("/"), readable_home(spark, out)
+    for path in (out + PARTS_SUFFIX, out):
+        fs, old = hadoop_folder(spark, path)
+        fs.delete(old, True)
     if top is None:
         rows.write.mode("overwrite").partitionBy("app_id", "attempt_id").option("compression", "gzip").text(out)
         return
-    fs, old = hadoop_folder(spark, out)
-    fs.delete(old, True)
-    rows.mapInPandas(_part_writer(top), PARTS).write.parquet(f"{out.rstrip('/')}/{PARTS_FOLDER}")
+    rows.mapInPandas(_part_writer(top), PARTS).write.parquet(out + PARTS_SUFFIX)
 
 
 def _part_reader():
@@ -269,12 +270,13 @@ def _part_reader():
 
 def read_exported(spark: SparkSession, out: str) -> DataFrame:
     """``app_id, attempt_id, value, part, at``: every exported line, its part file and its place there; parts are in the order of their names."""
-    fs, listed = hadoop_folder(spark, f"{out.rstrip('/')}/{PARTS_FOLDER}/_SUCCESS")
+    out = out.rstrip("/")
+    fs, listed = hadoop_folder(spark, f"{out}{PARTS_SUFFIX}/_SUCCESS")
     if not fs.exists(listed):
         return spark.read.text(out).select(
             F.col("app_id").cast("string").alias("app_id"), F.col("attempt_id").cast("string").alias("attempt_id"), "value",
             F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("at"))
-    parts = spark.read.schema(PARTS).parquet(f"{out.rstrip('/')}/{PARTS_FOLDER}")
+    parts = spark.read.schema(PARTS).parquet(out + PARTS_SUFFIX)
     return parts.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_part_reader(), EXPORTED)
 
 
