@@ -1,16 +1,17 @@
 """Paging cursors as streaming state: what a polling client asks for, decided once per growth of a log.
 
-Two streams meet in keyed state (``transformWithStateInPandas``): totals of logs as the ingestion writes them
+Two streams meet in keyed state (``transformWithState``): totals of logs as the ingestion writes them
 (`rolled.write_totals`), and events of clients (``CLIENT_EVENTS``):
 
 * ``open``: the client shows [start_byte, end_byte) of a log that had total_bytes
 * ``more``: it wants the ``byte_length`` bytes before what it shows
 * ``close``: it is forgotten
 
-The state of a log holds its newest total and each client's cursor.  A log's clients are dealt to ``shards`` keys
-by name, so a log that very many follow is no single key; a total goes to all shards of its log.  Output rows are
-requests for ``slices.log_slices``, as `paging.new_bytes` and `paging.prev_window` make them from tables: growth at
-an explicit offset, so that nothing is skipped or sent twice, ``truncated`` when a log has shrunk, and earlier pages.
+A log's clients are dealt to ``shards`` keys by name, so a log that very many follow is no single key.  A first
+state by log keeps its newest total and the shards in which a client has opened it, and hands a total to these alone;
+a second one by shard keeps that total and each client's cursor.  Output rows are requests for ``slices.log_slices``,
+as `paging.new_bytes` and `paging.prev_window` make them from tables: growth at an explicit offset, so that nothing is
+skipped or sent twice, ``truncated`` when a log has shrunk, and earlier pages.
 
 Totals carry the number of their file-table delta: repeated or late ones change nothing.  Events of one client are
 taken in the order of ``seq``; repeated ones (same or lower ``seq``) change nothing.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -42,6 +43,38 @@ REQUESTS = ("request_id string, client string, app string, pod string, log_type
             "poll_status string")
 _CURSOR = "seq long, start_byte long, end_byte long, total_bytes long"
 _NAMES = [f.strip().split(" ")[0] for f in REQUESTS.split(",")]
+_HANDED = "app string, pod string, shard int, seq long, total_bytes long"
+_NO_SHARD = -1        # in rows that bring a total
+
+
+class TotalsProcessor(StatefulProcessor):
+    """State of one (app, pod): its newest total (number null: none yet) and the shards that clients opened it in.
+
+    A shard gets the newest total when a client first opens the log in it, then each newer one.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.log = handle.getValueState("log", "seq long, total_bytes long, shards array<int>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        app, pod = key
+        stored = tuple(self.log.get()) if self.log.exists() else (None, None, [])
+        newest, had = (stored[0], stored[1]), set(stored[2])
+        asked = set(had)
+        for row in rows:
+            if row.shard != _NO_SHARD:
+                asked.add(row.shard)
+            elif newest[0] is None or row.seq > newest[0]:
+                newest = (row.seq, row.total_bytes)
+        grown = newest != (stored[0], stored[1])
+        if grown or asked != had:
+            self.log.update((*newest, sorted(asked)))
+        if newest[0] is not None:
+            for shard in sorted(asked if grown else asked - had):
+                yield Row(app=app, pod=pod, shard=shard, seq=newest[0], total_bytes=newest[1])
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
 
 
 class CursorProcessor(StatefulProcessor):
@@ -75,7 +108,10 @@ class CursorProcessor(StatefulProcessor):
         if grown:  # the cursors of this shard; those with events are up to date
             for (client,), cursor in list(self.cursors.iterator()):
                 if client not in events:
-                    out += self._compare(app, pod, client, tuple(cursor), newest)
+                    requests, after = self._compare(app, pod, client, tuple(cursor), newest)
+                    if after != tuple(cursor):
+                        self.cursors.updateValue((client,), after)
+                    out += requests
                 if len(out) >= ROWS_OUT:
                     yield pd.DataFrame(out, columns=_NAMES)
                     out = []
@@ -86,7 +122,7 @@ class CursorProcessor(StatefulProcessor):
         return ":".join((client, app, pod)), client, app, pod, self.log_type, offset, length, status
 
     def _client(self, app, pod, client, events, newest, grown) -> list:
-        cursor = tuple(self.cursors.getValue((client,))) if self.cursors.containsKey((client,)) else None
+        cursor = stored = tuple(self.cursors.getValue((client,))) if self.cursors.containsKey((client,)) else None
         out, opened = [], False
         for e in events:
             seq = int(e.seq)
@@ -102,20 +138,22 @@ class CursorProcessor(StatefulProcessor):
                     out.append(self._row(app, pod, client, start, cursor[1] - start, STATUS_MORE))
                 cursor = (seq, start, *cursor[2:])
         if cursor is None:
-            if self.cursors.containsKey((client,)):
+            if stored is not None:
                 self.cursors.removeKey((client,))
             return out
-        self.cursors.updateValue((client,), cursor)
-        return out + self._compare(app, pod, client, cursor, newest, opened or grown)
+        requests, cursor = self._compare(app, pod, client, cursor, newest, opened or grown)
+        if cursor != stored:
+            self.cursors.updateValue((client,), cursor)
+        return out + requests
 
-    def _compare(self, app, pod, client, cursor, newest, report=True) -> list:
-        """The request for what the log has grown by; a shrunk log leaves the cursor as it is."""
+    def _compare(self, app, pod, client, cursor, newest, report=True) -> tuple[list, tuple]:
+        """The request for what the log has grown by, and the cursor then; a shrunk log leaves it as it is."""
         if newest is None or newest[1] == cursor[3]:
-            return []
+            return [], cursor
         if newest[1] < cursor[3]:
-            return [self._row(app, pod, client, cursor[3], 0, STATUS_TRUNCATED)] if report else []
-        self.cursors.updateValue((client,), (cursor[0], cursor[1], newest[1], newest[1]))
-        return [self._row(app, pod, client, cursor[3], newest[1] - cursor[3], STATUS_NEW)]
+            return [self._row(app, pod, client, cursor[3], 0, STATUS_TRUNCATED)] if report else [], cursor
+        return ([self._row(app, pod, client, cursor[3], newest[1] - cursor[3], STATUS_NEW)],
+                (cursor[0], cursor[1], newest[1], newest[1]))
 
     def close(self) -> None:
         """Nothing is held outside the state."""
@@ -130,21 +168,27 @@ def poll_requests(totals: DataFrame, clients: DataFrame, log_type: str = "stderr
     """Requests (streaming) from streams of totals (app, pod, total_bytes, seq) and of client events (`CLIENT_EVENTS`).
 
     Rows without app, pod or seq, totals without a number, and client rows without a client or with an unknown kind
-    are left out; missing positions count as 0. ``shards`` stays the same for the life of a checkpoint.
+    are left out; missing positions count as 0. ``shards`` stays the same for the life of a checkpoint.  Checkpoints
+    from before the state by log existed cannot be continued: start a new one.
     """
     spark = totals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    none = F.lit(None)
-    t = totals.where("total_bytes IS NOT NULL").select(
-        "seq", F.lit(TOTAL).alias("kind"), none.cast("string").alias("client"), "app", "pod",
-        *(F.lit(0).cast("long").alias(c) for c in ("start_byte", "end_byte")), "total_bytes",
-        F.lit(0).cast("long").alias("byte_length"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    zero = F.lit(0).cast("long")
+    whole = "app IS NOT NULL AND pod IS NOT NULL AND seq IS NOT NULL"
     position = [F.coalesce(F.greatest(F.col(c), F.lit(0)), F.lit(0)).cast("long").alias(c)
                 for c in ("start_byte", "end_byte", "total_bytes", "byte_length")]
     c = clients.where(F.col("client").isNotNull() & F.col("kind").isin(OPEN, MORE, CLOSE)).select(
         "seq", "kind", "client", "app", "pod", *position, F.pmod(F.xxhash64("client"), F.lit(shards)).cast("int").alias("shard"))
-    events = t.unionByName(c).where("app IS NOT NULL AND pod IS NOT NULL AND seq IS NOT NULL")
-    return events.groupBy("app", "pod", "shard").transformWithStateInPandas(
+    c = c.where(whole)
+    # a cursor begins with an open: only shards with one want the log's totals
+    asked = c.where(F.col("kind") == OPEN).select("app", "pod", "shard", zero.alias("seq"), zero.alias("total_bytes"))
+    t = totals.where("total_bytes IS NOT NULL").where(whole).select(
+        "app", "pod", F.lit(_NO_SHARD).alias("shard"), "seq", "total_bytes")
+    handed = t.unionByName(asked).groupBy("app", "pod").transformWithState(
+        statefulProcessor=TotalsProcessor(), outputStructType=T.StructType.fromDDL(_HANDED), outputMode="append", timeMode="none")
+    handed = handed.select("seq", F.lit(TOTAL).alias("kind"), F.lit(None).cast("string").alias("client"), "app", "pod",
+                           *(zero.alias(x) for x in ("start_byte", "end_byte")), "total_bytes", zero.alias("byte_length"), "shard")
+    return handed.unionByName(c).groupBy("app", "pod", "shard").transformWithStateInPandas(
         statefulProcessor=CursorProcessor(log_type), outputStructType=T.StructType.fromDDL(REQUESTS),
         outputMode="append", timeMode="none")
 

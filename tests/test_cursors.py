@@ -124,3 +124,30 @@ def test_answers_from_the_ingested_tables(spark, scratch):
                                         ("d", pg.STATUS_NEW, b"and the second, longer line\n")]
     assert answer() == got
     assert rolled.write_totals(spark, f"{out}/files", out) is None
+
+
+def test_totals_reach_only_shards_with_clients(spark, scratch):
+    """Shards that nobody opened a log in cost no state; a shard opened later gets the log's newest total."""
+    s = Streams(spark, scratch)
+    states = []
+
+    def run():
+        totals = spark.readStream.schema(cu.TOTALS).parquet(os.path.join(scratch, "totals"))
+        clients = spark.readStream.schema(cu.CLIENT_EVENTS).parquet(os.path.join(scratch, "clients"))
+        q = (cu.poll_requests(totals, clients, shards=8).writeStream.format("parquet").outputMode("append")
+             .option("path", os.path.join(scratch, "requests")).option("checkpointLocation", os.path.join(scratch, "checkpoint"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        states.append(sum(o.numRowsTotal for o in q.lastProgress.stateOperators))
+
+    s.put([(f"app{i}", "driver", 100, 1) for i in range(40)], [opened(1, "x", 60, app="app0"), opened(1, "z", 5, app="none")])
+    run()
+    assert states[0] <= 40 + 2 + 2 + 2  # logs, the log without a total, log and cursor of the shards that were opened
+    s.put([("app0", "driver", 130, 2)], [(2, cu.MORE, "x", "app0", "driver", 0, 0, 0, 10)])
+    run()
+    s.put((), [opened(k, f"y{k}", 100, app="app0") for k in range(1, 20)])  # shards opened after the totals came
+    run()
+    rows = spark.read.schema(cu.REQUESTS).parquet(os.path.join(scratch, "requests")).collect()
+    got = sorted((r.client, r.poll_status, r.offset, r.byte_length) for r in rows)
+    assert got == sorted([("x", pg.STATUS_NEW, 60, 40), ("x", pg.STATUS_NEW, 100, 30), ("x", cu.STATUS_MORE, 50, 10)]
+                         + [(f"y{k}", pg.STATUS_NEW, 100, 30) for k in range(1, 20)])
