@@ -30,10 +30,19 @@ AGAIN = 0.1        # a round that closes less than this share of its pieces is t
 SEARCH = 20_000    # exchanges tried in one group; what is left is a valid packing all the same
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def _digest_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        crc = [zlib.crc32(x.as_buffer()) for x in part.column(4)]
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(crc, pa.int64())],
+                                         ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids binary): each document's ids, then ``end_id``, cut at ``capacity``.
 
     ``ids`` holds little-endian unsigned 32-bit numbers. Null text is empty: one piece with the end id.
+    ``digest``: ids_crc32 instead of ids, made in the same Python worker; a second worker for each
+    running task would hold its own libraries and caches for as long as the executor lives.
     """
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = table(vocabulary), end_id.to_bytes(4, "little")
@@ -51,8 +60,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
                      pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        batches, "doc_id long, piece int, start long, length long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if digest:
+        return rows.mapInArrow(lambda parts: _digest_batches(batches(parts)),
+                               "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(batches, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -185,13 +197,6 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
     return out
 
 
-def _digest_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        crc = [zlib.crc32(x.as_buffer()) for x in part.column(4)]
-        yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(crc, pa.int64())],
-                                         ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -200,8 +205,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, g
     * Ties in length are broken by an internal number, so that a retried task gives the same rows.
     * Texts are whole, however long; other columns are ignored; an empty table gives no rows.
     """
-    pieces = token_pieces(docs, vocabulary, capacity=capacity).mapInArrow(
-        _digest_batches, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = token_pieces(docs, vocabulary, capacity=capacity, digest=True)
     pieces = cut(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return pieces.join(place(pieces, capacity, group), "uid").drop("uid")
 

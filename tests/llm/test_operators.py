@@ -383,3 +383,21 @@ def test_arc_versions():
             assert fields.get("result-code") == ("404" if version == 2 else None)
         with pytest.raises(ValueError):
             list(archive.arc_records(gzip.compress(raw[:-9])))
+
+
+def test_pieces_are_made_by_one_python_worker_a_task(spark, monkeypatch):
+    """Every further Python step of a task is a worker of its own, which keeps its tables for as long as the executor lives."""
+    steps = []
+
+    def spied(df, name="llm"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        steps.append((name, sum("MapInArrow" in line for line in plan.splitlines())))
+        return cut(df, name)
+
+    cut = packing.cut
+    monkeypatch.setattr(packing, "cut", spied)
+    df = spark.createDataFrame([(1, "one two three " * 40), (2, None), (None, "four")], "doc_id long, text string")
+    rows = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pack_documents(df, VOCAB, capacity=64).collect()}
+    assert dict(steps)["pieces"] == 1
+    whole = packing.token_pieces(df, VOCAB, capacity=64).collect()
+    assert rows == {(r.doc_id, r.piece): (r.start, r.length, zlib.crc32(r.ids)) for r in whole} and len(whole) > 3
