@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollscope.llm.common import components, cut
+from rollscope.llm.common import components, cut, cut_small
 
 WORDS = 5            # words in a shingle
 PERCENT = 75         # link at 100 * |A ∩ B| >= PERCENT * |A ∪ B|
@@ -150,7 +150,7 @@ def _with_components(cand: DataFrame, edges: DataFrame) -> DataFrame:
     marked = (cand.join(comp, "id", "left")
               .select("key", "id", F.coalesce("component_id", "id").alias("comp")))
     is_open = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return cut(marked.join(is_open.where("lo < hi").select("key"), "key", "left_semi"), "open")
+    return cut_small(marked.join(is_open.where("lo < hi").select("key"), "key", "left_semi"), "open")
 
 
 def link_block(ids: list, comps: list, sets: list[np.ndarray], left: list[bool]) -> list[tuple]:
@@ -209,7 +209,7 @@ def _exact_rest(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     shape = shape.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
     largest = (members.join(shape.select("key"), "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("n"))
                .groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")))
-    shape = cut(shape.join(largest, "key").select(
+    shape = cut_small(shape.join(largest, "key").select(
         "key", F.col("top.comp").alias("top"), F.ceil(F.col("m") / block).cast("int").alias("rights"),
         F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("lefts")), "shape")
     placed = members.join(shape, "key")
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                  .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
         edges = cut(edges.union(_verified(pairs, sets)), "links")
         rest = _with_components(rest.select("key", "id"), edges)
-        edges = cut(edges.union(_exact_rest(rest, sets, block)), "links")
+        edges = cut_small(edges.union(_exact_rest(rest, sets, block)), "links")
     comp = components(edges).select(F.col("id").alias("rep"), F.col("component_id").alias("low"))
 
     found = classes.join(comp, "rep", "left").select("digest", F.coalesce("low", "rep").alias("low"))

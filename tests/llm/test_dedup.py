@@ -170,3 +170,19 @@ def test_planted_pairs_share_a_bucket(hashes, cosine):
 
 def test_hashes_follow_the_largest_label():
     assert [embeddings.hashes_for(n, 64) for n in (1, 10 ** 6, 10 ** 7, 10 ** 8, 10 ** 12)] == [3, 3, 4, 4, 5]
+
+
+def test_rounds_of_components_write_few_files(spark):
+    """However many shuffle partitions there are, a round's edges go to four files a core at most."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.range(2000).selectExpr("id * 3 AS a", "id * 3 + 1 AS b")
+        found = components(edges.union(edges.selectExpr("b + 1", "a")))
+        assert len(found.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism < 64
+        assert found.where("component_id != id - id % 3").count() == 0 and found.count() == 6000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
