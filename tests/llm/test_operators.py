@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollscope.llm import archive, language, mixing, packing, pii, quality, sharding, tokens
@@ -58,6 +59,34 @@ def test_whole_tokens_are_single():
     assert all(lib.encode(w, add_special_tokens=False).ids == list(struct.unpack("<I", v)) for w, v in some)
 
 
+def test_ids_of_many_texts_equal_the_library(monkeypatch):
+    lib, t = library(), tokens.TokenTable(VOCAB)
+    rng = np.random.default_rng(11)
+    letters = list("abcdefgst'.,!?-1 \t\néßøñ\xaa\xb5\u0101\u01c5\u023a½²—")
+    texts = [t for _, t, _ in ODD] + ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 200, 400)]
+    texts += ["x<|endoftext|>y", "İ ı", "a\xa0b\x1cc", "z" * 200, "zz z" * 3]
+
+    def ids(some):
+        return [struct.unpack(f"<{len(x) // 4}I", x) for x in t.all_ids(pa.array(some, pa.string()))]
+
+    want = [tuple(lib.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert ids(texts) == want and ids([]) == [] and ids([None]) == [()]
+    monkeypatch.setattr(tokens, "MERGED", len(t.whole) + 20)  # forgets all the time
+    monkeypatch.setattr(tokens, "TOGETHER", 500)
+    assert ids(texts) == want
+
+
+def test_ids_take_one_look_for_each_distinct_word():
+    """Of texts made together: a word is looked up once and merged once, however often it stands there."""
+    t = tokens.TokenTable(VOCAB)
+    looked, merged, words, all_merged = [], [], t.all_words, t.all_merged
+    t.all_words = lambda some: looked.extend(some) or words(some)
+    t.all_merged = lambda some: merged.extend(some) or all_merged(some)
+    text = pa.array(["zqxvlorp, Zqxvlorp the zqxvlorp! " * 50] * 40)
+    assert len(list(t.all_ids(text))) == 40
+    assert sorted(x for x in looked if x) == ["!", ",", "the", "zqxvlorp"] and merged == ["zqxvlorp"]
+
+
 def check_packing(rows, df, capacity):
     lib = library()
     want = collections.Counter()
