@@ -1,7 +1,9 @@
 """Quality verdicts on documents the target has not seen, and results that survive a consumer's filter."""
 
+import collections
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -93,3 +95,24 @@ def test_joined_like_broadcast(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(quality, "BROADCAST_IDS", 3)
     assert rows() == want
+
+
+def test_words_without_regular_expressions_or_lookups(spark):
+    """Words, windows and counts of odd white space, and a plan without the costly expressions."""
+    texts = [None, "", " ", "\t\x0ba\x0c\r\nb  c\x1cd\x85e f ", "x" * 3, "a b c d", "a b c d e", "a b c d e a b c d e f #$ <é|>",
+             "a b c\n" * 9 + "\n \n", "漢 字 & 漢 字 & 漢 字 &"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.base_rules(quality.gram_rows(docs))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("regexp_extract_all", "regexp_count", "sequence("))
+    for r in rows.collect():
+        text = texts[r.id] or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]", text) if w]
+        at = collections.defaultdict(list)
+        for k in range(len(words) - 4):
+            at[tuple(words[k:k + 5])].append(k)
+        repeated = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(5)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+        assert len(r.grams) == max(0, 2 * len(words) - 1)
